@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import mixing, sharding, simhash
+from watchloom.llm import decontam, mixing, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,12 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_mix_sources, op6_rendezvous_shards, op8_simhash_near_dedup)
+    found = (op4_mix_sources, op6_rendezvous_shards, op8_simhash_near_dedup, op10_benchmark_tiling)
     return {f.__name__: f for f in found}
 
 
