@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import decontam, mixing, sharding, simhash
+from watchloom.llm import decontam, mixing, sharding, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def default_tokenizer() -> str:
+    """Where the public tokenizer file is on this machine."""
+    from public_tokenizers import path
+
+    return path("word_bpe_49k.json")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
@@ -29,8 +36,12 @@ def op10_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_index(_table(spark, sf_dir, "documents"), default_tokenizer())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_mix_sources, op6_rendezvous_shards, op8_simhash_near_dedup, op10_benchmark_tiling)
+    found = (op4_mix_sources, op6_rendezvous_shards, op7_huffman_tokens, op8_simhash_near_dedup, op10_benchmark_tiling)
     return {f.__name__: f for f in found}
 
 
