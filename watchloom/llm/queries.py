@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import decontam, mixing, sharding, simhash, tokens, toxicity
+from watchloom.llm import decontam, language, mixing, sharding, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_language_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op7_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_toxicity_kneser_ney, op4_mix_sources, op6_rendezvous_shards, op7_huffman_tokens, op8_simhash_near_dedup, op10_benchmark_tiling)
+    found = (op2_toxicity_kneser_ney, op3_language_byte_cnn, op4_mix_sources, op6_rendezvous_shards, op7_huffman_tokens, op8_simhash_near_dedup, op10_benchmark_tiling)
     return {f.__name__: f for f in found}
 
 
