@@ -12,10 +12,13 @@ Every block of ``block tokens`` ids starts at its bit offset, so blocks decode a
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,9 +37,13 @@ MAGIC = b"WLH1"
 END_ID = 2
 #: Tokens of a segment (cut at document ends once reached) and of a block.
 SEGMENT_TOKENS, BLOCK_TOKENS = 1 << 20, 128
-#: Distinct blank-free chunks whose ids a worker remembers; others are encoded each time.
-CACHE = 500_000
-_workers: dict[int, tuple] = {}
+#: Distinct chunks, and words, whose ids a worker remembers; others are encoded each time.
+CACHE = 400_000
+#: Pre-tokenizer pattern under which blanks separate a text for good, and words from punctuation.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A lower-case word of letters that normalisation leaves alone, and punctuation after it.
+PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+_workers: dict[int, ChunkEncoder] = {}
 
 
 def tokenizer_file(path: str) -> str:
@@ -46,10 +53,12 @@ def tokenizer_file(path: str) -> str:
 
 
 class ChunkEncoder:
-    """Encodes texts with the tokenizers library, one blank-free chunk at a time.
+    """Encodes texts with the tokenizers library and remembers what it has encoded.
 
-    The tokenizer normalises, splits and merges within runs of non-blank characters only, so the
-    ids of a text are those of its chunks; frequent chunks are looked up instead of encoded again.
+    A tokenizer with WORD_PATTERN normalises, splits and merges within runs of non-blank characters
+    only, so the ids of a text are those of its chunks between blanks, and the ids of a plain chunk
+    are those of its word and its punctuation. New words are encoded many at a time; the end-of-word
+    mark tells their ids apart. Other tokenizers encode whole texts.
     """
 
     def __init__(self, spec: str):
@@ -58,26 +67,74 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
+        parts, suffix = json.loads(spec), json.loads(spec)["model"].get("end_of_word_suffix")
+        split = [p.get("pattern", {}).get("Regex") for p in (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.by_word = bool(suffix) and WORD_PATTERN in split
+        self.chunks: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if self.by_word:
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        known = self.known
-        missing = list({c for doc in chunks for c in doc if c not in known})
-        found = known
-        if missing:
-            encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-            new = {}
-            for at in range(0, len(missing), 20_000):
-                part = missing[at : at + 20_000]
-                for c, e in zip(part, encode([c.decode() for c in part], add_special_tokens=False), strict=True):
-                    new[c] = np.array(e.ids, self.dtype).tobytes()
-            if len(known) + len(new) <= CACHE:
-                known.update(new)
-            else:
-                found = known | new
         end = np.array([END_ID], self.dtype).tobytes()
-        return [b"".join([*map(found.__getitem__, doc), end]) for doc in chunks]
+        if not self.by_word:
+            return [x + end for x in self._whole([t or "" for t in texts])]
+        docs = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
+        known = self.chunks
+        missing = set(chain.from_iterable(docs)).difference(known)
+        new = self._resolve(missing)
+        if len(known) < CACHE:
+            known.update(new)
+            return [b"".join(map(known.__getitem__, doc)) + end for doc in docs]
+        return [b"".join([known[c] if c in known else new[c] for c in doc]) + end for doc in docs]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(texts), 1000):
+            out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)]
+        return out
+
+    def _resolve(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        odd, plain, words, words_known, match = [], [], set(), self.words, PLAIN.fullmatch
+        for chunk in chunks:
+            if m := match(chunk.decode().lower()):
+                word, rest = m.groups()
+                plain.append((chunk, word, rest))
+                if word and word not in words_known:
+                    words.add(word)
+                if rest and rest not in words_known:
+                    odd.append(rest)
+            else:
+                odd.append(chunk.decode())
+        odd = list(dict.fromkeys(odd))
+        marks = dict(zip(odd, self._whole(odd), strict=True))
+        new = self._encode_words(list(words))
+        if len(words_known) < CACHE:
+            words_known.update(new)
+            words_known.update((k, marks[k]) for _, _, k in plain if k in marks)
+        new[""] = b""
+        out = {}
+        for chunk, word, rest in plain:
+            first = new[word] if word in new else words_known[word]
+            out[chunk] = first + (marks[rest] if rest in marks else words_known[rest]) if rest else first
+        for chunk in chunks:
+            if chunk not in out:
+                out[chunk] = marks[chunk.decode()]
+        return out
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
+            if len(cuts) != len(part):
+                out.update(zip(part, self._whole(part), strict=True))
+                continue
+            raw = ids.tobytes()
+            out.update((w, raw[a:b]) for w, a, b in zip(part, [0, *cuts], cuts, strict=False))
+        return out
 
 
 def _encoder(spec: str) -> ChunkEncoder:
@@ -91,10 +148,10 @@ def _encoder(spec: str) -> ChunkEncoder:
 def _tokenize(spec):
     @pandas_udf(T.BinaryType())
     def ids(texts: pd.Series) -> pd.Series:
-        encoder, pack = _encoder(spec.value), zstandard.ZstdCompressor(level=3)
+        encoder, zip_ = _encoder(spec.value), zstandard.ZstdCompressor(level=3)
         out: list[bytes] = []
-        for at in range(0, len(texts), 500):
-            out += [pack.compress(x) for x in encoder.encode(texts[at : at + 500].tolist())]
+        for at in range(0, len(texts), 2000):
+            out += [zip_.compress(x) for x in encoder.encode(texts[at : at + 2000].tolist())]
         return pd.Series(out, dtype=object)
 
     return ids
