@@ -12,6 +12,7 @@ Every block of ``block tokens`` ids starts at its bit offset, so blocks decode a
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -150,8 +151,12 @@ def _tokenize(spec):
     def ids(texts: pd.Series) -> pd.Series:
         encoder, zip_ = _encoder(spec.value), zstandard.ZstdCompressor(level=3)
         out: list[bytes] = []
-        for at in range(0, len(texts), 2000):
-            out += [zip_.compress(x) for x in encoder.encode(texts[at : at + 2000].tolist())]
+        gc.disable()  # millions of small objects without cycles; scans of them take a fifth of the time
+        try:
+            for at in range(0, len(texts), 2000):
+                out += [zip_.compress(x) for x in encoder.encode(texts[at : at + 2000].tolist())]
+        finally:
+            gc.enable()
         return pd.Series(out, dtype=object)
 
     return ids
