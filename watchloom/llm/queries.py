@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import decontam, language, mixing, sharding, simhash, tokens, toxicity
+from watchloom.llm import decontam, language, mixing, sharding, simhash, tokens, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op7_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_toxicity_kneser_ney, op3_language_byte_cnn, op4_mix_sources, op6_rendezvous_shards, op7_huffman_tokens, op8_simhash_near_dedup, op10_benchmark_tiling)
+    found = (op2_toxicity_kneser_ney, op3_language_byte_cnn, op4_mix_sources, op5_embedding_range_join, op6_rendezvous_shards, op7_huffman_tokens, op8_simhash_near_dedup, op10_benchmark_tiling)
     return {f.__name__: f for f in found}
 
 
