@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import decontam, language, mixing, sharding, simhash, tokens, toxicity, vectors
+from watchloom.llm import decontam, language, mixing, secret_scan, sharding, simhash, tokens, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -53,7 +57,7 @@ def op7_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_toxicity_kneser_ney, op3_language_byte_cnn, op4_mix_sources, op5_embedding_range_join, op6_rendezvous_shards, op7_huffman_tokens, op8_simhash_near_dedup, op10_benchmark_tiling)
+    found = (op2_toxicity_kneser_ney, op3_language_byte_cnn, op4_mix_sources, op5_embedding_range_join, op6_rendezvous_shards, op7_huffman_tokens, op8_simhash_near_dedup, op9_secret_scan, op10_benchmark_tiling)
     return {f.__name__: f for f in found}
 
 
