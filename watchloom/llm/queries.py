@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import decontam, language, mixing, secret_scan, sharding, simhash, tokens, toxicity, vectors
+from watchloom.llm import decontam, language, mixing, pii, secret_scan, sharding, simhash, tokens, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def default_tokenizer() -> str:
     return path("word_bpe_49k.json")
 
 
+def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -57,7 +61,7 @@ def op7_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_toxicity_kneser_ney, op3_language_byte_cnn, op4_mix_sources, op5_embedding_range_join, op6_rendezvous_shards, op7_huffman_tokens, op8_simhash_near_dedup, op9_secret_scan, op10_benchmark_tiling)
+    found = (op1_pii_bootstrap, op2_toxicity_kneser_ney, op3_language_byte_cnn, op4_mix_sources, op5_embedding_range_join, op6_rendezvous_shards, op7_huffman_tokens, op8_simhash_near_dedup, op9_secret_scan, op10_benchmark_tiling)
     return {f.__name__: f for f in found}
 
 
