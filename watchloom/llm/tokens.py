@@ -39,7 +39,7 @@ END_ID = 2
 #: Tokens of a segment (cut at document ends once reached) and of a block.
 SEGMENT_TOKENS, BLOCK_TOKENS = 1 << 20, 128
 #: Distinct chunks, and words, whose ids a worker remembers; others are encoded each time.
-CACHE = 400_000
+CACHE = 700_000
 #: Pre-tokenizer pattern under which blanks separate a text for good, and words from punctuation.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A lower-case word of letters that normalisation leaves alone, and punctuation after it.
@@ -72,7 +72,7 @@ class ChunkEncoder:
         split = [p.get("pattern", {}).get("Regex") for p in (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.by_word = bool(suffix) and WORD_PATTERN in split
         self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if self.by_word:
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
@@ -97,31 +97,37 @@ class ChunkEncoder:
         return out
 
     def _resolve(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        odd, plain, words, words_known, match = [], [], set(), self.words, PLAIN.fullmatch
+        """The ids of chunks: of words and punctuation that are known, then of the new ones."""
+        out: dict[bytes, bytes] = {}
+        known, match, waiting, words, odd = self.words, PLAIN.fullmatch, [], {}, {}
         for chunk in chunks:
-            if m := match(chunk.decode().lower()):
+            word = chunk.decode().lower()
+            rest = ""
+            if not (word.isascii() and word.isalpha()):
+                m = match(word)
+                if m is None:
+                    odd[chunk.decode()] = b""
+                    waiting.append((chunk, None, ""))
+                    continue
                 word, rest = m.groups()
-                plain.append((chunk, word, rest))
-                if word and word not in words_known:
-                    words.add(word)
-                if rest and rest not in words_known:
-                    odd.append(rest)
+            if word in known and rest in known:
+                out[chunk] = known[word] + known[rest]
+                continue
+            if word not in known:
+                words[word] = b""
+            if rest not in known:
+                odd[rest] = b""
+            waiting.append((chunk, word, rest))
+        odd = dict(zip(odd, self._whole(list(odd)), strict=True))
+        words = self._encode_words(list(words))
+        words.update((rest, odd[rest]) for _, word, rest in waiting if word is not None and rest in odd)
+        for chunk, word, rest in waiting:
+            if word is None:
+                out[chunk] = odd[chunk.decode()]
             else:
-                odd.append(chunk.decode())
-        odd = list(dict.fromkeys(odd))
-        marks = dict(zip(odd, self._whole(odd), strict=True))
-        new = self._encode_words(list(words))
-        if len(words_known) < CACHE:
-            words_known.update(new)
-            words_known.update((k, marks[k]) for _, _, k in plain if k in marks)
-        new[""] = b""
-        out = {}
-        for chunk, word, rest in plain:
-            first = new[word] if word in new else words_known[word]
-            out[chunk] = first + (marks[rest] if rest in marks else words_known[rest]) if rest else first
-        for chunk in chunks:
-            if chunk not in out:
-                out[chunk] = marks[chunk.decode()]
+                out[chunk] = (words[word] if word in words else known[word]) + (words[rest] if rest in words else known[rest])
+        if len(known) < CACHE:
+            known.update(words)
         return out
 
     def _encode_words(self, words: list[str]) -> dict[str, bytes]:
