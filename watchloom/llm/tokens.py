@@ -18,8 +18,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,6 +52,20 @@ def tokenizer_file(path: str) -> str:
         return f.read()
 
 
+class Known(dict):
+    """Ids by chunk; a chunk that is missing gets a buffer in ``pending``, filled before it is read."""
+
+    def __init__(self):
+        super().__init__()
+        self.pending: dict[bytes, bytearray] = {}
+
+    def __missing__(self, chunk: bytes) -> bytearray:
+        slot = self.pending.get(chunk)
+        if slot is None:
+            slot = self.pending[chunk] = bytearray()
+        return slot
+
+
 class ChunkEncoder:
     """Encodes texts with the tokenizers library and remembers what it has encoded.
 
@@ -71,7 +84,7 @@ class ChunkEncoder:
         parts, suffix = json.loads(spec), json.loads(spec)["model"].get("end_of_word_suffix")
         split = [p.get("pattern", {}).get("Regex") for p in (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.by_word = bool(suffix) and WORD_PATTERN in split
-        self.chunks: dict[bytes, bytes] = {}
+        self.chunks = Known()
         self.words: dict[str, bytes] = {"": b""}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if self.by_word:
@@ -81,14 +94,15 @@ class ChunkEncoder:
         end = np.array([END_ID], self.dtype).tobytes()
         if not self.by_word:
             return [x + end for x in self._whole([t or "" for t in texts])]
-        docs = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
         known = self.chunks
-        missing = set(chain.from_iterable(docs)).difference(known)
-        new = self._resolve(missing)
+        docs = [list(map(known.__getitem__, t.encode("utf-8", "replace").split())) if t else [] for t in texts]
+        new = self._resolve(known.pending)
+        for chunk, slot in known.pending.items():
+            slot += new[chunk]
+        known.pending = {}
         if len(known) < CACHE:
             known.update(new)
-            return [b"".join(map(known.__getitem__, doc)) + end for doc in docs]
-        return [b"".join([known[c] if c in known else new[c] for c in doc]) + end for doc in docs]
+        return [b"".join(doc) + end for doc in docs]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -96,7 +110,7 @@ class ChunkEncoder:
             out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)]
         return out
 
-    def _resolve(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+    def _resolve(self, chunks: Iterable[bytes]) -> dict[bytes, bytes]:
         """The ids of chunks: of words and punctuation that are known, then of the new ones."""
         out: dict[bytes, bytes] = {}
         known, match, waiting, words, odd = self.words, PLAIN.fullmatch, [], {}, {}
@@ -134,7 +148,7 @@ class ChunkEncoder:
         out: dict[str, bytes] = {}
         for at in range(0, len(words), 5000):
             part = words[at : at + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
             if len(cuts) != len(part):
                 out.update(zip(part, self._whole(part), strict=True))
