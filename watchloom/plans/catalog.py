@@ -2,10 +2,471 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from watchloom import schemas
+from watchloom.functions import core
+from watchloom.operators import alerts, detect, folds, normalize, snapshot, store
+from watchloom.operators.compile import Compiler
+from watchloom.plans.bridge import events, table
+from watchloom.sources import authlog, procfs
+from watchloom.sources.rules import load_rules, parse_condition, parse_rule
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+# Predicates: one query for each operator, over every event.
+
+EVENTS = """WITH e AS (SELECT event_id, event_type AS action, user_id, value, ts, props,
+  '10.0.' || (user_id // 256)::VARCHAR || '.' || (user_id % 256)::VARCHAR AS ip, CAST(json_extract_string(props, '$.k') AS INTEGER) AS port,
+  'host-' || (user_id % 7)::VARCHAR AS host, CAST(greatest(0, least(7, floor(value / 50))) AS INTEGER) AS severity,
+  sha256(event_id::VARCHAR || chr(31) || event_type) AS id FROM events) """
+
+_PREDICATES = {
+    "equals": ("event.action", "error", "action = 'error'"),
+    "not_equals": ("event.action", "error", "action <> 'error'"),
+    "contains": ("event.action", "ur", "contains(action, 'ur')"),
+    "not_contains": ("event.action", "ur", "NOT contains(action, 'ur')"),
+    "startswith": ("source.ip", "10.0.0.1", "starts_with(ip, '10.0.0.1')"),
+    "endswith": ("source.ip", "7", "ends_with(ip, '7')"),
+    "regex": ("source.ip", r"\.1[0-9]$", r"regexp_matches(ip, '\.1[0-9]$')"),
+    "gt": ("source.port", 50, "coalesce(port > 50, false)"),
+    "gte": ("event.severity", 1, "severity >= 1"),
+    "lt": ("source.port", 20, "coalesce(port < 20, false)"),
+    "lte": ("event.severity", 0, "severity <= 0"),
+    "in": ("event.action", ["click", "view", 3], "action IN ('click', 'view')"),
+    "not_in": ("source.port", [1, 2, 3, 5, 8, 13, 21], "coalesce(port NOT IN (1, 2, 3, 5, 8, 13, 21), true)"),
+}
+
+
+def _matching(condition: dict) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = events(spark, sf_dir)
+        return e.where(Compiler(e.schema, spark)(parse_condition(condition))).select("event_id", F.col("event.action").alias("action"))
+
+    return run
+
+
+for _op, (_path, _value, _sql) in _PREDICATES.items():
+    query(EVENTS + f"SELECT event_id, action FROM e WHERE {_sql}", f"pred_{_op}")(_matching({"field": _path, "op": _op, "value": _value}))
+
+query(EVENTS + "SELECT event_id, action FROM e WHERE (action = 'error' OR severity >= 1) AND NOT starts_with(ip, '10.0.0.2')", "pred_all_any_not")(
+    _matching({"all": [{"any": [{"field": "event.action", "op": "equals", "value": "error"}, {"field": "event.severity", "op": "gte", "value": 1}]}, {"not": {"field": "source.ip", "op": "startswith", "value": "10.0.0.2"}}]})
+)
+query(EVENTS + "SELECT event_id, action FROM e WHERE false", "pred_missing_field")(_matching({"field": "process.thread.name", "op": "equals", "value": "x"}))
+
+
+def _documents(op: str, value: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = table(spark, sf_dir, "documents")
+        return d.where(Compiler(d.schema, spark)(parse_condition({"field": "text", "op": op, "value": value}))).select("doc_id", "source")
+
+    return run
+
+
+query("SELECT doc_id, source FROM documents WHERE contains(text, 'token')", "pred_contains_docs")(_documents("contains", "token"))
+query(r"SELECT doc_id, source FROM documents WHERE regexp_matches(substr(text, 1, 8192), 'token\s+=', 'i')", "pred_regex_docs")(_documents("regex", r"token\s+="))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) >= 90")
+def field_path_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("props", F.from_json("props", "k int"))
+    return e.where(Compiler(e.schema, spark)(parse_condition({"field": "props.k", "op": "gte", "value": 90}))).select("event_id", F.col("props.k").alias("k"))
+
+
+# Scalar functions.
+
+
+@query("SELECT event_id, sha256(event_id::VARCHAR || chr(31) || event_type || chr(31) || user_id::VARCHAR) AS id FROM events")
+def event_id_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", core.compute_id(F.col("event_id"), F.col("event_type"), F.col("user_id")).alias("id"))
+
+
+@query("SELECT event_id, CAST(greatest(0, least(7, floor(value / 20) - 1)) AS INTEGER) AS severity FROM events")
+def clamp_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", core.clamp_severity(F.floor(F.col("value") / 20) - 1).alias("severity"))
+
+
+@query("SELECT event_id, CASE WHEN s BETWEEN 2 AND 3 THEN 'LOW' WHEN s BETWEEN 4 AND 5 THEN 'MEDIUM' WHEN s = 6 THEN 'HIGH' WHEN s = 7 THEN 'CRITICAL' ELSE 'INFO' END AS label FROM (SELECT event_id, user_id % 9 AS s FROM events)")
+def severity_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", core.severity_label(F.col("user_id") % 9).alias("label"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(text || chr(7) || doc_id::VARCHAR || chr(13) || chr(9), '[\\x00-\\x08\\x0b-\\x1f\\x7f]', '?', 'g')) AS clean_md5 FROM documents")
+def control_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    text = F.concat(F.col("text"), F.lit("\x07"), F.col("doc_id").cast("string"), F.lit("\r\t"))
+    return d.select("doc_id", F.md5(core.strip_control(text, T.StringType()).cast("binary")).alias("clean_md5"))
+
+
+@query("SELECT event_id, '***REDACTED***' AS api_token, user_id::VARCHAR AS who, CASE WHEN user_id % 2 = 0 THEN '***REDACTED***' ELSE props END AS entry FROM events")
+def redact_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    who = F.col("user_id").cast("string")
+    row = F.struct(F.col("props").alias("Api_Token"), who.alias("who"), F.create_map(F.when(F.col("user_id") % 2 == 0, "Session-Id").otherwise("note"), F.col("props")).alias("extra"))
+    e = e.select("event_id", row.alias("row"))
+    clean = core.redact(F.col("row"), e.schema["row"].dataType)
+    return e.select("event_id", clean["Api_Token"].alias("api_token"), clean["who"].alias("who"), F.get(F.map_values(clean["extra"]), F.lit(0)).alias("entry"))
+
+
+@query("SELECT o_orderkey, list_aggregate(list_filter(string_split(o_orderpriority || ',,' || o_orderstatus, ','), lambda x: x <> ''), 'string_agg', '|') AS parts FROM orders")
+def csv_split_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = F.concat_ws(",", "o_orderpriority", F.lit(""), "o_orderstatus")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(core.split_csv(joined), "|").alias("parts"))
+
+
+# Sources and normalization.
+
+_LOG = "'Jan ' || CASE WHEN day(ts) < 10 THEN ' ' ELSE '' END || day(ts)::VARCHAR || ' ' || strftime(ts, '%H:%M:%S')"
+
+
+def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    head = F.concat(F.lit("Jan "), F.lpad(F.dayofmonth("ts").cast("string"), 2, " "), F.lit(" "), F.date_format("ts", "HH:mm:ss"), F.lit(" web-"), (F.col("user_id") % 5).cast("string"), F.when(F.col("event_type") == "view", " cron[1]: ").otherwise(F.concat(F.lit(" sshd["), F.col("event_id").cast("string"), F.lit("]: "))))
+    user, port = F.concat(F.lit("u"), F.col("user_id").cast("string")), F.floor(F.col("value") * 1000).cast("long").cast("string")
+    body = F.when(F.col("event_type") == "error", F.concat(F.lit("Failed password for "), F.when(F.col("user_id") % 3 == 0, "invalid user ").otherwise(""), user, F.lit(" from 10.1.2.3 port "), port, F.lit(" ssh2"))).when(F.col("event_type") == "signup", F.concat(F.lit("Invalid user "), user, F.lit(" from 10.1.2.4 port "), port)).when(F.col("event_type") == "click", F.lit("Connection closed")).otherwise(F.concat(F.lit("Accepted publickey for "), user, F.lit(" from 10.1.2.5 port "), port, F.lit(" ssh2")))
+    return e.select("event_id", F.concat(head, body).alias("value"))
+
+
+@query(
+    f"""WITH l AS (SELECT event_id, ts, user_id, event_type, CAST(floor(value * 1000) AS BIGINT) AS port, {_LOG} AS syslog_ts FROM events WHERE event_type NOT IN ('view', 'click'))
+SELECT event_id, syslog_ts, CAST(epoch(make_timestamp(2024, 1, day(ts), hour(ts), minute(ts), second(ts)) + INTERVAL 4 HOUR) AS BIGINT) AS at, 'web-' || (user_id % 5)::VARCHAR AS host, 'u' || user_id::VARCHAR AS "user",
+  CASE WHEN event_type IN ('error', 'signup') THEN 'ssh_login_failed' ELSE 'ssh_login_succeeded' END AS action,
+  CASE WHEN event_type = 'error' THEN CASE WHEN user_id % 3 = 0 THEN 5 ELSE 4 END WHEN event_type = 'signup' THEN 5 ELSE 2 END AS severity, CAST(port AS INTEGER) AS port FROM l WHERE port <= 65535"""
+)
+def syslog_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = authlog.parse_auth(_log_lines(spark, sf_dir), 2024, "-04:00")
+    return rows.select("event_id", "syslog_ts", F.unix_seconds("occurred_at").alias("at"), "host", "user", "action", "severity", "port")
+
+
+@query("SELECT event_id, CAST(user_id AS BIGINT) AS ppid, CAST(event_id * 7 AS BIGINT) AS starttime, 'we(ird) ' || event_type AS comm FROM events WHERE user_id % 4 <> 0")
+def proc_stat_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    zeros = F.lit("0 " * 17)
+    line = F.concat(F.col("event_id").cast("string"), F.lit(" (we(ird) "), F.col("event_type"), F.lit(") S "), F.col("user_id").cast("string"), F.lit(" "), zeros, F.when(F.col("user_id") % 4 == 0, "x").otherwise((F.col("event_id") * 7).cast("string")))
+    return e.select("event_id", procfs.parse_stat(line).alias("s")).where("s is not null").select("event_id", "s.*")
+
+
+def _net_lines(spark: SparkSession, sf_dir: str, address: Column) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    port = F.lpad(F.hex(F.col("user_id") + 1024), 4, "0")
+    state = F.when(F.col("event_type") == "error", "0a").when(F.col("event_type") == "click", "FF").otherwise("01")
+    return e.select("event_id", F.concat(F.lit("  0: "), address, F.lit(":"), port, F.lit(" "), address, F.lit(":0050 "), state, F.lit(" 00000000:00000000 00:00000000 00000000  "), (F.col("user_id") % 3).cast("string"), F.lit("        0 "), F.col("event_id").cast("string"), F.lit(" 1 0 100")).alias("value"))
+
+
+@query(
+    """SELECT event_id, 'tcp' AS proto, (user_id % 256)::VARCHAR || '.1.0.10' AS local_ip, CAST(user_id + 1024 AS INTEGER) AS local_port, CAST(80 AS INTEGER) AS remote_port,
+  CASE WHEN event_type = 'error' THEN 'LISTEN' ELSE 'ESTABLISHED' END AS state, CAST(user_id % 3 AS BIGINT) AS uid, CAST(event_id AS BIGINT) AS inode FROM events WHERE event_type <> 'click'"""
+)
+def netparse_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _net_lines(spark, sf_dir, F.concat(F.lit("0A0001"), F.lpad(F.hex(F.col("user_id") % 256), 2, "0")))
+    rows = procfs.tracked(procfs.parse_net(lines, "tcp"))
+    return rows.select("event_id", "proto", "local_ip", "local_port", "remote_port", "state", "uid", "inode")
+
+
+@query("SELECT event_id, 'tcp6' AS proto, '::1' AS local_ip, CASE WHEN event_type = 'error' THEN 'LISTEN' ELSE 'ESTABLISHED' END AS state FROM events WHERE event_type <> 'click'")
+def netparse_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _net_lines(spark, sf_dir, F.lit("0" * 24 + "01000000"))
+    return procfs.parse_net(lines, "tcp6").select("event_id", "proto", "local_ip", "state")
+
+
+def _raw_auth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", F.lit("auth").alias("source"), F.col("o_orderdate").cast("timestamp").alias("occurred_at"), F.concat(F.lit("h"), (F.col("o_custkey") % 10).cast("string")).alias("host"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("syslog_ts"), F.col("o_orderkey").cast("string").alias("pid"), F.lit("ssh_login_failed").alias("action"), F.when(F.col("o_orderstatus") == "P", "bogus").otherwise("failure").alias("outcome"), (F.col("o_custkey") % 10).cast("int").alias("severity"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("user"), F.lit("10.0.0.1").alias("ip"), (F.col("o_custkey") * 50).cast("int").alias("port"), F.col("o_orderpriority").alias("message"))
+
+
+@query(
+    """SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_custkey % 10 > 7 THEN 'severity' END, CASE WHEN o_orderstatus = 'P' THEN 'outcome' END, CASE WHEN o_custkey * 50 > 65535 THEN 'port' END], lambda x: x IS NOT NULL), ',') AS errors
+FROM orders WHERE o_custkey % 10 > 7 OR o_orderstatus = 'P' OR o_custkey * 50 > 65535"""
+)
+def dead_letter_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, dead = normalize.split_valid(_raw_auth(spark, sf_dir), "auth")
+    return dead.select("o_orderkey", F.array_join("errors", ",").alias("errors"))
+
+
+@query(
+    """SELECT sha256(concat_ws(chr(31), strftime(o_orderdate, '%Y-%m-%d'), 'h' || (o_custkey % 10)::VARCHAR, o_orderkey::VARCHAR, 'ssh_login_failed', 'c' || o_custkey::VARCHAR, '10.0.0.1', (o_custkey * 50)::VARCHAR)) AS id,
+  'authentication' AS category, 'failure' AS outcome, CAST(o_custkey % 10 AS INTEGER) AS severity, CAST(o_custkey * 50 AS INTEGER) AS port, o_orderpriority AS message
+FROM orders WHERE o_custkey % 10 <= 7 AND o_orderstatus <> 'P' AND o_custkey * 50 <= 65535"""
+)
+def normalize_auth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid, _ = normalize.split_valid(_raw_auth(spark, sf_dir), "auth")
+    return normalize.normalize(valid, "auth").select("event.id", "event.category", "event.outcome", "event.severity", "source.port", "message")
+
+
+def _raw_other(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    common = [F.lit(source).alias("source"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("occurred_at"), F.lit("web-01").alias("host"), F.lit(3).alias("severity")]
+    key = F.col("p_partkey")
+    own = {
+        "process": [F.lit("process_started").alias("action"), key.cast("int").alias("pid"), F.lit(1).alias("ppid"), (key * 3).alias("starttime"), F.when(key % 2 == 0, F.col("p_brand")).otherwise("").alias("comm"), F.col("p_name").alias("cmdline"), F.lit(None).cast("string").alias("executable")],
+        "file": [F.lit("file_modified").alias("action"), F.concat(F.lit("/opt/"), key.cast("string")).alias("path"), key.alias("size"), F.lit("0644").alias("mode"), F.sha2(F.col("p_name"), 256).alias("sha256"), F.sha2(F.col("p_name"), 256).alias("id_seed")],
+        "network": [F.lit("network_listen_started").alias("action"), F.lit("tcp").alias("proto"), F.lit("0.0.0.0").alias("local_ip"), (key % 65536).cast("int").alias("local_port"), F.lit("10.0.0.9").alias("remote_ip"), F.lit(443).alias("remote_port"), F.when(key % 2 == 0, "LISTEN").otherwise("ESTABLISHED").alias("state"), F.lit(0).cast("long").alias("uid"), key.alias("inode")],
+    }
+    return p.select(*common, *own[source])
+
+
+@query(
+    """SELECT sha256(p_partkey::VARCHAR || chr(31) || (p_partkey * 3)::VARCHAR || chr(31) || 'process_started') AS id, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS name, rtrim('process_started: pid=' || p_partkey::VARCHAR || ' ' || CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END) AS message FROM part"""
+)
+def normalize_process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.normalize(_raw_other(spark, sf_dir, "process"), "process").select("event.id", "process.name", "message")
+
+
+@query("SELECT sha256('/opt/' || p_partkey::VARCHAR || chr(31) || 'file_modified' || chr(31) || sha256(p_name)) AS id, '/opt/' || p_partkey::VARCHAR AS path, sha256(p_name) AS sha256, 'file_modified: /opt/' || p_partkey::VARCHAR AS message FROM part")
+def normalize_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.normalize(_raw_other(spark, sf_dir, "file"), "file").select("event.id", "file.path", "file.hash.sha256", "message")
+
+
+@query(
+    """SELECT sha256(concat_ws(chr(31), 'tcp', '0.0.0.0', (p_partkey % 65536)::VARCHAR, '10.0.0.9', '443', p_partkey::VARCHAR, 'network_listen_started')) AS id, CASE WHEN p_partkey % 2 = 1 THEN '10.0.0.9' END AS destination_ip,
+  'network_listen_started: tcp 0.0.0.0:' || (p_partkey % 65536)::VARCHAR || CASE WHEN p_partkey % 2 = 1 THEN ' -> 10.0.0.9:443' ELSE '' END || ' (uid=0)' AS message FROM part"""
+)
+def normalize_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.normalize(_raw_other(spark, sf_dir, "network"), "network").select("event.id", F.col("destination.ip").alias("destination_ip"), "message")
+
+
+# Snapshot differences: two cuts of the part and customer tables stand for two scans.
+
+
+def _files(spark: SparkSession, sf_dir: str, later: bool) -> DataFrame:
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    shift = F.when((k % 5 == 0) & F.lit(later), 1).otherwise(0)
+    rows = p.where(k % 11 != (1 if later else 2)).select(F.concat(F.lit("/f/"), k.cast("string")).alias("path"), (F.col("p_size") + shift).cast("long").alias("size"), (k * 10).alias("mtime_ns"), F.when((k % 7 == 0) & F.lit(later), 33261 & 4095).otherwise(420).alias("mode"), F.when(k % 3 == 0, F.lit(None)).otherwise(F.sha2(F.concat(F.col("p_name"), shift.cast("string")), 256)).alias("sha256"))
+    return rows
+
+
+@query(
+    """WITH o AS (SELECT * FROM part WHERE p_partkey % 11 <> 2), n AS (SELECT * FROM part WHERE p_partkey % 11 <> 1)
+SELECT '/f/' || coalesce(n.p_partkey, o.p_partkey)::VARCHAR AS path, CASE WHEN o.p_partkey IS NULL THEN 'file_created' WHEN n.p_partkey IS NULL THEN 'file_deleted' WHEN n.p_partkey % 5 = 0 THEN 'file_modified' ELSE 'file_attributes_modified' END AS action,
+  CASE WHEN o.p_partkey IS NULL THEN 3 WHEN n.p_partkey IS NULL THEN 5 WHEN n.p_partkey % 5 = 0 THEN 4 ELSE 5 END AS severity, CASE WHEN n.p_partkey % 7 = 0 THEN '0755' ELSE '0644' END AS mode
+FROM o FULL JOIN n ON o.p_partkey = n.p_partkey WHERE o.p_partkey IS NULL OR n.p_partkey IS NULL OR n.p_partkey % 5 = 0 OR n.p_partkey % 7 = 0"""
+)
+def snapshot_diff_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.diff_files(_files(spark, sf_dir, False), _files(spark, sf_dir, True)).select("path", "action", "severity", "mode")
+
+
+def _processes(spark: SparkSession, sf_dir: str, later: bool) -> DataFrame:
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    start = F.when((k % 6 == 0) & F.lit(later), k + 1).otherwise(k)
+    return c.where(k % 13 != (1 if later else 2)).select(k.cast("int").alias("pid"), start.alias("starttime"), F.lit(1).alias("ppid"), F.col("c_name").alias("comm"))
+
+
+@query(
+    """WITH o AS (SELECT c_custkey AS pid, c_custkey AS s, c_name FROM customer WHERE c_custkey % 13 <> 2), n AS (SELECT c_custkey AS pid, CASE WHEN c_custkey % 6 = 0 THEN c_custkey + 1 ELSE c_custkey END AS s, c_name FROM customer WHERE c_custkey % 13 <> 1)
+SELECT CAST(coalesce(n.pid, o.pid) AS INTEGER) AS pid, CAST(coalesce(n.s, o.s) AS BIGINT) AS starttime, CASE WHEN o.pid IS NULL THEN 'process_started' ELSE 'process_stopped' END AS action, CASE WHEN o.pid IS NULL THEN 3 ELSE 2 END AS severity, coalesce(n.c_name, o.c_name) AS comm
+FROM o FULL JOIN n ON o.pid = n.pid AND o.s = n.s WHERE o.pid IS NULL OR n.pid IS NULL"""
+)
+def snapshot_diff_process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.diff_processes(_processes(spark, sf_dir, False), _processes(spark, sf_dir, True)).select("pid", "starttime", "action", "severity", "comm")
+
+
+def _sockets(spark: SparkSession, sf_dir: str, later: bool) -> DataFrame:
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    return s.where(k % 4 != (1 if later else 2)).select(F.lit("tcp").alias("proto"), F.lit("0.0.0.0").alias("local_ip"), (k % 1000).cast("int").alias("local_port"), F.lit("0.0.0.0").alias("remote_ip"), F.lit(0).alias("remote_port"), k.alias("inode"), F.when(k % 3 == 0, "LISTEN").otherwise("ESTABLISHED").alias("state"), F.lit(0).cast("long").alias("uid"))
+
+
+@query(
+    """SELECT CAST(s_suppkey AS BIGINT) AS inode, CASE WHEN s_suppkey % 4 = 2 THEN CASE WHEN s_suppkey % 3 = 0 THEN 'network_listen_started' ELSE 'network_connection_opened' END ELSE CASE WHEN s_suppkey % 3 = 0 THEN 'network_listen_stopped' ELSE 'network_connection_closed' END END AS action,
+  CASE WHEN s_suppkey % 4 = 2 THEN CASE WHEN s_suppkey % 3 = 0 THEN 4 ELSE 2 END ELSE CASE WHEN s_suppkey % 3 = 0 THEN 3 ELSE 1 END END AS severity FROM supplier WHERE s_suppkey % 4 IN (1, 2)"""
+)
+def snapshot_diff_socket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.diff_sockets(_sockets(spark, sf_dir, False), _sockets(spark, sf_dir, True)).select("inode", "action", "severity")
+
+
+# Detection and folds.
+
+
+def _rule(ident: str, severity: int, condition: dict):
+    return parse_rule({"id": ident, "title": ident.replace("-", " "), "description": "Bench rule.", "severity": severity, "attack": ["T1110"], "nist_csf": ["DE.CM"], "condition": condition})
+
+
+def bench_rules() -> list:
+    return [
+        _rule("error-burst", 6, {"all": [{"field": "event.action", "op": "equals", "value": "error"}, {"field": "event.severity", "op": "gte", "value": 1}]}),
+        _rule("odd-port", 4, {"all": [{"field": "event.action", "op": "in", "value": ["view", "click"]}, {"field": "source.port", "op": "not_in", "value": [1, 2, 3, 5, 8]}, {"field": "source.ip", "op": "regex", "value": r"\.1[0-9]$"}]}),
+        _rule("buyer", 2, {"field": "message", "op": "startswith", "value": "purchase"}),
+    ]
+
+
+_DETECTIONS = """ d AS (SELECT event_id, ts, id, host, action, 'error-burst' AS rule_id, 6 AS severity FROM e WHERE action = 'error' AND severity >= 1
+UNION ALL SELECT event_id, ts, id, host, action, 'odd-port', 4 FROM e WHERE action IN ('view', 'click') AND coalesce(port NOT IN (1, 2, 3, 5, 8), true) AND regexp_matches(ip, '\\.1[0-9]$')
+UNION ALL SELECT event_id, ts, id, host, action, 'buyer', 2 FROM e WHERE action = 'purchase') """
+
+
+@query(EVENTS + "," + _DETECTIONS + "SELECT rule_id, severity, id AS event_id, host, replace(rule_id, '-', ' ') || ' [T1110] — ' || action || ' on ' || host AS message FROM d")
+def detect_multi_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.evaluate(events(spark, sf_dir), bench_rules()).select("rule_id", "severity", "event_id", "host", "message")
+
+
+def _fold_sql(rows: str, key: str, start: str, carry: str, keep: str) -> str:
+    """Recursive oracle of a fold over rows (event_id, t, key), one step for each row of a key."""
+    return f"""WITH RECURSIVE src AS ({rows}), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, event_id) AS rn FROM src), """ + f"""f AS (SELECT k, rn, event_id, t, {start} FROM r WHERE rn = 1 UNION ALL SELECT r.k, r.rn, r.event_id, r.t, {carry} FROM f JOIN r ON r.k = f.k AND r.rn = f.rn + 1) SELECT event_id, {key} FROM f WHERE {keep}"""
+
+
+_US = "epoch_us(ts)"
+
+
+@query(
+    _fold_sql(
+        f"SELECT event_id, {_US} AS t, user_id AS k FROM events WHERE event_type = 'error'", "k AS user_id", "[t] AS w, false AS fire",
+        "CASE WHEN len(list_filter(f.w, lambda m: m >= r.t - 86400::BIGINT * 1000000)) + 1 >= 3 THEN []::BIGINT[] ELSE list_append(list_filter(f.w, lambda m: m >= r.t - 86400::BIGINT * 1000000), r.t) END, len(list_filter(f.w, lambda m: m >= r.t - 86400::BIGINT * 1000000)) + 1 >= 3", "fire",
+    )
+)
+def threshold_fire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = table(spark, sf_dir, "events").where("event_type = 'error'")
+    return folds.threshold(errors, ["user_id"], "ts", ["event_id"], 86_400, 3).where("fired").select("event_id", "user_id")
+
+
+@query(
+    _fold_sql(f"SELECT event_id, {_US} AS t, user_id::VARCHAR || event_type AS k FROM events", "k AS key", "t AS w, true AS fresh", "CASE WHEN f.w + 86400::BIGINT * 1000000 > r.t THEN f.w ELSE r.t END, f.w + 86400::BIGINT * 1000000 <= r.t", "fresh")
+)
+def ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("key", F.concat(F.col("user_id").cast("string"), "event_type"))
+    return folds.dedup(e, ["user_id", "event_type"], "ts", ["event_id"], 86_400).where("fresh").select("event_id", "key")
+
+
+@query(
+    _fold_sql(
+        f"SELECT event_id, {_US} AS t, event_type AS k FROM events WHERE value > 20", "k AS event_type", "[t] AS w, true AS passed",
+        "CASE WHEN len(list_filter(f.w, lambda m: m >= r.t - 86400::BIGINT * 1000000)) >= 10 THEN list_filter(f.w, lambda m: m >= r.t - 86400::BIGINT * 1000000) ELSE list_append(list_filter(f.w, lambda m: m >= r.t - 86400::BIGINT * 1000000), r.t) END, len(list_filter(f.w, lambda m: m >= r.t - 86400::BIGINT * 1000000)) < 10", "passed",
+    )
+)
+def alert_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("value > 20")
+    return folds.throttle(e, ["event_type"], "ts", ["event_id"], 86_400, 10).where("passed").select("event_id", "event_type")
+
+
+def _gate_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.concat_ws("|", "event_type", F.col("user_id").cast("string")).alias("dedup_key"), F.col("event_type").alias("rule_id"), F.least(F.lit(7), F.floor(F.col("value") / 10)).cast("int").alias("severity"), F.col("ts").cast("timestamp").alias("timestamp"))
+
+
+@query(
+    """WITH RECURSIVE a AS (SELECT event_id, event_type || '|' || user_id::VARCHAR AS k, event_type, epoch_us(ts) AS t, CAST(least(7, floor(value / 10)) AS INTEGER) AS sev FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, event_id) AS rn FROM a WHERE sev >= 2),
+f AS (SELECT k, rn, event_id, event_type, t, t AS w, true AS fresh FROM r WHERE rn = 1 UNION ALL SELECT r.k, r.rn, r.event_id, r.event_type, r.t, CASE WHEN f.w + 86400000000 > r.t THEN f.w ELSE r.t END, f.w + 86400000000 <= r.t FROM f JOIN r ON r.k = f.k AND r.rn = f.rn + 1),
+q AS (SELECT event_type, event_id, t, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id) AS rn FROM f WHERE fresh),
+g AS (SELECT event_type, event_id, t, rn, [t] AS w, true AS passed FROM q WHERE rn = 1 UNION ALL SELECT q.event_type, q.event_id, q.t, q.rn,
+  CASE WHEN len(list_filter(g.w, lambda m: m >= q.t - 86400000000)) >= 10 THEN list_filter(g.w, lambda m: m >= q.t - 86400000000) ELSE list_append(list_filter(g.w, lambda m: m >= q.t - 86400000000), q.t) END, len(list_filter(g.w, lambda m: m >= q.t - 86400000000)) < 10 FROM g JOIN q ON q.event_type = g.event_type AND q.rn = g.rn + 1)
+SELECT event_id, 'suppressed_severity' AS status FROM a WHERE sev < 2 UNION ALL SELECT event_id, 'deduped' FROM f WHERE NOT fresh UNION ALL SELECT event_id, CASE WHEN passed THEN 'emitted' ELSE 'throttled' END FROM g"""
+)
+def alert_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gates = alerts.Gates(min_severity=2, dedup_seconds=86_400, throttle_max=10, throttle_seconds=86_400)
+    return alerts.gate(_gate_alerts(spark, sf_dir), gates).select("event_id", "status")
+
+
+@query("SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id HAVING count(*) > 0")
+def api_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by client under a window so short that all pass."""
+    passed = folds.throttle(table(spark, sf_dir, "events"), ["user_id"], "ts", ["event_id"], 0.000001, 100).where("passed")
+    return store.counters(passed, "user_id")
+
+
+@query(EVENTS + "," + _DETECTIONS + "SELECT strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || ' [' || CASE severity WHEN 6 THEN 'HIGH' WHEN 4 THEN 'MEDIUM' ELSE 'LOW' END || '] ' || rule_id || ' (T1110) host=' || host || ' :: ' || replace(rule_id, '-', ' ') || ' [T1110] — ' || action || ' on ' || host AS line FROM d")
+def alert_render_console(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts.build(detect.evaluate(events(spark, sf_dir), bench_rules())).select(alerts.console_line().alias("line"))
+
+
+@query(EVENTS + "," + _DETECTIONS + "SELECT rule_id || '|' || id AS dedup_key, '[' || CASE severity WHEN 6 THEN 'HIGH' WHEN 4 THEN 'MEDIUM' ELSE 'LOW' END || '] ' || rule_id || ' on ' || host AS subject FROM d")
+def alert_render_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = alerts.build(detect.evaluate(events(spark, sf_dir), bench_rules()))
+    return built.select("dedup_key", alerts.email("a@b.example", ["c@d.example"])["subject"].alias("subject"))
+
+
+@query()
+def webhook_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = alerts.build(detect.evaluate(events(spark, sf_dir), bench_rules()))
+    body = built.select("dedup_key", alerts.webhook_body(schemas.ALERT.names).alias("body"))
+    return body.select("dedup_key", "body", alerts.signature("key")(F.col("body")).alias("signature"))
+
+
+@query()
+def rule_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shipped rules over normalised log lines and records of all sources."""
+    auth = normalize.normalize(authlog.parse_auth(_log_lines(spark, sf_dir), 2024), "auth")
+    rest = [normalize.normalize(_raw_other(spark, sf_dir, s), s) for s in ("process", "file", "network")]
+    every = auth.unionByName(rest[0]).unionByName(rest[1]).unionByName(rest[2])
+    return store.counters(detect.evaluate(every, load_rules()), "rule_id", "severity")
+
+
+@query("SELECT id, CAST(severity AS INTEGER) AS severity, 'T1110' AS attack, 'DE.CM' AS nist_csf, '—' AS d3fend FROM (VALUES ('error-burst', 6), ('odd-port', 4), ('buyer', 2)) t(id, severity)")
+def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.coverage(spark, bench_rules())
+
+
+@query()
+def rules_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.listing(spark, load_rules())
+
+
+# Storage, pages and metrics.
+
+
+@query(EVENTS + "SELECT id AS event_id, CAST(epoch_us(ts) AS BIGINT) AS occurred_us, action, severity, host, ip AS source_ip, action || ' by u' || user_id::VARCHAR AS message FROM e")
+def store_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store.event_rows(events(spark, sf_dir))
+    return rows.select("event_id", F.unix_micros("occurred_at").alias("occurred_us"), "action", "severity", "host", "source_ip", "message")
+
+
+@query(EVENTS + "," + _DETECTIONS + "SELECT rule_id || '|' || id AS dedup_key, severity, 'T1110' AS attack, 'DE.CM' AS nist_csf FROM d")
+def store_alert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.alert_rows(alerts.build(detect.evaluate(events(spark, sf_dir), bench_rules()))).select("dedup_key", "severity", "attack", "nist_csf")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id < 700 ORDER BY event_id DESC LIMIT 50")
+def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.page(table(spark, sf_dir, "events"), 50, 700, "event_id").select("event_id", "event_type")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS total FROM events")
+def keyset_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").agg(F.count("*").alias("total"))
+
+
+@query(EVENTS + "," + _DETECTIONS + "SELECT rule_id, severity, CAST(count(*) AS BIGINT) AS n FROM d GROUP BY rule_id, severity")
+def counters_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.counters(detect.evaluate(events(spark, sf_dir), bench_rules()), "rule_id", "severity")
+
+
+@query(
+    """SELECT event_type, le, CAST(sum(CASE WHEN le = '+Inf' OR value / 20 <= CAST(replace(le, '+Inf', 'inf') AS DOUBLE) THEN 1 ELSE 0 END) AS BIGINT) AS n FROM events, (VALUES ('0.001'), ('0.005'), ('0.01'), ('0.05'), ('0.1'), ('0.5'), ('1.0'), ('5.0'), ('+Inf')) b(le) GROUP BY event_type, le"""
+)
+def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.histogram(F.col("value") / 20, "event_type")(table(spark, sf_dir, "events"))
+
+
+@query("SELECT CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS start_s, event_type, CAST(count(*) AS BIGINT) AS n, count(*) / 60.0::DOUBLE AS per_second FROM events GROUP BY 1, 2")
+def rate_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store.rate(table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp")), "at", "1 minute", "event_type")
+    return rows.select(F.unix_seconds("start").alias("start_s"), "event_type", "n", "per_second")
+
+
+@query("SELECT 'events_total{type=\"' || event_type || '\"} ' || count(*)::VARCHAR AS line FROM events GROUP BY event_type")
+def prometheus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = store.counters(table(spark, sf_dir, "events").withColumnRenamed("event_type", "type"), "type")
+    return store.prometheus(counted, "events_total", ["type"])
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
