@@ -18,7 +18,7 @@ from watchloom.llm.common import crc_bucket
 WORD = re.compile(r"\w+")
 #: Labelled rows of each class that the model is fit on at most (those with the smallest id hashes),
 #: and the most bytes of such a row's text. These bound the model, which is broadcast.
-CLASS_ROWS, ROW_BYTES = 4_000, 20_000
+CLASS_ROWS, ROW_BYTES = 3_000, 20_000
 #: Of FOLDS folds of the training rows, one calibrates and the others count.
 FOLDS = 5
 DISCOUNT = 0.75
@@ -135,12 +135,11 @@ class ToxicityModel:
         if min(len(set(labels[part].tolist())) for part in (dev, ~dev)) < 2:
             rate = (totals[1] + 0.5) / (totals.sum() + 1)
             return cls(None, bias=float(np.log(rate / (1 - rate))) if totals.sum() else -5.0)
-        words = [words_of(t) for t, _, _ in rows]
         own, held = np.flatnonzero(~dev), np.flatnonzero(dev)
-        model = KneserNey.fit([words[i] for i in own], labels[own])
+        model = KneserNey.fit((words_of(rows[i][0]) for i in own), labels[own])
         y = labels[held]
         weight = (totals / np.maximum(np.bincount(y, minlength=2), 1))[y]
-        x = np.array([difference(model, words[i]) for i in held])
+        x = np.array([difference(model, words_of(rows[i][0])) for i in held])
         return cls(model, *logistic(x, y, weight * len(y) / weight.sum()))
 
     def score(self, text: str | None) -> float:
