@@ -71,6 +71,7 @@ def rate(rows: DataFrame, time: str, width: str = "1 minute", *labels: str) -> D
 
 def prometheus(rows: DataFrame, metric: str, labels: list[str], value: str = "n") -> DataFrame:
     """Metric lines in the text exposition format."""
-    quote = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), r"\\", r"\\\\\\\\"), "\n", r"\\\\n"), '"', r'\\\\"')
+    swap = lambda c, old, new: F.replace(c, F.lit(old), F.lit(new))
+    quote = lambda c: swap(swap(swap(F.col(c).cast("string"), "\\", "\\\\"), "\n", "\\n"), '"', '\\"')
     pairs = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), quote(c), F.lit('"')) for c in labels])
     return rows.select(F.concat(F.lit(metric), F.lit("{"), pairs, F.lit("} "), F.col(value).cast("string")).alias("line"))

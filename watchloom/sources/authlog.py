@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_LINE = 8192
+#: Between the groups of a match; a line's own are blanks.
+MARK = "\x1f"
 # Line formats, months, severities and outcomes by message body.
 SYSLOG = r"^([A-Z][a-z]{2}\s+\d{1,2}\s\d{2}:\d{2}:\d{2})\s(\S+)\s([\w/.-]+?)(?:\[(\d+)\])?:\s(.*)$"
-FAILED = r"^Failed (?:password|publickey) for (invalid user )?(\S+) from (\S+) port (\d+)"
-ACCEPTED = r"^Accepted (?:password|publickey) for ()(\S+) from (\S+) port (\d+)"
-INVALID = r"^Invalid user ()(\S+) from (\S+) port (\d+)"
+BODY = r"^(?:(Failed) (?:password|publickey) for (invalid user )?|(Accepted) (?:password|publickey) for |(Invalid) user )(\S+) from (\S+) port (\d+).*$"
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
@@ -26,17 +26,21 @@ def syslog_time(ts: Column, year: Column, tz: str) -> Column:
 def parse_auth(lines: DataFrame, year: int | Column, tz: str = "UTC", host: str | None = None, column: str = "value") -> DataFrame:
     """Raw auth records of the lines that are recognised sshd messages with values in range; other
     columns of ``lines`` are kept."""
-    line = F.regexp_replace(F.col(column), r"\n+\z", "")
+    line = F.translate(F.regexp_replace(F.col(column), r"\n+\z", ""), MARK, " ")
     year = F.lit(year) if isinstance(year, int) else year
-    part = [F.regexp_extract(line, SYSLOG, i) for i in range(1, 6)]
-    body = part[4]
-    form = F.when(body.rlike(FAILED), "failed").when(body.rlike(ACCEPTED), "accepted").when(body.rlike(INVALID), "invalid")
-    get = lambda i: F.when(F.col("form") == "failed", F.regexp_extract("message", FAILED, i)).when(F.col("form") == "accepted", F.regexp_extract("message", ACCEPTED, i)).otherwise(F.regexp_extract("message", INVALID, i))
     kept = [c for c in lines.columns if c != column]
-    head = lines.where((F.length(column) <= MAX_LINE) & line.rlike(SYSLOG) & (part[2] == "sshd")).select(*kept, part[0].alias("syslog_ts"), (F.lit(host) if host else part[1]).alias("host"), part[3].alias("pid"), body.alias("message"), form.alias("form"))
-    rows = head.where("form is not null").select(
-        *kept, F.lit("auth").alias("source"), syslog_time(F.col("syslog_ts"), year, tz).alias("occurred_at"), "host", "syslog_ts", "pid",
-        F.when(F.col("form") == "accepted", "ssh_login_succeeded").otherwise("ssh_login_failed").alias("action"), F.when(F.col("form") == "accepted", "success").otherwise("failure").alias("outcome"),
-        F.when(F.col("form") == "accepted", 2).when((F.col("form") == "failed") & (get(1) == ""), 4).otherwise(5).alias("severity"), get(2).alias("user"), get(3).alias("ip"), get(4).try_cast("int").alias("port"), "message",
+    # every pattern runs once: its groups come out as one array
+    head = lines.where((F.length(column) <= MAX_LINE) & line.rlike(SYSLOG)).select(*kept, groups(line, SYSLOG, 5).alias("h"))
+    head = head.where((F.get("h", F.lit(2)) == "sshd") & F.get("h", F.lit(4)).rlike(BODY)).select(*kept, "h", groups(F.get("h", F.lit(4)), BODY, 7).alias("b"))
+    accepted = F.get("b", F.lit(2)) != ""
+    rows = head.select(
+        *kept, F.lit("auth").alias("source"), syslog_time(F.get("h", F.lit(0)), year, tz).alias("occurred_at"), (F.lit(host) if host else F.get("h", F.lit(1))).alias("host"), F.get("h", F.lit(0)).alias("syslog_ts"), F.get("h", F.lit(3)).alias("pid"),
+        F.when(accepted, "ssh_login_succeeded").otherwise("ssh_login_failed").alias("action"), F.when(accepted, "success").otherwise("failure").alias("outcome"),
+        F.when(accepted, 2).when((F.get("b", F.lit(0)) != "") & (F.get("b", F.lit(1)) == ""), 4).otherwise(5).alias("severity"), F.get("b", F.lit(4)).alias("user"), F.get("b", F.lit(5)).alias("ip"), F.get("b", F.lit(6)).try_cast("int").alias("port"), F.get("h", F.lit(4)).alias("message"),
     )
     return rows.where("occurred_at is not null and port between 0 and 65535 and length(user) <= 256 and length(ip) <= 64 and length(host) <= 253 and length(pid) <= 20 and length(message) between 1 and 10000")
+
+
+def groups(text: Column, pattern: str, n: int) -> Column:
+    """The n groups of a text that matches ``pattern`` whole."""
+    return F.split(F.regexp_replace(text, pattern, MARK.join(f"${i}" for i in range(1, n + 1))), MARK, -1)
