@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchloom.llm import spans
@@ -18,8 +18,12 @@ SYMBOLS = len(ALPHABET) + 1
 TOKEN = "[A-Za-z0-9+/_=-]"
 #: Shortest token that is judged and shortest that trains the model of ordinary identifiers.
 JUDGED, TRAINED = 20, 12
+#: Tokens that mix lower case, upper case and digits are no labelled sample of ordinary identifiers.
+UNSURE = "^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])"
 #: Made-up random strings, the labelled samples that found secrets are added to.
 SAMPLES = 20_000
+#: Pseudo-counts with which a model backs off from a pair to its second character.
+BACKOFF = 8.0
 #: Log-likelihood ratio that a token needs in all and per character pair.
 LEAST_TOTAL, LEAST_MEAN = 12.0, 0.5
 
@@ -48,14 +52,23 @@ def random_samples(spark) -> DataFrame:
     return spark.range(SAMPLES).select(F.explode(both).alias("token"), F.lit(1).alias("n"))
 
 
+def transitions(counts: DataFrame, name: str) -> DataFrame:
+    """pair and the log probability (column ``name``) of its second character after its first: the
+    pair counts, with BACKOFF counts dealt by how often the second character occurs at all."""
+    grid = counts.sparkSession.range(SYMBOLS * SYMBOLS).select(F.col("id").cast("int").alias("pair"), F.floor(F.col("id") / SYMBOLS).alias("head"), (F.col("id") % SYMBOLS).alias("tail"))
+    full = grid.join(counts, "pair", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    heads = full.groupBy("head").agg(F.sum("n").alias("of_head"))
+    tails = full.groupBy("tail").agg(F.sum("n").alias("of_tail"))
+    tails = tails.withColumn("share", (F.col("of_tail") + 0.5) / (F.sum("of_tail").over(Window.partitionBy()) + 0.5 * SYMBOLS))
+    p = (F.col("n") + BACKOFF * F.col("share")) / (F.col("of_head") + BACKOFF)
+    return full.join(heads, "head").join(tails, "tail").select("pair", F.ln(p).alias(name))
+
+
 def log_ratios(ordinary: DataFrame, random: DataFrame) -> DataFrame:
-    """One row: the log ratio of the random to the ordinary transition probability for every pair,
-    with add-one smoothing. SYMBOLS ** 2 numbers, whatever the corpus."""
-    grid = ordinary.sparkSession.range(SYMBOLS * SYMBOLS).select(F.col("id").cast("int").alias("pair"))
-    both = grid.join(ordinary.withColumnRenamed("n", "o"), "pair", "left").join(random.withColumnRenamed("n", "r"), "pair", "left").select("pair", F.floor(F.col("pair") / SYMBOLS).alias("head"), F.coalesce("o", F.lit(0)).alias("o"), F.coalesce("r", F.lit(0)).alias("r"))
-    heads = both.groupBy("head").agg(F.sum("o").alias("ho"), F.sum("r").alias("hr"))
-    ratio = F.ln((F.col("r") + 1) / (F.col("hr") + SYMBOLS)) - F.ln((F.col("o") + 1) / (F.col("ho") + SYMBOLS))
-    rows = both.join(heads, "head").select(F.struct("pair", ratio.alias("v")).alias("x"))
+    """One row: the log ratio of the random to the ordinary transition probability for every pair of
+    characters. SYMBOLS ** 2 numbers, whatever the corpus."""
+    both = transitions(ordinary, "o").join(transitions(random, "r"), "pair")
+    rows = both.select(F.struct("pair", (F.col("r") - F.col("o")).alias("v")).alias("x"))
     return rows.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("ratios"))
 
 
@@ -64,8 +77,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Tokens of JUDGED characters or more that overlap no base span are of kind ``random`` if their
     log-likelihood ratio reaches LEAST_TOTAL and LEAST_MEAN. The ordinary model counts every token
-    of TRAINED characters or more in all documents that a base span does not claim; the random
-    model the base spans' values and random_samples. Null and empty texts have no spans; repeated
+    of TRAINED characters or more in all documents that is not UNSURE and that no base span claims;
+    the random model the base spans' values and random_samples. Null and empty texts have no spans; repeated
     rows equal results; other columns are ignored; an empty table gives no rows.
     """
     ws = Workspace(docs.sparkSession)
@@ -74,7 +87,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rest: Column = F.col("text")
     for pattern in (ASSIGN, ACCESS, HEX):
         rest = F.regexp_replace(rest, pattern, " ")
-    words = rows.select(F.explode(F.regexp_extract_all(rest, F.lit(TOKEN + "{%d,}" % TRAINED), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    words = rows.select(F.explode(F.regexp_extract_all(rest, F.lit(TOKEN + "{%d,}" % TRAINED), F.lit(0))).alias("token")).where(~F.col("token").rlike(UNSURE)).groupBy("token").agg(F.count("*").alias("n"))
     claimed = found.select(F.explode("base").alias("s")).select(F.col("s.value").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     model = ws.store(log_ratios(pair_counts(words), pair_counts(claimed.unionByName(random_samples(docs.sparkSession)))))
     found = found.withColumn("ratios", model.scalar())  # SYMBOLS ** 2 numbers
