@@ -103,3 +103,14 @@ def test_library(spark):
     assert fired - {(n, n) for n in {*POSITIVE, "ssh-brute-force"}} == {("interactive-shell-spawn", "reverse-shell-process")}
     assert sum(r.rule_id == "ssh-brute-force" for r in got) == 1
     assert re.match(r".* \[T1110\] — ssh_login_failed on h", next(r.message for r in got if r.rule_id == "ssh-brute-force"))
+
+
+def test_one_scan_with_pushed_filters(spark, tmp_path):
+    rows = [event(spark, **POSITIVE["log-tampering"]), event(spark, **POSITIVE["c2-beacon-port"])]
+    spark.createDataFrame(rows, schemas.EVENT).write.parquet(str(tmp_path / "e"))
+    rules = [r for r in load_rules() if r.id in ("log-tampering", "c2-beacon-port")]
+    df = detect.evaluate(spark.read.parquet(str(tmp_path / "e")), rules)
+    assert df.count() == 2
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "In(event.action, [file_deleted,network_connection_opened])" in plan
+    assert "Join" not in plan and "Exchange" not in plan and "outcome" not in plan.split("ReadSchema")[1]

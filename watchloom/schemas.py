@@ -59,3 +59,39 @@ def raw_errors(source: str) -> Column:
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``df`` with exactly the columns of ``schema``, absent ones null."""
     return df.select(*[(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
+
+
+#: Rules of a valid event, as for raw records.
+EVENT_RULES: list[tuple[str, str]] = [
+    ("timestamp", "timestamp is not null"),
+    ("event.id", _WITHIN.format("event.id", 1, 128)),
+    ("event.kind", f"coalesce(event.kind in {KINDS}, false)"),
+    ("event.category", f"coalesce(event.category in {CATEGORIES}, false)"),
+    ("event.action", _WITHIN.format("event.action", 1, 200)),
+    ("event.outcome", f"coalesce(event.outcome in {OUTCOMES}, false)"),
+    ("event.severity", _RANGE.format("event.severity", 0, 7)),
+    ("host.name", _WITHIN.format("host.name", 1, 253)),
+    *[(f"{end}.port", f"({end}.port is null or {end}.port between 0 and 65535)") for end in ("source", "destination")],
+    *[(f"process.{p}", f"(process.{p} is null or process.{p} between 0 and {_PID})") for p in ("pid", "ppid")],
+    ("file.size", "(file.size is null or file.size >= 0)"),
+    ("file.mode", r"(file.mode is null or file.mode rlike '^[0-7]{1,8}\\z')"),
+    ("file.hash.sha256", r"(file.hash.sha256 is null or file.hash.sha256 rlike '^[0-9a-f]{64}\\z')"),
+]
+
+
+def event_errors() -> Column:
+    """array<string> of the fields of an event that are out of their range."""
+    return failed(EVENT_RULES)
+
+
+#: Stored tables; ``day`` is the partition column that storing adds.
+STORED = {
+    "events": "id long, event_id string, occurred_at timestamp, category string, action string, outcome string, severity int, host string, source_ip string, message string, created_at timestamp, day date",
+    "alerts": "id long, dedup_key string, rule_id string, severity int, attack string, nist_csf string, event_id string, host string, occurred_at timestamp, summary string, created_at timestamp, day date",
+}
+
+
+def create_tables(spark, folder: str) -> None:
+    """External Parquet tables of the stored rows, partitioned by day; existing ones stay."""
+    for name, columns in STORED.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY (day) LOCATION '{folder}/{name}'")
