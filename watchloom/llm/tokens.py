@@ -37,6 +37,8 @@ MAGIC = b"WLH1"
 END_ID = 2
 #: Tokens of a segment (cut at document ends once reached) and of a block.
 SEGMENT_TOKENS, BLOCK_TOKENS = 1 << 20, 128
+#: Tokens packed at once, a multiple of BLOCK_TOKENS.
+PACKED = 1 << 15
 #: Distinct chunks, and words, whose ids a worker remembers; others are encoded each time.
 CACHE = 700_000
 #: Pre-tokenizer pattern under which blanks separate a text for good, and words from punctuation.
@@ -235,24 +237,26 @@ class Code:
         top = int(ids.max(initial=0)) + 1
         self.bits, self.codes = np.zeros(top, np.int64), np.zeros(top, np.uint64)
         self.bits[ids], self.codes[ids] = bits, (first >> (self.limit - bits)).astype(np.uint64)
-        self.table = np.zeros(1 << self.limit, np.int64)  # id << 8 | length, by the next ``limit`` bits
+        self.table = np.zeros(1 << self.limit, np.uint32)  # id << 8 | length, by the next ``limit`` bits
         self.table[: int(size.sum())] = np.repeat(ids << 8 | bits, size)
 
 
 def pack(code: Code, ids: np.ndarray) -> tuple[bytes, np.ndarray, int]:
     """Code bits, the bit offset of every block, and the number of bits."""
-    bits = code.bits[ids]
-    end = np.cumsum(bits)
-    at = end - bits
-    total = int(end[-1]) if len(end) else 0
-    words = np.zeros((total >> 5) + 4, np.uint64)
-    if len(ids):
-        value = code.codes[ids] << (64 - (at & 31) - bits).astype(np.uint64)
+    total = int(code.bits[ids].sum()) if len(ids) else 0
+    words, offsets, base = np.zeros((total >> 5) + 4, np.uint64), [], 0
+    for a in range(0, len(ids), PACKED):  # so that a step's arrays stay in cache
+        part = ids[a : a + PACKED]
+        bits = code.bits[part]
+        at = np.cumsum(bits) - bits + base
+        value = code.codes[part] << (64 - (at & 31) - bits).astype(np.uint64)
         word = at >> 5
         first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         words[word[first]] += np.add.reduceat(value >> np.uint64(32), first)
         words[word[first] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
-    return words.astype(">u4").tobytes()[: (total + 7) // 8 + 8], at[::BLOCK_TOKENS].astype("<u8"), total
+        offsets.append(at[::BLOCK_TOKENS])
+        base = int(at[-1] + bits[-1])
+    return words.astype(">u4").tobytes()[: (total + 7) // 8 + 8], np.concatenate([*offsets, np.zeros(0, np.int64)]).astype("<u8"), total
 
 
 def unpack(code: Code, data: bytes, offsets: np.ndarray, tokens: int) -> np.ndarray:
