@@ -37,6 +37,7 @@ def test_pipeline_matches_batch_and_restarts(spark, landing):
     p = pipe()
     p.run_available(stream())
     assert sent == ["e004"] and p.failures["bad"] >= 1
+    assert p.progress["silver"]["rows"] == 9 and p.progress["silver"]["late"] == 0 and p.progress["gold"]["rows"] == 8
     write(second)
     pipe().run_available(stream())
     silver = spark.read.parquet(str(folder / "out" / "silver"))

@@ -117,6 +117,13 @@ def gate_stream(found: DataFrame, gates: alerts.Gates, lateness: str = "1 minute
     return built.withWatermark("timestamp", lateness).groupBy("rule_id").applyInPandasWithState(fold, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def progress(query: StreamingQuery) -> dict[str, int]:
+    """Rows read, rows dropped as too late and rows of state, over the query's recent progress."""
+    recent = [json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress]
+    operators = [o for p in recent for o in p.get("stateOperators", [])]
+    return {"rows": sum(p.get("numInputRows", 0) for p in recent), "late": sum(o.get("numRowsDroppedByWatermark", 0) for o in operators), "state": sum(o.get("numRowsTotal", 0) for o in (recent[-1].get("stateOperators", []) if recent else []))}
+
+
 class Pipeline:
     """The composition root: three queries with a table between each two, so that every stage has its
     own checkpoint and restarts without losing or repeating rows.
@@ -128,6 +135,7 @@ class Pipeline:
         self.spark, self.folder, self.rules, self.gates = spark, folder, rules, gates
         self.sinks, self.dedup_seconds, self.lateness, self.max_files = sinks or [], dedup_seconds, lateness, max_files
         self.failures: dict[str, int] = {}
+        self.progress: dict[str, dict[str, int]] = {}
 
     def _write(self, df: DataFrame, name: str, trigger: dict) -> StreamingQuery:
         return df.writeStream.format("parquet").option("path", f"{self.folder}/{name}").option("checkpointLocation", f"{self.folder}/checkpoints/{name}").queryName(name).trigger(**trigger).start()
@@ -162,3 +170,4 @@ class Pipeline:
             query.awaitTermination()
             if query.exception():
                 raise query.exception()
+            self.progress[query.name] = progress(query)
