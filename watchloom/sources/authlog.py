@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +31,26 @@ def parse_auth(lines: DataFrame, year: int | Column, tz: str = "UTC", host: str
     line = F.translate(F.regexp_replace(F.col(column), r"\n+\z", ""), MARK, " ")
     year = F.lit(year) if isinstance(year, int) else year
     kept = [c for c in lines.columns if c != column]
-    # every pattern runs once: its groups come out as one array
-    head = lines.where((F.length(column) <= MAX_LINE) & line.rlike(SYSLOG)).select(*kept, groups(line, SYSLOG, 5).alias("h"))
-    head = head.where((F.get("h", F.lit(2)) == "sshd") & F.get("h", F.lit(4)).rlike(BODY)).select(*kept, "h", groups(F.get("h", F.lit(4)), BODY, 7).alias("b"))
-    accepted = F.get("b", F.lit(2)) != ""
-    rows = head.select(
-        *kept, F.lit("auth").alias("source"), syslog_time(F.get("h", F.lit(0)), year, tz).alias("occurred_at"), (F.lit(host) if host else F.get("h", F.lit(1))).alias("host"), F.get("h", F.lit(0)).alias("syslog_ts"), F.get("h", F.lit(3)).alias("pid"),
-        F.when(accepted, "ssh_login_succeeded").otherwise("ssh_login_failed").alias("action"), F.when(accepted, "success").otherwise("failure").alias("outcome"),
-        F.when(accepted, 2).when((F.get("b", F.lit(0)) != "") & (F.get("b", F.lit(1)) == ""), 4).otherwise(5).alias("severity"), F.get("b", F.lit(4)).alias("user"), F.get("b", F.lit(5)).alias("ip"), F.get("b", F.lit(6)).try_cast("int").alias("port"), F.get("h", F.lit(4)).alias("message"),
-    )
-    return rows.where("occurred_at is not null and port between 0 and 65535 and length(user) <= 256 and length(ip) <= 64 and length(host) <= 253 and length(pid) <= 20 and length(message) between 1 and 10000")
+
+    def record(head: Column, body: Column) -> Column:
+        h, b = (lambda i: F.get(head, F.lit(i))), (lambda i: F.get(body, F.lit(i)))
+        accepted = b(2) != ""
+        row = F.struct(
+            F.lit("auth").alias("source"), syslog_time(h(0), year, tz).alias("occurred_at"), (F.lit(host) if host else h(1)).alias("host"), h(0).alias("syslog_ts"), h(3).alias("pid"),
+            F.when(accepted, "ssh_login_succeeded").otherwise("ssh_login_failed").alias("action"), F.when(accepted, "success").otherwise("failure").alias("outcome"),
+            F.when(accepted, 2).when((b(0) != "") & (b(1) == ""), 4).otherwise(5).alias("severity"), b(4).alias("user"), b(5).alias("ip"), b(6).try_cast("int").alias("port"), h(4).alias("message"),
+        )
+        return let(row, lambda r: F.when(r["occurred_at"].isNotNull() & r["port"].between(0, 65535) & (F.length(r["user"]) <= 256) & (F.length(r["ip"]) <= 64) & (F.length(r["host"]) <= 253) & (F.length(r["pid"]) <= 20) & F.length(r["message"]).between(1, 10000), r))
+
+    # named values, so that each pattern runs once a line however many fields are taken from it
+    parsed = let(groups(line, SYSLOG, 5), lambda head: F.when((F.get(head, F.lit(2)) == "sshd") & F.get(head, F.lit(4)).rlike(BODY), let(groups(F.get(head, F.lit(4)), BODY, 7), lambda body: record(head, body))))
+    rows = lines.where((F.length(column) <= MAX_LINE) & F.col(column).contains("sshd")).select(*kept, parsed.alias("parsed"))
+    return rows.where("parsed is not null").select(*kept, "parsed.*")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def groups(text: Column, pattern: str, n: int) -> Column:
