@@ -21,14 +21,12 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from watchloom.llm.common import Workspace, sized
 
@@ -168,33 +166,39 @@ def _encoder(spec: str) -> ChunkEncoder:
     return _workers[key]
 
 
-def _tokenize(spec):
-    @pandas_udf(T.BinaryType())
-    def ids(texts: pd.Series) -> pd.Series:
-        encoder, zip_ = _encoder(spec.value), zstandard.ZstdCompressor(level=3)
-        out: list[bytes] = []
+STAGED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+
+
+def _tokenize(spec, size: int):
+    """Rows (doc_id, compressed ids) and, last in a partition, one row with the counts of all its ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, zip_, counts = _encoder(spec.value), zstandard.ZstdCompressor(level=3), np.zeros(size, np.int64)
+
+        def rows(names: pa.Array, ids: list, count: bytes | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([names, pa.array(ids, pa.binary()), pa.array([count] * len(ids), pa.binary())], STAGED.names)
+
         gc.disable()  # millions of small objects without cycles; scans of them take a fifth of the time
         try:
-            for at in range(0, len(texts), 2000):
-                out += [zip_.compress(x) for x in encoder.encode(texts[at : at + 2000].tolist())]
+            for batch in batches:
+                for at in range(0, len(batch), 2000):
+                    part = batch.slice(at, 2000)
+                    found = encoder.encode(part.column(1).to_pylist())
+                    counts += np.bincount(np.frombuffer(b"".join(found), encoder.dtype), minlength=size)
+                    yield rows(part.column(0), [zip_.compress(x) for x in found], None)
         finally:
             gc.enable()
-        return pd.Series(out, dtype=object)
+        yield rows(pa.array([None], pa.int64()), [None], zip_.compress(counts.tobytes()))
 
-    return ids
+    return run
 
 
-def _count(dtype: str, size: int):
+def _sum_counts(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, unpack, held, n = np.zeros(size, np.int64), zstandard.ZstdDecompressor(), [], 0
+        total, unzip = np.zeros(size, np.int64), zstandard.ZstdDecompressor()
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                held.append(unpack.decompress(x))
-                n += len(held[-1])
-                if n > 1 << 22:
-                    total += np.bincount(np.frombuffer(b"".join(held), dtype), minlength=size)
-                    held, n = [], 0
-        total += np.bincount(np.frombuffer(b"".join(held), dtype), minlength=size)
+                total += np.frombuffer(unzip.decompress(x), np.int64)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(total[ids])], ["id", "n"])
 
@@ -355,13 +359,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, ws: Workspace, out: str)
     encoder = ChunkEncoder(text)
     size, dtype = max(encoder.tokenizer.get_vocab_size(), END_ID + 1), encoder.dtype.str
     spec = spark.sparkContext.broadcast(text)  # the vocabulary file
-    staged = ws.store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tokenize(spec)(F.col("text").cast("string")).alias("ids")), "none")
-    counts = staged.select("ids").mapInArrow(_count(dtype, size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    staged = ws.store(rows.mapInArrow(_tokenize(spec, size), STAGED), "none")
+    counts = staged.where("counts is not null").select("counts").mapInArrow(_sum_counts(size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     ids, n = np.array([r[0] for r in counts], np.int64), np.array([r[1] for r in counts], np.int64)
     bits = code_lengths(n, max(16, int(np.ceil(np.log2(max(len(n), 1) + 1))) + 3))
     spark.createDataFrame([(int(i), int(b)) for i, b in zip(ids, bits, strict=True)], "id int, bits int").coalesce(1).write.parquet(f"{out}/codebook")
     code = spark.sparkContext.broadcast(Code(ids, bits))  # bounded by the vocabulary
-    dealt = staged.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    dealt = staged.where("ids is not null").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     dealt.mapInArrow(_segments(code, dtype), SEGMENTS).write.option("compression", "none").parquet(f"{out}/segments")
     ws.drop(staged)
 
