@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,3 +109,15 @@ def text_identity(text: Column) -> Column:
 def crc_bucket(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
+
+
+_held: dict[object, object] = {}
+
+
+def worker_state(owner: object, make: Callable[[], object] = lambda: None) -> object:
+    """What ``owner`` keeps in this Python worker between batches, made at first use. A worker serves
+    many stages, so whatever another owner kept is let go: only one holds memory at a time."""
+    if owner not in _held:
+        _held.clear()
+        _held[owner] = make()
+    return _held[owner]

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from watchloom.llm.common import worker_state
+
 #: Words of a seed and of the shortest tile; share of a test item's words that tiles must cover.
 TILE, COVERAGE = 5, 0.8
 #: Words of benchmark text that one broadcast index holds; a larger benchmark is run in blocks.
@@ -151,6 +153,7 @@ def _leaks(docs: DataFrame, index: Index, coverage: float):
 
     @pandas_udf(T.BooleanType())
     def leaks(texts: pd.Series) -> pd.Series:
+        worker_state("decontam")
         return pd.Series([any(c / n >= coverage for _, n, c, _ in shared.value.hits(t)) for t in texts], dtype=bool)
 
     return leaks

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from watchloom.llm.common import Workspace, connected_components, sized, text_identity
+from watchloom.llm.common import Workspace, connected_components, sized, text_identity, worker_state
 
 BITS, SHINGLE, SEED, BUDGET = 64, 4, 42, 4
 #: Shingles hashed at once, so that a very long text needs bounded memory.
@@ -46,6 +46,7 @@ def fingerprint(text: str | None) -> int:
 
 @pandas_udf(T.LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
+    worker_state("simhash")
     return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
 
 

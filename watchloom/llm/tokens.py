@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from watchloom.llm.common import Workspace, sized
+from watchloom.llm.common import Workspace, sized, worker_state
 
 HEADER = struct.Struct("<4sIQIIQ")
 MAGIC = b"WLH1"
@@ -38,12 +38,11 @@ SEGMENT_TOKENS, BLOCK_TOKENS = 1 << 20, 128
 #: Tokens packed at once, a multiple of BLOCK_TOKENS.
 PACKED = 1 << 15
 #: Distinct chunks, and words, whose ids a worker remembers; others are encoded each time.
-CACHE = 700_000
+CACHE = 500_000
 #: Pre-tokenizer pattern under which blanks separate a text for good, and words from punctuation.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A lower-case word of letters that normalisation leaves alone, and punctuation after it.
 PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
-_workers: dict[int, ChunkEncoder] = {}
 
 
 def tokenizer_file(path: str) -> str:
@@ -159,11 +158,7 @@ class ChunkEncoder:
 
 
 def _encoder(spec: str) -> ChunkEncoder:
-    key = hash(spec)
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = ChunkEncoder(spec)
-    return _workers[key]
+    return worker_state(("tokens", hash(spec)), lambda: ChunkEncoder(spec))
 
 
 STAGED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("counts", T.BinaryType())])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from watchloom.llm.common import crc_bucket
+from watchloom.llm.common import crc_bucket, worker_state
 
 WORD = re.compile(r"\w+")
 #: Labelled rows of each class that the model is fit on at most (those with the smallest id hashes),
@@ -200,6 +200,7 @@ def scorer(docs: DataFrame, model: ToxicityModel):
 
     @pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
+        worker_state("toxicity")
         return pd.Series([shared.value.score(t) for t in texts], dtype=float)
 
     return score
