@@ -123,6 +123,37 @@ def test_toxicity_on_odd_rows(spark, odd, empty):
     assert toxicity.score_documents(empty, some).count() == 0
 
 
+def test_calibration_converges_on_many_rows():
+    rng = np.random.default_rng(0)
+    y = np.repeat([0.0, 1.0], [15_000, 1_700])
+    x = np.concatenate([np.zeros(7_000), rng.uniform(0, 2.8, 7_970), rng.uniform(2.8, 5, 30), rng.normal(4.2, 0.2, 1_600), rng.uniform(5, 7.8, 100)])
+    slope, bias = toxicity.logistic(x, y, np.ones(len(x)))
+    p = 1 / (1 + np.exp(-(slope * x + bias)))
+    assert abs((p - y).mean()) < 1e-3 and abs(((p - y) * x).mean()) < 1e-3
+    assert 2.8 < -bias / slope < 4
+
+
+def fit_hash(i):
+    return zlib.crc32(f"fit-{i}".encode())
+
+
+def test_toxicity_counts_all_labelled_rows(spark):
+    """An expression of a few among very many labelled documents, and one of very long texts."""
+    order = sorted(range(16_000), key=fit_hash)
+    bad = set(order[1::2])
+    rare = {i for i in order[-400:] if i in bad and fit_hash(i) // 7 % 5}
+    rows = [(i, f"plain w{i % 50} {'vile' if i in bad else 'kind'} {'grubby toad' if i in rare else 'other'}") for i in order]
+    long = set(order[:200])
+    rows = [(i, t + " filler" * 4_000 + (" long scum" if i in bad else "")) if i in long else (i, t) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame([(i, int(i in bad)) for i in order], "doc_id long, toxic int")).models
+    assert {"vile", "grubby", "toad", "scum"} <= set(model.vocabulary)
+    own = [(t.split(), int(i in bad)) for i, t in rows if fit_hash(i) // 7 % 5]
+    want = toxicity.KneserNey.fit([w for w, _ in own], [y for _, y in own])
+    for text in ("plain vile w1", "grubby toad other", "kind w3 never seen", "long scum filler filler vile"):
+        assert np.isclose(toxicity.difference(model, text.split()), toxicity.difference(want, text.split()))
+
+
 # Language.
 
 

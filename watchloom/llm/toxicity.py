@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from watchloom.llm.common import crc_bucket, worker_state
+from watchloom.llm.common import Workspace, crc_bucket, sized, worker_state
 
 WORD = re.compile(r"\w+")
-#: Labelled rows of each class that the model is fit on at most (those with the smallest id hashes),
-#: and the most bytes of such a row's text. These bound the model, which is broadcast.
-CLASS_ROWS, ROW_BYTES = 3_000, 20_000
+#: Expressions that a task counts, bigram hashes that it gathers and word hashes that it remembers
+#: before it hands them on to be added up or forgets them.
+TALLY_ROWS, GATHERED, REMEMBERED = 100_000, 1_000_000, 200_000
+#: Bits of the map of labelled ids, which only spares the join rows without a label.
+ID_BITS = 1 << 26
 #: Of FOLDS folds of the training rows, one calibrates and the others count.
 FOLDS = 5
 DISCOUNT = 0.75
@@ -52,46 +57,51 @@ class KneserNey:
 
     @classmethod
     def fit(cls, texts: Iterable[list[str]], labels: Iterable[int]) -> KneserNey:
-        vocabulary: dict[str, int] = {}
-        docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64) for words in texts]
-        labels = list(labels)
+        cells: dict[tuple[str, str], list[int]] = {}
+        for words, y in zip(texts, labels, strict=True):
+            tally(cells, words, y)
+        sizes = np.array(cells.pop(("", ""), [0] * 4)[2:])
+        ends = Counter(r for l, r in cells if l)
+        words = [(r, *n, ends[r]) for (l, r), n in cells.items() if not l]
+        pairs = [(l, r, *n) for (l, r), n in cells.items() if l and reliable(np.array([n[2:]]).T, sizes)[0]]
+        counts = np.array([w[1:3] for w in words]).reshape(-1, 2)
+        return cls.of_counts(sizes, counts.sum(axis=0), (counts > 0).sum(axis=0), len(words), ends.total(), words, pairs)
+
+    @classmethod
+    def of_counts(cls, sizes: np.ndarray, tokens: np.ndarray, kinds: np.ndarray, n_words: int, n_pairs: int, words: list, pairs: list) -> KneserNey:
+        """The models of counts over all training documents: documents, words and distinct words of
+        each class, distinct words and bigrams of both; ``words`` (word, counts, documents, distinct
+        bigrams that end in it) of the reliable words and those in reliable bigrams at least, and
+        ``pairs`` (left, right, counts, documents), the reliable bigrams.
+
+        The last entry of the vocabulary is all words that are not listed: they share what is left in
+        both classes in the same proportions, so their ratios are those of the whole entry.
+        """
+        vocabulary = {w[0]: i for i, w in enumerate(words)}
         side = len(vocabulary) + 1
-        uni, in_docs, keys, pair_docs = np.zeros((2, side)), np.zeros((2, side)), [], []
-        none = np.zeros(0, np.int64)
-        for y in (0, 1):
-            own = [d for d, label in zip(docs, labels, strict=True) if label == y]
-            uni[y] = np.bincount(np.concatenate([*own, none]), minlength=side)
-            in_docs[y] = np.bincount(np.concatenate([*map(np.unique, own), none]), minlength=side)
-            bigrams = [d[:-1] * side + d[1:] for d in own]
-            keys.append(np.concatenate([*bigrams, none]))
-            pair_docs.append(np.concatenate([*map(np.unique, bigrams), none]))
-        sizes = np.bincount(labels, minlength=2)
-        pairs = np.unique(np.concatenate(keys))
-
-        def count(found: np.ndarray) -> np.ndarray:
-            return np.bincount(np.searchsorted(pairs, found), minlength=len(pairs)).astype(float)
-
-        counts, both = np.stack([count(k) for k in keys]), uni.sum(axis=0)
-        ends = np.bincount(pairs % side, minlength=side) + 0.5
-        total = max(both.sum(), 1)
-        shared = np.maximum(both - DISCOUNT, 0) / total + max(np.minimum(both, DISCOUNT).sum(), 1) / total * ends / ends.sum()
-        shared /= shared.sum()
+        uni, in_docs, ends = np.zeros((2, side)), np.zeros((2, side)), np.full(side, 0.5)
+        for i, (_, c0, c1, d0, d1, e) in enumerate(words):
+            uni[:, i], in_docs[:, i], ends[i] = (c0, c1), (d0, d1), e + 0.5
+        both, mass = uni.sum(axis=0), max(DISCOUNT * n_words, 1)
+        shared = np.maximum(both - DISCOUNT, 0) + mass * ends / (n_pairs + (n_words + 1) / 2)
+        shared /= max(tokens.sum() - DISCOUNT * n_words, 0) + mass
+        shared[-1] = max(1 - shared[:-1].sum(), 1e-12)
         own = reliable(in_docs, sizes)
         p = np.zeros((2, side))
         for y in (0, 1):
-            n = max(uni[y].sum(), 1)
+            n = max(tokens[y], 1)
             kept = np.where(own, np.maximum(uni[y] - DISCOUNT, 0) / n, 0)
-            low = np.where(own, np.minimum(uni[y], DISCOUNT).sum() / n * shared / 10, 0)  # of a class's own words little is shared
+            low = np.where(own, DISCOUNT * kinds[y] / n * shared / 10, 0)  # of a class's own words little is shared
             p[y] = np.where(own, kept + low, 0)
-            p[y] += np.where(own, 0, (1 - p[y].sum()) * shared / max(shared[~own].sum(), 1e-12))
-        keep = reliable(np.stack([count(k) for k in pair_docs]), sizes)
-        pairs, counts = pairs[keep], counts[:, keep]
-        left, right = pairs // side, pairs % side
+            p[y] += np.where(own, 0, (1 - p[y].sum()) * shared / shared[~own].sum())
+        found = sorted((vocabulary[x[0]] * side + vocabulary[x[1]], x[2], x[3]) for x in pairs)
+        keys, counts = np.array([x[0] for x in found], np.int64), np.array([x[1:] for x in found], float).reshape(-1, 2).T
+        left, right = keys // side, keys % side
         heads = np.maximum(uni[:, left], 1)
         kept = np.maximum(counts - DISCOUNT, 0) / heads
         back = 1 - np.stack([np.bincount(left, k, minlength=side) for k in kept])
         back = np.maximum(back, 1e-3)
-        return cls(vocabulary, np.log(np.maximum(p, 1e-12)), pairs, np.log(kept + back[:, left] * p[:, right]), np.log(back))
+        return cls(vocabulary, np.log(np.maximum(p, 1e-12)), keys, np.log(kept + back[:, left] * p[:, right]), np.log(back))
 
     def log_likelihoods(self, words: list[str]) -> tuple[float, float, int]:
         """Log-likelihood under the ordinary and the toxic model, and the number of words."""
@@ -110,6 +120,24 @@ class KneserNey:
         return float(out[0]), float(out[1]), len(ids)
 
 
+def tally(cells: dict[tuple[str, str], list[int]], words: list[str], y: int, bigrams: bool = True) -> None:
+    """Adds a document of class ``y`` to the counts (of class 0, of class 1, documents of 0, of 1) of
+    its bigrams, of its words (with no left word) and of documents (with no words)."""
+    found = Counter(zip(words, words[1:], strict=False)) if bigrams else Counter()
+    found.update(("", w) for w in words)
+    found["", ""] = 1
+    add(cells, found, y)
+
+
+def add(cells: dict[tuple[str, str], list[int]], found: dict[tuple[str, str], int], y: int) -> None:
+    for key, n in found.items():
+        cell = cells.get(key)
+        if cell is None:
+            cell = cells[key] = [0, 0, 0, 0]
+        cell[y] += n
+        cell[2 + y] += 1
+
+
 def reliable(docs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether an expression's share of the toxic documents exceeds that of the ordinary beyond
     chance. (One that is ordinary only marks a topic or a copied text, not the absence of abuse.)"""
@@ -126,21 +154,16 @@ class ToxicityModel:
     bias: float = 0.0
 
     @classmethod
-    def fit(cls, rows: list[tuple[str | None, int, int]], totals: tuple[int, int] | None = None) -> ToxicityModel:
-        """rows: text, label (0 or 1), fold; totals: rows of each label in the whole training part,
-        of which ``rows`` may be a sample. Without both labels the score is the labels' share."""
-        labels = np.array([y for _, y, _ in rows], np.int64)
-        totals = np.array(totals or np.bincount(labels, minlength=2), float)
-        dev = np.array([f == 0 for _, _, f in rows], bool)
-        if min(len(set(labels[part].tolist())) for part in (dev, ~dev)) < 2:
+    def calibrated(cls, models: KneserNey | None, totals: np.ndarray, held: list[tuple[int, float, int]]) -> ToxicityModel:
+        """totals: rows of each label in the whole training part; held: label, difference and number
+        of rows of the calibration fold. Without both labels in both the score is the labels' share."""
+        y = np.array([r[0] for r in held], np.int64)
+        if models is None or len(set(y.tolist())) < 2:
             rate = (totals[1] + 0.5) / (totals.sum() + 1)
             return cls(None, bias=float(np.log(rate / (1 - rate))) if totals.sum() else -5.0)
-        own, held = np.flatnonzero(~dev), np.flatnonzero(dev)
-        model = KneserNey.fit((words_of(rows[i][0]) for i in own), labels[own])
-        y = labels[held]
-        weight = (totals / np.maximum(np.bincount(y, minlength=2), 1))[y]
-        x = np.array([difference(model, words_of(rows[i][0])) for i in held])
-        return cls(model, *logistic(x, y, weight * len(y) / weight.sum()))
+        rows = np.array([r[2] for r in held], float)
+        weight = (totals / np.maximum(np.bincount(y, rows, minlength=2), 1))[y] * rows
+        return cls(models, *logistic(np.array([r[1] for r in held]), y, weight * rows.sum() / weight.sum()))
 
     def score(self, text: str | None) -> float:
         z = self.bias
@@ -159,44 +182,193 @@ def difference(model: KneserNey, words: list[str]) -> float:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Slope and bias of a weighted ridge logistic regression by damped Newton steps."""
+    """Slope and bias of a weighted ridge logistic regression by Newton steps, halved until the loss falls."""
     scale = max(float(np.abs(x).max()), 1e-9)
     a, w = np.column_stack([x / scale, np.ones(len(x))]), np.zeros(2)
+    loss = lambda w: float(weight @ (np.logaddexp(0, a @ w) - y * (a @ w)) + ridge / 2 * w @ w)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         g = a.T @ (weight * (p - y)) + ridge * w
         h = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(2)
-        step = np.clip(np.linalg.solve(h, g), -2, 2)
-        w = w - step
+        step, now = np.linalg.solve(h, g), loss(w)
+        while loss(w - step) > now and np.abs(step).max() >= 1e-8:
+            step = step / 2
         if np.abs(step).max() < 1e-8:
             break
+        w = w - step
     return float(w[0] / scale), float(w[1])
 
 
+def pair_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """64-bit hashes of the bigrams; ``known`` remembers those of words."""
+    if len(known) > REMEMBERED:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little")
+    h = np.fromiter((known[w] for w in words), np.uint64, len(words))
+    return h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
+
+
+_CELLS = "l string, r string, c0 long, c1 long, d0 long, d1 long"
+_COUNTS = ("c0", "c1", "d0", "d1")
+
+
+def counted(texts: DataFrame, count: Callable[[dict, list[str], int], None]) -> DataFrame:
+    """The cells that ``count`` makes of the rows of ``texts`` (text, y), added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
+        cells: dict[tuple[str, str], list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            left, right = zip(*cells, strict=True)
+            numbers = [pa.array(c, pa.int64()) for c in zip(*cells.values(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), *numbers], ["l", "r", *_COUNTS])
+
+        for batch in batches:
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                count(cells, words_of(text.as_py()), y)
+                if len(cells) >= TALLY_ROWS:
+                    yield out()
+                    cells.clear()
+        if cells:
+            yield out()
+
+    return texts.select("text", "y").mapInArrow(run, _CELLS).groupBy("l", "r").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+
+
+def distinct_bigrams(texts: DataFrame) -> int:
+    """Distinct bigrams (by 64-bit hash) of the texts. A task hands on its distinct hashes in one row
+    for each of 4,096 ranges, seven bytes each (the top byte is the range's)."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
+        known: dict[str, int] = {}
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            every = np.unique(np.concatenate(held))
+            ends = np.searchsorted(every >> np.uint64(52), np.arange(4097, dtype=np.uint64))
+            tail = every.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
+            return pa.RecordBatch.from_arrays([pa.array(range(4096), pa.int32()), pa.array([tail[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], ["part", "tail"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                held.append(np.unique(pair_hashes(words_of(text.as_py()), known)))
+                size += len(held[-1])
+                if size >= GATHERED:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
+
+    def unite(rows: pd.DataFrame) -> pd.DataFrame:
+        tail = np.frombuffer(b"".join(rows["tail"]), np.uint8).reshape(-1, 7)
+        every = np.zeros((len(tail), 8), np.uint8)
+        every[:, :7] = tail
+        return pd.DataFrame({"n": [len(np.unique(every.view("<u8")))]})
+
+    return texts.select("text").mapInArrow(gather, "part int, tail binary").groupBy("part").applyInPandas(unite, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def count_models(texts: DataFrame) -> tuple[KneserNey | None, np.ndarray]:
+    """The models of all rows of the stored table ``texts`` (text, y) and the rows of each class.
+
+    Only what is reliable, and sums, come to the driver. A reliable bigram is in LEAST_DOCS toxic
+    documents, so ordinary ones are counted only for bigrams of which that holds.
+    """
+    spark = texts.sparkSession
+    ws, context = Workspace(spark), spark.sparkContext
+    counts = ws.store(counted(texts, lambda cells, words, y: tally(cells, words, y, bigrams=y == 1)))
+    word = (F.col("l") == "") & (F.col("r") != "")
+    total = lambda where, c: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
+    sums = counts.agg(*[total(F.col("r") == "", c) for c in ("d0", "d1")], *[total(word, c) for c in ("c0", "c1")], *[F.count_if(word & (F.col(c) > 0)) for c in ("c0", "c1")], F.count_if(word)).first()
+    sizes = np.array(sums[:2])
+    if not sizes.all():
+        ws.drop(counts)
+        return None, sizes
+
+    @pandas_udf(T.BooleanType())
+    def steady(d0: pd.Series, d1: pd.Series) -> pd.Series:
+        return pd.Series(reliable(np.stack([d0, d1]), sizes))
+
+    @pandas_udf(T.LongType())
+    def hashed(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([pair_hashes([a, b], {}).view(np.int64)[0] for a, b in zip(left, right, strict=True)], dtype="int64")
+
+    often = counts.where((F.col("l") != "") & (F.col("d1") >= LEAST_DOCS))
+    asked = context.broadcast(np.unique(np.array([r[0] for r in often.select(hashed("l", "r")).collect()], np.int64).view(np.uint64)))  # eight bytes each
+
+    known: dict[str, int] = {}  # each task has a copy
+
+    def count_asked(cells: dict, words: list[str], y: int) -> None:
+        h, among = pair_hashes(words, known), asked.value
+        if len(h) and len(among):
+            at = np.flatnonzero(among[np.minimum(np.searchsorted(among, h), len(among) - 1)] == h)
+            add(cells, Counter((words[i], words[i + 1]) for i in at.tolist()), y)
+
+    plain = counted(texts.where("y = 0"), count_asked).select("l", "r", F.col("c0").alias("p_c0"), F.col("d0").alias("p_d0"))
+    often = often.join(plain, ["l", "r"], "left").select("l", "r", F.coalesce("p_c0", F.lit(0)).alias("c0"), "c1", F.coalesce("p_d0", F.lit(0)).alias("d0"), "d1")
+    pairs = [tuple(r) for r in often.where(steady("d0", "d1")).collect()]
+    kept = counts.where(word & (F.col("d1") >= LEAST_DOCS)).where(steady("d0", "d1")).select("r").collect()
+    names = {r[0] for r in kept} | {w for r in pairs for w in r[:2]}
+    listed = context.broadcast(names)
+
+    def count_listed(cells: dict, words: list[str], y: int) -> None:
+        among = listed.value
+        add(cells, Counter(x for x in zip(words, words[1:], strict=False) if x[1] in among), y)
+
+    ends = {r[0]: r[1] for r in counted(texts, count_listed).groupBy("r").count().collect()}
+    chosen = F.broadcast(spark.createDataFrame([(w,) for w in sorted(names)], "name string"))
+    words = [(*r, ends.get(r[0], 0)) for r in counts.where(word).join(chosen, F.col("r") == F.col("name")).select("r", *_COUNTS).orderBy("r").collect()]
+    ws.drop(counts)
+    return KneserNey.of_counts(sizes, np.array(sums[2:4]), np.array(sums[4:6]), sums[6], distinct_bigrams(texts), words, pairs), sizes
+
+
+def labelled_only(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id may be among l_id of ``known``, by a bitmap of id hashes. It only
+    keeps most texts without a label from being shuffled; the join decides."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS)) + 1
+    at = place(F.col("l_id"))
+    bits = known.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    pos = F.bitmap_bit_position(place(F.col("doc_id"))).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = docs.join(F.broadcast(bits), F.bitmap_bucket_number(place(F.col("doc_id"))) == F.col("bucket"))  # ID_BITS / 8 bytes
+    return near.where((F.floor(byte / F.pow(F.lit(2), pos % 8)) % 2) == 1).select(*docs.columns)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> ToxicityModel:
-    """The model of the labelled documents for which ``train`` (on doc_id) holds.
+    """The model of the labelled documents for which ``train`` (on doc_id) holds: all of them, and
+    their whole texts.
 
-    Rows with a null id, text or label do not train; labels other than 0 and 1 neither. The rows of
-    each class with the smallest id hashes are taken, CLASS_ROWS at most.
+    Rows with a null id, text or label do not train; labels other than 0 and 1 neither. One of FOLDS
+    folds by a hash of the id calibrates: its differences are rounded and counted, so what is
+    collected does not grow with its rows.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("y")).where("y in (0, 1)").distinct()
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("bytes")).where(F.col("bytes") <= ROW_BYTES)
-    own = own if train is None else own.where(train)
-    ids = own.join(known, own["doc_id"] == known["l_id"]).select("doc_id", "y", F.crc32(F.concat(F.lit("fit-"), F.col("doc_id").cast("string")).cast("binary")).alias("h")).distinct()
-    totals = {r[0]: r[1] for r in ids.groupBy("y").count().collect()}
-    picked = [r for y in (0, 1) for r in ids.where(F.col("y") == y).orderBy("h", "doc_id").limit(CLASS_ROWS).collect()]
-    if not picked:
-        return ToxicityModel.fit([], (0, 0))
-    chosen = docs.sparkSession.createDataFrame([(r[0], r[1], r[2]) for r in picked], "p_id long, y int, h long")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = text.join(F.broadcast(chosen), text["doc_id"] == chosen["p_id"])  # 2 x CLASS_ROWS rows
-    rows = rows.where((F.octet_length("text") <= ROW_BYTES)).groupBy("p_id", "y", "h").agg(F.min("text").alias("text"))
-    rows = sorted((r.h, r.p_id, r.y, r.text) for r in rows.collect())
-    return ToxicityModel.fit([(text, y, h // 7 % FOLDS) for h, _, y, text in rows], (totals.get(0, 0), totals.get(1, 0)))
+    spark = docs.sparkSession
+    known = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("y")).where("l_id is not null and y in (0, 1)").distinct()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    own = labelled_only(own if train is None else own.where(train), known)
+    fold = F.floor(F.crc32(F.concat(F.lit("fit-"), F.col("doc_id").cast("string")).cast("binary")) / 7) % FOLDS
+    rows = own.join(sized(known), F.col("doc_id") == F.col("l_id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    ws = Workspace(spark)
+    rows = ws.store(rows.select("text", "y", (fold == 0).alias("held")), "zstd")
+    models, sizes = count_models(rows.where("not held"))
+    shared = spark.sparkContext.broadcast(models)
+
+    @pandas_udf(T.DoubleType())
+    def differ(texts: pd.Series) -> pd.Series:
+        worker_state("toxicity")
+        return pd.Series([difference(shared.value, words_of(t)) if shared.value else 0.0 for t in texts], dtype=float)
+
+    held = [tuple(r) for r in rows.where("held").select("y", F.round(differ("text"), 4).alias("x")).groupBy("y", "x").count().orderBy("y", "x").collect()]
+    ws.drop(rows)
+    totals = sizes + np.array([sum(r[2] for r in held if r[0] == y) for y in (0, 1)])
+    return ToxicityModel.calibrated(models, totals.astype(float), held)
 
 
 def scorer(docs: DataFrame, model: ToxicityModel):
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # CLASS_ROWS and ROW_BYTES bound it
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # reliable expressions only
 
     @pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
