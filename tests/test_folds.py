@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from watchloom import schemas
 from watchloom.operators import alerts, folds, store
+from watchloom.plans import catalog
 
 T0 = datetime(2026, 1, 1)
 
@@ -51,6 +52,21 @@ def test_folds_match_loops(spark, rows):
         assert flags(frames[name], name) == want
 
 
+def test_api_rate_limit_rejects(spark, tmp_path):
+    """A third of all requests is one client's, over 100 a minute for a while."""
+    rows = [(i, 7 if i % 3 == 0 else i % 40 + 100, T0 + timedelta(milliseconds=150 * i if i < 1500 else 225_000 + 900 * (i - 1500))) for i in range(2000)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz").write.parquet(str(tmp_path / "events.parquet"))
+    want, hits = {}, {}
+    for _, user, at in sorted(rows, key=lambda r: (r[2], r[0])):
+        hits[user] = [t for t in hits.get(user, []) if t >= at - timedelta(seconds=60)]
+        if len(hits[user]) < 100:
+            hits[user].append(at)
+            want[user] = want.get(user, 0) + 1
+    assert want[7] < sum(r[1] == 7 for r in rows)
+    got = catalog.queries()["api_rate_limit"](spark, str(tmp_path)).collect()
+    assert {r.user_id: r.n for r in got} == want
+
+
 def made(spark, rows):
     return spark.createDataFrame([(f"{r}|{e}", r, "t", s, ["T1"], ["DE.CM"], e, "h", T0 + timedelta(seconds=t), "sum") for r, e, s, t in rows], schemas.ALERT)
 
