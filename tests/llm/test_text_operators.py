@@ -1,9 +1,12 @@
 """Operators that score or search texts."""
 
 import hashlib
+import math
 import random
 import re
+import statistics
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -101,16 +104,45 @@ def test_toxicity_separates(spark):
     assert kept == {r.doc_id for r in got if r.predicted == 0}
 
 
-def test_models_are_distributions():
-    texts = [["a", "b", "x"], ["a", "b", "c"], ["b", "a", "x"], ["c", "a", "b"]] * 10
-    model = toxicity.KneserNey.fit(texts, [1, 0, 1, 0] * 10)
-    assert np.allclose(np.exp(model.uni).sum(axis=1), 1, atol=1e-6)
-    side = len(model.vocabulary) + 1
+def plain_models(texts, labels):
+    """P_c(w) by dictionaries of words: distinct left neighbours, discounts by class size, shared back-off."""
+    left = [defaultdict(set), defaultdict(set)]
+    for words, y in zip(texts, labels, strict=True):
+        for v, w in zip([None, *words], words, strict=False):
+            left[y][w].add(v)
+    k = [{w: len(s) for w, s in x.items()} for x in left]
+    total = [sum(x.values()) for x in k]
+    cut = [0.75 * n / min(total) for n in total]
+    off = [{w: min(n, cut[y]) for w, n in k[y].items()} for y in (0, 1)]
+    every = {*k[0], *k[1]}
+    mass = sum(sum(x.values()) for x in off)
+
+    def p(y, w):
+        shared = (off[0].get(w, 0) + off[1].get(w, 0) + 0.5) / (mass + 0.5 * (len(every) + 1))
+        return (k[y].get(w, 0) - off[y].get(w, 0)) / total[y] + sum(off[y].values()) / total[y] * shared
+
+    return p, every
+
+
+def plain_evidence(p, words):
+    ratio = [math.log(p(1, w) / p(0, w)) for w in words]
+    ratio = [r - statistics.median(ratio) for r in ratio]
+    passages = [sum(ratio[i : i + 3]) for i in range(max(1, len(ratio) - 2))]
+    return math.log(statistics.fmean(map(math.exp, passages)))
+
+
+def test_models_match_plain_counts():
+    rng = random.Random(8)
+    texts = [[rng.choice("abcdefghij") + rng.choice("xyz") * (rng.random() < 0.3) for _ in range(rng.randint(1, 30))] for _ in range(60)] + [["vile", "fool"]] * 5
+    labels = [int(i % 5 == 0 or i >= 60) for i in range(65)]
+    model, (p, every) = toxicity.KneserNey.fit(texts, labels), plain_models(texts, labels)
     for y in (0, 1):
-        for v in range(side):
-            known = {k % side: p for k, p in zip(model.pairs, model.pair_logs[y], strict=True) if k // side == v}
-            total = sum(np.exp(known.get(w, model.back[y, v] + model.uni[y, w])) for w in range(side))
-            assert abs(total - 1) < 1e-6
+        assert abs(sum(p(y, w) for w in every) + p(y, "unseen") - 1) < 1e-9
+        for w in [*every, "unseen"]:
+            assert np.isclose(model.log_likelihoods([w])[y, 0], math.log(p(y, w)), atol=1e-5), w
+    for words in (["vile"], ["ax", "vile"], texts[3], texts[64] * 40, [*texts[0], "fool", "unseen"]):
+        assert np.isclose(toxicity.evidence(model, words), plain_evidence(p, words), atol=1e-4)
+    assert toxicity.evidence(model, []) == 0.0
 
 
 def test_toxicity_on_odd_rows(spark, odd, empty):
@@ -147,11 +179,18 @@ def test_toxicity_counts_all_labelled_rows(spark):
     rows = [(i, t + " filler" * 4_000 + (" long scum" if i in bad else "")) if i in long else (i, t) for i, t in rows]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     model = toxicity.fit_toxicity(docs, spark.createDataFrame([(i, int(i in bad)) for i in order], "doc_id long, toxic int")).models
-    assert {"vile", "grubby", "toad", "scum"} <= set(model.vocabulary)
     own = [(t.split(), int(i in bad)) for i, t in rows if fit_hash(i) // 7 % 5]
     want = toxicity.KneserNey.fit([w for w, _ in own], [y for _, y in own])
-    for text in ("plain vile w1", "grubby toad other", "kind w3 never seen", "long scum filler filler vile"):
-        assert np.isclose(toxicity.difference(model, text.split()), toxicity.difference(want, text.split()))
+    assert np.array_equal(model.logs, want.logs)
+    for word in ("vile", "grubby", "scum"):
+        assert np.diff(model.log_likelihoods([word]), axis=0)[0, 0] > 0.2
+
+
+def test_contradictory_labels_count_in_both_classes(spark):
+    docs = spark.createDataFrame([(i, "a b" if i % 2 else "c d") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y, "x", 3) for i in range(40) for y in (0, 1)], "doc_id long, toxic int, text string, score int")
+    got = toxicity.score_documents(docs, labels).collect()
+    assert len(got) == 40 and all(abs(r.score - 0.5) < 0.05 for r in got)
 
 
 # Language.

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -19,132 +18,99 @@ from pyspark.sql.functions import pandas_udf
 from watchloom.llm.common import Workspace, crc_bucket, sized, worker_state
 
 WORD = re.compile(r"\w+")
-#: Expressions that a task counts, bigram hashes that it gathers and word hashes that it remembers
-#: before it hands them on to be added up or forgets them.
-TALLY_ROWS, GATHERED, REMEMBERED = 100_000, 1_000_000, 200_000
+#: Words are counted in 2 ** TABLE_BITS cells by hash, which bounds the model whatever the vocabulary;
+#: words that share a cell share its counts. A left neighbour counts by LEFT_BITS of its hash.
+TABLE_BITS, LEFT_BITS = 22, 40
+#: Pairs that a task gathers and word hashes that it remembers before it hands them on or forgets them.
+GATHERED, REMEMBERED = 1_000_000, 200_000
 #: Bits of the map of labelled ids, which only spares the join rows without a label.
 ID_BITS = 1 << 26
 #: Of FOLDS folds of the training rows, one calibrates and the others count.
 FOLDS = 5
+#: Counts taken off every expression of the smaller class (of the larger one in proportion).
 DISCOUNT = 0.75
-#: An expression keeps counts of its own in the two classes if it is in this many toxic documents and
-#: its share of them exceeds that of the ordinary documents by RELIABLE standard errors.
-LEAST_DOCS, RELIABLE = 5, 4.0
-#: A difference of the normalised log-likelihoods that counts as slight.
-FAINT = 0.003
+#: Words of a passage.
+PASSAGE = 3
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """64-bit hashes; ``known`` remembers them."""
+    if len(known) > REMEMBERED:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def cells_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def pairs_of(words: list[str], y: int, known: dict[str, int]) -> np.ndarray:
+    """The distinct (cell of a word, class, left neighbour) of a text, packed in one number each."""
+    h = word_hashes(words, known)
+    left = np.concatenate([np.zeros(min(len(h), 1), np.uint64), h[:-1]]) & np.uint64((1 << LEFT_BITS) - 1)
+    return np.unique((cells_of(h) << (LEFT_BITS + 1)) | (y << LEFT_BITS) | left.astype(np.int64))
+
+
 @dataclass
 class KneserNey:
-    """Two word-bigram models over one vocabulary that share what is rare.
-
-    P_c(w | v) discounts the class's bigram counts and backs off to P_c(w); P_c(w) discounts the
-    class's word counts and backs off to P(w), made of the counts of both classes, which discounts
-    to the share of distinct bigrams that end in w. Expressions that are not reliably toxic
-    (by documents, so repetition within one counts once) have no class counts and are
-    left to the shared back-off whole, so they weigh the same in both likelihoods.
+    """A language model of each class, with the class as history of every word.
+
+    P_c(w) = max(k_c(w) - D_c, 0) / K_c + l_c P(w), where k_c(w) is the Kneser-Ney count of w in class
+    c, its distinct left neighbours there (so that repeated passages and copies count once), and K_c
+    their sum. P(w) is the shared back-off: what the discount takes off w in both classes, as a share
+    of all that it takes off (plus half a count, also for unseen words); l_c is the share that it
+    takes off class c. Discounts are in proportion to the classes' sizes, so that an expression too
+    rare to tell is left to the shared counts in both likelihoods.
     """
 
-    vocabulary: dict[str, int]
-    uni: np.ndarray  # (2, V + 1) log P_c(w), the last entry for unseen words
-    pairs: np.ndarray  # sorted v * (V + 1) + w of the bigrams with class counts
-    pair_logs: np.ndarray  # (2, pairs) log P_c(w | v)
-    back: np.ndarray  # (2, V + 1) log of the weight that v leaves to P_c(w)
+    logs: np.ndarray  # (2, cells) log P_c
 
     @classmethod
     def fit(cls, texts: Iterable[list[str]], labels: Iterable[int]) -> KneserNey:
-        cells: dict[tuple[str, str], list[int]] = {}
-        for words, y in zip(texts, labels, strict=True):
-            tally(cells, words, y)
-        sizes = np.array(cells.pop(("", ""), [0] * 4)[2:])
-        ends = Counter(r for l, r in cells if l)
-        words = [(r, *n, ends[r]) for (l, r), n in cells.items() if not l]
-        pairs = [(l, r, *n) for (l, r), n in cells.items() if l and reliable(np.array([n[2:]]).T, sizes)[0]]
-        counts = np.array([w[1:3] for w in words]).reshape(-1, 2)
-        return cls.of_counts(sizes, counts.sum(axis=0), (counts > 0).sum(axis=0), len(words), ends.total(), words, pairs)
+        known: dict[str, int] = {}
+        every = [pairs_of(words, y, known) for words, y in zip(texts, labels, strict=True)]
+        every = np.unique(np.concatenate(every)) if every else np.zeros(0, np.int64)
+        cells, y = every >> (LEFT_BITS + 1), every >> LEFT_BITS & 1
+        return cls.of_counts(np.stack([np.bincount(cells[y == c], minlength=1 << TABLE_BITS) for c in (0, 1)]))
 
     @classmethod
-    def of_counts(cls, sizes: np.ndarray, tokens: np.ndarray, kinds: np.ndarray, n_words: int, n_pairs: int, words: list, pairs: list) -> KneserNey:
-        """The models of counts over all training documents: documents, words and distinct words of
-        each class, distinct words and bigrams of both; ``words`` (word, counts, documents, distinct
-        bigrams that end in it) of the reliable words and those in reliable bigrams at least, and
-        ``pairs`` (left, right, counts, documents), the reliable bigrams.
-
-        The last entry of the vocabulary is all words that are not listed: they share what is left in
-        both classes in the same proportions, so their ratios are those of the whole entry.
-        """
-        vocabulary = {w[0]: i for i, w in enumerate(words)}
-        side = len(vocabulary) + 1
-        uni, in_docs, ends = np.zeros((2, side)), np.zeros((2, side)), np.full(side, 0.5)
-        for i, (_, c0, c1, d0, d1, e) in enumerate(words):
-            uni[:, i], in_docs[:, i], ends[i] = (c0, c1), (d0, d1), e + 0.5
-        both, mass = uni.sum(axis=0), max(DISCOUNT * n_words, 1)
-        shared = np.maximum(both - DISCOUNT, 0) + mass * ends / (n_pairs + (n_words + 1) / 2)
-        shared /= max(tokens.sum() - DISCOUNT * n_words, 0) + mass
-        shared[-1] = max(1 - shared[:-1].sum(), 1e-12)
-        own = reliable(in_docs, sizes)
-        p = np.zeros((2, side))
-        for y in (0, 1):
-            n = max(tokens[y], 1)
-            kept = np.where(own, np.maximum(uni[y] - DISCOUNT, 0) / n, 0)
-            low = np.where(own, DISCOUNT * kinds[y] / n * shared / 10, 0)  # of a class's own words little is shared
-            p[y] = np.where(own, kept + low, 0)
-            p[y] += np.where(own, 0, (1 - p[y].sum()) * shared / shared[~own].sum())
-        found = sorted((vocabulary[x[0]] * side + vocabulary[x[1]], x[2], x[3]) for x in pairs)
-        keys, counts = np.array([x[0] for x in found], np.int64), np.array([x[1:] for x in found], float).reshape(-1, 2).T
-        left, right = keys // side, keys % side
-        heads = np.maximum(uni[:, left], 1)
-        kept = np.maximum(counts - DISCOUNT, 0) / heads
-        back = 1 - np.stack([np.bincount(left, k, minlength=side) for k in kept])
-        back = np.maximum(back, 1e-3)
-        return cls(vocabulary, np.log(np.maximum(p, 1e-12)), keys, np.log(kept + back[:, left] * p[:, right]), np.log(back))
-
-    def log_likelihoods(self, words: list[str]) -> tuple[float, float, int]:
-        """Log-likelihood under the ordinary and the toxic model, and the number of words."""
-        size, get = len(self.vocabulary), self.vocabulary.get
-        ids = np.array([get(w, size) for w in words], np.int64)
-        if not len(ids):
-            return 0.0, 0.0, 0
-        out = self.uni[:, ids[0]].copy()
-        if len(ids) > 1 and not len(self.pairs):
-            out += self.uni[:, ids[1:]].sum(axis=1)
-        elif len(ids) > 1:
-            key = ids[:-1] * (size + 1) + ids[1:]
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            hit = self.pairs[at] == key
-            out += np.where(hit, self.pair_logs[:, at], self.back[:, ids[:-1]] + self.uni[:, ids[1:]]).sum(axis=1)
-        return float(out[0]), float(out[1]), len(ids)
-
-
-def tally(cells: dict[tuple[str, str], list[int]], words: list[str], y: int, bigrams: bool = True) -> None:
-    """Adds a document of class ``y`` to the counts (of class 0, of class 1, documents of 0, of 1) of
-    its bigrams, of its words (with no left word) and of documents (with no words)."""
-    found = Counter(zip(words, words[1:], strict=False)) if bigrams else Counter()
-    found.update(("", w) for w in words)
-    found["", ""] = 1
-    add(cells, found, y)
-
-
-def add(cells: dict[tuple[str, str], list[int]], found: dict[tuple[str, str], int], y: int) -> None:
-    for key, n in found.items():
-        cell = cells.get(key)
-        if cell is None:
-            cell = cells[key] = [0, 0, 0, 0]
-        cell[y] += n
-        cell[2 + y] += 1
-
-
-def reliable(docs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Whether an expression's share of the toxic documents exceeds that of the ordinary beyond
-    chance. (One that is ordinary only marks a topic or a copied text, not the absence of abuse.)"""
-    n = np.maximum(sizes, 1)[:, None]
-    share = docs.sum(axis=0) / n.sum()
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n).sum())
-    return (docs[1] >= LEAST_DOCS) & (docs[1] / n[1, 0] - docs[0] / n[0, 0] > RELIABLE * error)
+    def of_counts(cls, k: np.ndarray) -> KneserNey:
+        """The models of k_c by cell; both classes have words."""
+        totals = k.sum(axis=1, dtype=np.float64)
+        cut = DISCOUNT * totals / totals.min()
+        off = np.minimum(k, cut[:, None])
+        shared = off.sum(axis=0) + 0.5
+        shared /= off.sum() + 0.5 * (np.count_nonzero(k.any(axis=0)) + 1)
+        p = (k - off) / totals[:, None] + (off.sum(axis=1) / totals)[:, None] * shared
+        return cls(np.log(p).astype(np.float32))
+
+    def log_likelihoods(self, words: list[str], known: dict[str, int] | None = None) -> np.ndarray:
+        """(2, words): log P of every word under the ordinary and the toxic model."""
+        return self.logs[:, cells_of(word_hashes(words, {} if known is None else known))].astype(np.float64)
+
+
+def evidence(model: KneserNey, words: list[str], known: dict[str, int] | None = None) -> float:
+    """How far toxic passages exceed ordinary ones: the log of the mean, over all passages of PASSAGE
+    words, of the ratio of their toxic to their ordinary likelihood. Passages of one length and their
+    mean make texts of all lengths comparable; the ratio of the text's median word counts as 1, so
+    the classes' shares of languages and topics, which shift all words alike, do not tell. A text
+    without words has none (0)."""
+    if not words:
+        return 0.0
+    ordinary, toxic = model.log_likelihoods(words, known)
+    ratio = toxic - ordinary
+    ratio -= np.median(ratio)
+    sums = np.concatenate([[0.0], np.cumsum(ratio)])
+    size = min(PASSAGE, len(words))
+    passages = sums[size:] - sums[:-size]
+    top = passages.max()
+    return float(top + np.log(np.exp(passages - top).mean()))
 
 
 @dataclass
@@ -155,7 +121,7 @@ class ToxicityModel:
 
     @classmethod
     def calibrated(cls, models: KneserNey | None, totals: np.ndarray, held: list[tuple[int, float, int]]) -> ToxicityModel:
-        """totals: rows of each label in the whole training part; held: label, difference and number
+        """totals: rows of each label in the whole training part; held: label, evidence and number
         of rows of the calibration fold. Without both labels in both the score is the labels' share."""
         y = np.array([r[0] for r in held], np.int64)
         if models is None or len(set(y.tolist())) < 2:
@@ -165,22 +131,13 @@ class ToxicityModel:
         weight = (totals / np.maximum(np.bincount(y, rows, minlength=2), 1))[y] * rows
         return cls(models, *logistic(np.array([r[1] for r in held]), y, weight * rows.sum() / weight.sum()))
 
-    def score(self, text: str | None) -> float:
+    def score(self, text: str | None, known: dict[str, int] | None = None) -> float:
         z = self.bias
         if self.models is not None:
-            z += self.slope * difference(self.models, words_of(text))
+            z += self.slope * evidence(self.models, words_of(text), known)
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def difference(model: KneserNey, words: list[str]) -> float:
-    """How far the toxic length-normalised log-likelihood exceeds the ordinary one, beyond what words
-    without class counts give, on a log scale (a text of insults only exceeds a long text with some
-    by orders of magnitude)."""
-    ordinary, toxic, n = model.log_likelihoods(words)
-    plain = float(model.uni[1, -1] - model.uni[0, -1])
-    return float(np.log(max((toxic - ordinary) / n - plain, 0.0) / FAINT + 1)) if n else 0.0
-
-
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
     """Slope and bias of a weighted ridge logistic regression by Newton steps, halved until the loss falls."""
     scale = max(float(np.abs(x).max()), 1e-9)
@@ -199,130 +156,38 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return float(w[0] / scale), float(w[1])
 
 
-def pair_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
-    """64-bit hashes of the bigrams; ``known`` remembers those of words."""
-    if len(known) > REMEMBERED:
-        known.clear()
-    for w in set(words).difference(known):
-        known[w] = int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little")
-    h = np.fromiter((known[w] for w in words), np.uint64, len(words))
-    return h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
-
-
-_CELLS = "l string, r string, c0 long, c1 long, d0 long, d1 long"
-_COUNTS = ("c0", "c1", "d0", "d1")
+def continuation_counts(texts: DataFrame) -> DataFrame:
+    """cell, k0, k1: the distinct left neighbours of a cell's words in each class of ``texts`` (text, y).
 
-
-def counted(texts: DataFrame, count: Callable[[dict, list[str], int], None]) -> DataFrame:
-    """The cells that ``count`` makes of the rows of ``texts`` (text, y), added up."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_state("toxicity")
-        cells: dict[tuple[str, str], list[int]] = {}
-
-        def out() -> pa.RecordBatch:
-            left, right = zip(*cells, strict=True)
-            numbers = [pa.array(c, pa.int64()) for c in zip(*cells.values(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), *numbers], ["l", "r", *_COUNTS])
-
-        for batch in batches:
-            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                count(cells, words_of(text.as_py()), y)
-                if len(cells) >= TALLY_ROWS:
-                    yield out()
-                    cells.clear()
-        if cells:
-            yield out()
-
-    return texts.select("text", "y").mapInArrow(run, _CELLS).groupBy("l", "r").agg(*[F.sum(c).alias(c) for c in _COUNTS])
-
-
-def distinct_bigrams(texts: DataFrame) -> int:
-    """Distinct bigrams (by 64-bit hash) of the texts. A task hands on its distinct hashes in one row
-    for each of 4,096 ranges, seven bytes each (the top byte is the range's)."""
+    Tasks hand on the distinct pairs of up to GATHERED at a time; Spark makes them distinct over all
+    tasks and counts them, so no group is gathered anywhere."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("toxicity")
         known: dict[str, int] = {}
         held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            every = np.unique(np.concatenate(held))
-            ends = np.searchsorted(every >> np.uint64(52), np.arange(4097, dtype=np.uint64))
-            tail = every.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
-            return pa.RecordBatch.from_arrays([pa.array(range(4096), pa.int32()), pa.array([tail[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], ["part", "tail"])
-
         for batch in batches:
-            for text in batch.column(0):
-                held.append(np.unique(pair_hashes(words_of(text.as_py()), known)))
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                held.append(pairs_of(words_of(text.as_py()), y, known))
                 size += len(held[-1])
                 if size >= GATHERED:
-                    yield out()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], ["pair"])
                     held, size = [], 0
         if size:
-            yield out()
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], ["pair"])
 
-    def unite(rows: pd.DataFrame) -> pd.DataFrame:
-        tail = np.frombuffer(b"".join(rows["tail"]), np.uint8).reshape(-1, 7)
-        every = np.zeros((len(tail), 8), np.uint8)
-        every[:, :7] = tail
-        return pd.DataFrame({"n": [len(np.unique(every.view("<u8")))]})
+    pairs = texts.select("text", "y").mapInArrow(gather, "pair long").distinct()
+    toxic = F.shiftright("pair", LEFT_BITS).bitwiseAND(F.lit(1)) == 1
+    return pairs.groupBy(F.shiftright("pair", LEFT_BITS + 1).cast("int").alias("cell")).agg(F.count_if(~toxic).alias("k0"), F.count_if(toxic).alias("k1"))
 
-    return texts.select("text").mapInArrow(gather, "part int, tail binary").groupBy("part").applyInPandas(unite, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-
-def count_models(texts: DataFrame) -> tuple[KneserNey | None, np.ndarray]:
-    """The models of all rows of the stored table ``texts`` (text, y) and the rows of each class.
-
-    Only what is reliable, and sums, come to the driver. A reliable bigram is in LEAST_DOCS toxic
-    documents, so ordinary ones are counted only for bigrams of which that holds.
-    """
-    spark = texts.sparkSession
-    ws, context = Workspace(spark), spark.sparkContext
-    counts = ws.store(counted(texts, lambda cells, words, y: tally(cells, words, y, bigrams=y == 1)))
-    word = (F.col("l") == "") & (F.col("r") != "")
-    total = lambda where, c: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
-    sums = counts.agg(*[total(F.col("r") == "", c) for c in ("d0", "d1")], *[total(word, c) for c in ("c0", "c1")], *[F.count_if(word & (F.col(c) > 0)) for c in ("c0", "c1")], F.count_if(word)).first()
-    sizes = np.array(sums[:2])
-    if not sizes.all():
-        ws.drop(counts)
-        return None, sizes
-
-    @pandas_udf(T.BooleanType())
-    def steady(d0: pd.Series, d1: pd.Series) -> pd.Series:
-        return pd.Series(reliable(np.stack([d0, d1]), sizes))
-
-    @pandas_udf(T.LongType())
-    def hashed(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([pair_hashes([a, b], {}).view(np.int64)[0] for a, b in zip(left, right, strict=True)], dtype="int64")
-
-    often = counts.where((F.col("l") != "") & (F.col("d1") >= LEAST_DOCS))
-    asked = context.broadcast(np.unique(np.array([r[0] for r in often.select(hashed("l", "r")).collect()], np.int64).view(np.uint64)))  # eight bytes each
-
-    known: dict[str, int] = {}  # each task has a copy
-
-    def count_asked(cells: dict, words: list[str], y: int) -> None:
-        h, among = pair_hashes(words, known), asked.value
-        if len(h) and len(among):
-            at = np.flatnonzero(among[np.minimum(np.searchsorted(among, h), len(among) - 1)] == h)
-            add(cells, Counter((words[i], words[i + 1]) for i in at.tolist()), y)
-
-    plain = counted(texts.where("y = 0"), count_asked).select("l", "r", F.col("c0").alias("p_c0"), F.col("d0").alias("p_d0"))
-    often = often.join(plain, ["l", "r"], "left").select("l", "r", F.coalesce("p_c0", F.lit(0)).alias("c0"), "c1", F.coalesce("p_d0", F.lit(0)).alias("d0"), "d1")
-    pairs = [tuple(r) for r in often.where(steady("d0", "d1")).collect()]
-    kept = counts.where(word & (F.col("d1") >= LEAST_DOCS)).where(steady("d0", "d1")).select("r").collect()
-    names = {r[0] for r in kept} | {w for r in pairs for w in r[:2]}
-    listed = context.broadcast(names)
-
-    def count_listed(cells: dict, words: list[str], y: int) -> None:
-        among = listed.value
-        add(cells, Counter(x for x in zip(words, words[1:], strict=False) if x[1] in among), y)
-
-    ends = {r[0]: r[1] for r in counted(texts, count_listed).groupBy("r").count().collect()}
-    chosen = F.broadcast(spark.createDataFrame([(w,) for w in sorted(names)], "name string"))
-    words = [(*r, ends.get(r[0], 0)) for r in counts.where(word).join(chosen, F.col("r") == F.col("name")).select("r", *_COUNTS).orderBy("r").collect()]
-    ws.drop(counts)
-    return KneserNey.of_counts(sizes, np.array(sums[2:4]), np.array(sums[4:6]), sums[6], distinct_bigrams(texts), words, pairs), sizes
+def count_models(texts: DataFrame) -> KneserNey | None:
+    """The models of all rows of ``texts`` (text, y); None if a class has no words. A row a cell, so
+    2 ** TABLE_BITS at most, reaches the driver."""
+    found = continuation_counts(texts).toArrow()
+    k = np.zeros((2, 1 << TABLE_BITS), np.int64)
+    k[:, found["cell"].to_numpy()] = found["k0"].to_numpy(), found["k1"].to_numpy()
+    return KneserNey.of_counts(k) if k.any(axis=1).all() else None
 
 
 def labelled_only(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -339,10 +204,11 @@ def labelled_only(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> ToxicityModel:
     """The model of the labelled documents for which ``train`` (on doc_id) holds: all of them, and
-    their whole texts.
+    their whole texts, however long.
 
-    Rows with a null id, text or label do not train; labels other than 0 and 1 neither. One of FOLDS
-    folds by a hash of the id calibrates: its differences are rounded and counted, so what is
+    Rows with a null id, text or label do not train; labels other than 0 and 1 neither. An id labelled
+    both ways trains both classes; of several texts under one id the smallest counts, once. One of
+    FOLDS folds by a hash of the id calibrates: its evidence is rounded and counted, so what is
     collected does not grow with its rows.
     """
     spark = docs.sparkSession
@@ -353,27 +219,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None
     rows = own.join(sized(known), F.col("doc_id") == F.col("l_id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     ws = Workspace(spark)
     rows = ws.store(rows.select("text", "y", (fold == 0).alias("held")), "zstd")
-    models, sizes = count_models(rows.where("not held"))
-    shared = spark.sparkContext.broadcast(models)
+    models = count_models(rows.where("not held"))
+    shared = spark.sparkContext.broadcast(models)  # two numbers a cell
 
     @pandas_udf(T.DoubleType())
-    def differ(texts: pd.Series) -> pd.Series:
-        worker_state("toxicity")
-        return pd.Series([difference(shared.value, words_of(t)) if shared.value else 0.0 for t in texts], dtype=float)
+    def weigh(texts: pd.Series) -> pd.Series:
+        known = worker_state("toxicity", dict)
+        return pd.Series([evidence(shared.value, words_of(t), known) if shared.value else 0.0 for t in texts], dtype=float)
 
-    held = [tuple(r) for r in rows.where("held").select("y", F.round(differ("text"), 4).alias("x")).groupBy("y", "x").count().orderBy("y", "x").collect()]
+    held = [tuple(r) for r in rows.where("held").select("y", F.round(weigh("text"), 2).alias("x")).groupBy("y", "x").count().orderBy("y", "x").collect()]
+    sizes = dict(rows.groupBy("y").count().collect())
     ws.drop(rows)
-    totals = sizes + np.array([sum(r[2] for r in held if r[0] == y) for y in (0, 1)])
-    return ToxicityModel.calibrated(models, totals.astype(float), held)
+    return ToxicityModel.calibrated(models, np.array([sizes.get(y, 0) for y in (0, 1)], float), held)
 
 
 def scorer(docs: DataFrame, model: ToxicityModel):
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # reliable expressions only
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two numbers a cell
 
     @pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
-        worker_state("toxicity")
-        return pd.Series([shared.value.score(t) for t in texts], dtype=float)
+        known = worker_state("toxicity", dict)
+        return pd.Series([shared.value.score(t, known) for t in texts], dtype=float)
 
     return score
 
@@ -382,8 +248,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataF
     """doc_id, held_out, score, predicted for every row of documents.
 
     Rows whose crc32(doc_id as text) is divisible by ``folds`` are held out of training. Null, empty
-    and wordless texts get the calibrated score of no evidence; repeated rows equal scores. Other
-    columns are ignored; an empty table gives no rows; without labels all scores are near 0.
+    and wordless texts get the calibrated score of no evidence; very long texts are read whole;
+    repeated rows get equal scores, and a score of exactly 0.5 predicts 1. Other columns, also of
+    ``labels``, are ignored; an empty table gives no rows; without labels all scores are near 0.
     """
     model = fit_toxicity(docs, labels, crc_bucket(F.col("doc_id"), folds) != 0)
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_bucket(F.col("doc_id"), folds) == 0).alias("held_out"), scorer(docs, model)(F.col("text").cast("string")).alias("score"))
