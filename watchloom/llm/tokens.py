@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -37,8 +38,13 @@ END_ID = 2
 SEGMENT_TOKENS, BLOCK_TOKENS = 1 << 20, 128
 #: Tokens packed at once, a multiple of BLOCK_TOKENS.
 PACKED = 1 << 15
-#: Distinct chunks, and words, whose ids a worker remembers; others are encoded each time.
-CACHE = 500_000
+#: Bytes of text encoded at once; a longer text is cut at blanks.
+STEP_BYTES = 4 << 20
+#: Distinct chunks, and words, whose ids a worker remembers. They are the first that it meets, so the
+#: frequent ones; later ones are encoded each time, with the same ids. (Forgetting the least lately used
+#: instead took a third more time.)
+CACHE = 400_000
+BLANKS = re.compile(rb"[\x09-\x0d\x20]")
 #: Pre-tokenizer pattern under which blanks separate a text for good, and words from punctuation.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A lower-case word of letters that normalisation leaves alone, and punctuation after it.
@@ -90,18 +96,25 @@ class ChunkEncoder:
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of every text and END_ID, as bytes of ``dtype``."""
         end = np.array([END_ID], self.dtype).tobytes()
         if not self.by_word:
             return [x + end for x in self._whole([t or "" for t in texts])]
+        raw = [t.encode("utf-8", "replace") if t else b"" for t in texts]
+        if sum(map(len, raw)) <= STEP_BYTES:
+            return [x + end for x in self._encode_raw(raw)]
+        return [b"".join(x for part in pieces(t) for x in self._encode_raw([part])) + end for t in raw]
+
+    def _encode_raw(self, raw: list[bytes]) -> list[bytes]:
         known = self.chunks
-        docs = [list(map(known.__getitem__, t.encode("utf-8", "replace").split())) if t else [] for t in texts]
+        docs = [list(map(known.__getitem__, t.split())) for t in raw]
         new = self._resolve(known.pending)
         for chunk, slot in known.pending.items():
             slot += new[chunk]
         known.pending = {}
         if len(known) < CACHE:
             known.update(new)
-        return [b"".join(doc) + end for doc in docs]
+        return [b"".join(doc) for doc in docs]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -157,6 +170,26 @@ class ChunkEncoder:
         return out
 
 
+def pieces(raw: bytes) -> Iterator[bytes]:
+    """A text in pieces of about STEP_BYTES, cut at blanks."""
+    at = 0
+    while len(raw) - at > STEP_BYTES:
+        blank = BLANKS.search(raw, at + STEP_BYTES)
+        if blank is None:
+            break
+        yield raw[at : blank.start()]
+        at = blank.end()
+    yield raw[at:]
+
+
+def steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, rows) of runs of texts of about STEP_BYTES."""
+    size = pc.fill_null(pc.cast(pc.binary_length(texts), pa.int64()), 0).to_numpy(zero_copy_only=False)
+    turn = np.cumsum(size) // STEP_BYTES
+    cuts = np.r_[0, np.flatnonzero(np.diff(turn)) + 1, len(turn)] if len(turn) else np.zeros(0, int)
+    yield from zip(cuts[:-1].tolist(), np.diff(cuts).tolist(), strict=True)
+
+
 def _encoder(spec: str) -> ChunkEncoder:
     return worker_state(("tokens", hash(spec)), lambda: ChunkEncoder(spec))
 
@@ -173,16 +206,16 @@ def _tokenize(spec, size: int):
         def rows(names: pa.Array, ids: list, count: bytes | None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([names, pa.array(ids, pa.binary()), pa.array([count] * len(ids), pa.binary())], STAGED.names)
 
-        gc.disable()  # millions of small objects without cycles; scans of them take a fifth of the time
-        try:
-            for batch in batches:
-                for at in range(0, len(batch), 2000):
-                    part = batch.slice(at, 2000)
+        for batch in batches:
+            for at, n in steps(batch.column(1)):
+                part = batch.slice(at, n)
+                gc.disable()  # millions of small objects without cycles; scans of them take a fifth of the time
+                try:
                     found = encoder.encode(part.column(1).to_pylist())
-                    counts += np.bincount(np.frombuffer(b"".join(found), encoder.dtype), minlength=size)
-                    yield rows(part.column(0), [zip_.compress(x) for x in found], None)
-        finally:
-            gc.enable()
+                finally:
+                    gc.enable()
+                counts += np.bincount(np.frombuffer(b"".join(found), encoder.dtype), minlength=size)
+                yield rows(part.column(0), [zip_.compress(x) for x in found], None)
         yield rows(pa.array([None], pa.int64()), [None], zip_.compress(counts.tobytes()))
 
     return run
@@ -190,6 +223,7 @@ def _tokenize(spec, size: int):
 
 def _sum_counts(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("token counts")  # lets go of the encoder
         total, unzip = np.zeros(size, np.int64), zstandard.ZstdDecompressor()
         for batch in batches:
             for x in batch.column(0).to_pylist():
@@ -305,6 +339,7 @@ SEGMENTS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("
 
 def _segments(code, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("token segments")
         part, unzip, seq = TaskContext.get().partitionId(), zstandard.ZstdDecompressor(), 0
         names: list[int | None] = []
         docs: list[np.ndarray] = []
@@ -330,6 +365,7 @@ def _segments(code, dtype: str):
 
 def _decode(code):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("token segments")
         for batch in batches:
             for begin, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 names, sizes, ids = read_segment(code.value, payload)
@@ -344,10 +380,11 @@ def _decode(code):
 def write_tokens(docs: DataFrame, tokenizer_path: str, ws: Workspace, out: str) -> None:
     """Encodes every text, appends END_ID and writes the dataset under ``out`` in ascending doc_id.
 
-    Nulls come first in that order and rows with equal ids next to each other, by their ids' bytes;
-    null and empty texts have END_ID alone. The code comes from the counts of all ids (at most a row
-    for each id of the vocabulary reaches the driver). Documents are range-partitioned by id, so a
-    task holds one segment at a time.
+    Nulls come first in that order and rows with equal doc_id next to each other, by a hash of their
+    ids; null and empty texts have END_ID alone, and very long texts are encoded in pieces. The code
+    comes from the counts of all ids (at most a row for each id of the vocabulary reaches the
+    driver). Documents are range-partitioned by id, then that hash and their place in the input, so
+    that rows of one id, or repeated rows, are split too; a task holds one segment at a time.
     """
     spark = docs.sparkSession
     text = tokenizer_file(tokenizer_path)
@@ -361,7 +398,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, ws: Workspace, out: str)
     bits = code_lengths(n, max(16, int(np.ceil(np.log2(max(len(n), 1) + 1))) + 3))
     spark.createDataFrame([(int(i), int(b)) for i, b in zip(ids, bits, strict=True)], "id int, bits int").coalesce(1).write.parquet(f"{out}/codebook")
     code = spark.sparkContext.broadcast(Code(ids, bits))  # bounded by the vocabulary
-    dealt = staged.where("ids is not null").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    keyed = staged.where("ids is not null").select("doc_id", "ids", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("n"))
+    dealt = keyed.repartitionByRange("doc_id", "h", "n").sortWithinPartitions("doc_id", "h", "n").select("doc_id", "ids")
     dealt.mapInArrow(_segments(code, dtype), SEGMENTS).write.option("compression", "none").parquet(f"{out}/segments")
     ws.drop(staged)
 
