@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,11 +17,14 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or an own one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or an own one where it is unset and
+    the master is local (on a cluster every machine would have its own, so that is an error)."""
     if configured := spark.conf.get("spark.checkpoint.dir", None):
         return configured.rstrip("/")
     if known := spark.sparkContext.getCheckpointDir():
         return known.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="watchloom-")
     atexit.register(shutil.rmtree, own, True)
     spark.sparkContext.setCheckpointDir(own)
@@ -32,7 +36,7 @@ class Workspace:
 
     A lost executor rereads them instead of recomputing; writes go through Spark's committer, so
     retried and speculative tasks leave no partial rows. ``drop`` removes a table once later tables
-    that were derived from it are written; what remains goes with ``close_all`` at exit.
+    that were derived from it are written; what lazy results may still read goes at exit.
     """
 
     def __init__(self, spark: SparkSession):
@@ -101,6 +105,28 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
     return roots.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+#: Bits of ``maybe_among``'s map, which is broadcast (an eighth of that in bytes).
+MAP_BITS = 1 << 26
+
+
+def maybe_among(keys: DataFrame, key: Column) -> DataFrame:
+    """One row for each 4,096 bytes of a bitmap of the hashes of ``key`` over ``keys``: bucket, bits."""
+    at = F.pmod(F.xxhash64(key), F.lit(MAP_BITS)) + 1
+    return keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+
+
+def mark_maybe(df: DataFrame, key: Column, bitmap: DataFrame, flag: str) -> DataFrame:
+    """``df`` with the boolean ``flag``: false where ``key`` is surely in none of the rows that
+    ``bitmap`` was made of. No row moves; MAP_BITS bounds the broadcast. A crowded map only lets more
+    rows through to the join that decides."""
+    at = F.pmod(F.xxhash64(key), F.lit(MAP_BITS)) + 1
+    pos = F.bitmap_bit_position(at).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = (F.floor(byte / F.pow(F.lit(2), pos % 8)) % 2) == 1
+    joined = df.join(F.broadcast(bitmap), F.bitmap_bucket_number(at) == F.col("bucket"), "left")
+    return joined.select(*[df[c] for c in df.columns], F.coalesce(hit, F.lit(False)).alias(flag))
+
+
 def text_identity(text: Column) -> Column:
     """64-bit hash of a text in which null differs from empty."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from watchloom.llm.common import Workspace, crc_bucket, sized, worker_state
+from watchloom.llm.common import Workspace, crc_bucket, mark_maybe, maybe_among, sized, worker_state
 
 WORD = re.compile(r"\w+")
 #: Words are counted in 2 ** TABLE_BITS cells by hash, which bounds the model whatever the vocabulary;
@@ -23,8 +23,6 @@ WORD = re.compile(r"\w+")
 TABLE_BITS, LEFT_BITS = 22, 40
 #: Pairs that a task gathers and word hashes that it remembers before it hands them on or forgets them.
 GATHERED, REMEMBERED = 1_000_000, 200_000
-#: Bits of the map of labelled ids, which only spares the join rows without a label.
-ID_BITS = 1 << 26
 #: Of FOLDS folds of the training rows, one calibrates and the others count.
 FOLDS = 5
 #: Counts taken off every expression of the smaller class (of the larger one in proportion).
@@ -190,18 +188,6 @@ def count_models(texts: DataFrame) -> KneserNey | None:
     return KneserNey.of_counts(k) if k.any(axis=1).all() else None
 
 
-def labelled_only(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id may be among l_id of ``known``, by a bitmap of id hashes. It only
-    keeps most texts without a label from being shuffled; the join decides."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS)) + 1
-    at = place(F.col("l_id"))
-    bits = known.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    pos = F.bitmap_bit_position(place(F.col("doc_id"))).cast("int")
-    byte = F.conv(F.hex(F.substring("bits", F.floor(pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    near = docs.join(F.broadcast(bits), F.bitmap_bucket_number(place(F.col("doc_id"))) == F.col("bucket"))  # ID_BITS / 8 bytes
-    return near.where((F.floor(byte / F.pow(F.lit(2), pos % 8)) % 2) == 1).select(*docs.columns)
-
-
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> ToxicityModel:
     """The model of the labelled documents for which ``train`` (on doc_id) holds: all of them, and
     their whole texts, however long.
@@ -214,7 +200,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("y")).where("l_id is not null and y in (0, 1)").distinct()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    own = labelled_only(own if train is None else own.where(train), known)
+    own = mark_maybe(own if train is None else own.where(train), F.col("doc_id"), maybe_among(known, F.col("l_id")), "marked").where("marked")  # spares the join most texts without a label
     fold = F.floor(F.crc32(F.concat(F.lit("fit-"), F.col("doc_id").cast("string")).cast("binary")) / 7) % FOLDS
     rows = own.join(sized(known), F.col("doc_id") == F.col("l_id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     ws = Workspace(spark)
