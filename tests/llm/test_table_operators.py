@@ -167,6 +167,50 @@ def test_trie_join_matches_all_pairs(spark, group_rows):
     assert {r.doc_id: r.component_id for r in got} == {ids[i]: low[found[i]] for i in range(len(ids))}
 
 
+def test_every_pair_is_decided_on_the_trie(monkeypatch):
+    """Leaves are single fingerprints reached with the differences of the bits above; every link comes
+    from two leaves or from nodes whose bits left cannot exceed the budget; over-budget pairs are
+    pruned before their leaves."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = {b ^ sum(1 << x for x in rng.sample(range(40), rng.randint(0, 7))) for b in base for _ in range(12)} | {b ^ (7 << 20) for b in base}
+    parts = [(40, 24)]
+    fps = np.array(sorted(fps), np.uint64)
+    cuts = np.flatnonzero(np.r_[True, fps[1:] >> np.uint64(40) != fps[:-1] >> np.uint64(40)])
+    lo, hi = cuts, np.r_[cuts[1:], len(fps)]
+    seen = []
+
+    def recorded(fps, a, b, used, rest, budget, plain=simhash.leaf_pairs):
+        assert ((np.bitwise_count((fps[a] ^ fps[b]) & ~np.uint64(rest)) == used) & (used <= budget)).all()
+        seen.extend(zip(a.tolist(), b.tolist(), strict=True))
+        return plain(fps, a, b, used, rest, budget)
+
+    monkeypatch.setattr(simhash, "leaf_pairs", recorded)
+    links = {(min(i, j), max(i, j)) for a, b in simhash.trie_links(fps, (lo, hi, lo, hi), simhash.free_bits(parts), 4) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i != j}
+    below = {(i, j) for x, y in zip(lo.tolist(), hi.tolist(), strict=True) for i in range(x, y) for j in range(i + 1, y)}
+    want = {(i, j) for i, j in below if (int(fps[i]) ^ int(fps[j])).bit_count() <= 4}
+    assert links <= want and len(seen) == len(set(seen)) < len(below)
+    root = roots(len(fps), links)
+    assert all(root[i] == root[j] for i, j in want)
+
+
+def test_dense_group_links_without_all_pairs():
+    fps = np.arange(2048, dtype=np.uint64)  # all differ in the low 11 bits only
+    group, side = np.full(len(fps), 0, np.int64), np.zeros(len(fps), np.int64)
+    choice = next(n for n, parts in enumerate(simhash.path_keys()) if all(s >= 21 for s, _ in parts))
+    a, b = simhash.join_group(fps, group + choice, side)
+    assert set(a.tolist()) == set(range(1, 2048)) and set(b.tolist()) == {0}
+    spread = sum(len(x) for x, _ in simhash.trie_links(fps, (np.array([0]), np.array([2048]), np.array([0]), np.array([2048])), simhash.free_bits(simhash.path_keys()[choice])))
+    assert spread < 2048 * 2047 // 2
+
+
+def test_keep_one_reads_any_columns(spark):
+    rows = [(1, "a b c d e", {"x": 1}, [1]), (1, "a b c d e", {"x": 2}, [2]), (2, "A b c d e", None, None), (3, "other text here", {}, []), (None, "other text here", {}, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, maybe map<string,int>, bits array<int>")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_simhash_on_odd_rows(odd, empty):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == 12

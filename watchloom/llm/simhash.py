@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from watchloom.llm.common import Workspace, connected_components, sized, text_identity, worker_state
+from watchloom.llm.common import Workspace, connected_components, mark_maybe, maybe_among, sized, text_identity, worker_state
 
 BITS, SHINGLE, SEED, BUDGET = 64, 4, 42, 4
 #: Shingles hashed at once, so that a very long text needs bounded memory.
@@ -51,85 +51,117 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 
 
 def path_keys(budget: int = BUDGET) -> list[list[tuple[int, int]]]:
-    """The shared trie paths: for budget + 2 blocks of the 64 bits, every choice of 2, as (shift,
-    width) lists. ``budget`` differing bits spoil at most ``budget`` blocks, so two fingerprints in
-    reach agree on at least one choice, and their trie (bits in that order) has them on one path."""
+    """The bit orders of the tries that are joined: for budget + 2 blocks of the 64 bits, every choice
+    of 2, as (shift, width) lists. In a choice's trie its two blocks come first, then the other bits.
+    ``budget`` differing bits spoil at most ``budget`` blocks, so a pair in reach agrees on some
+    choice: in that trie it is below one node of the upper levels, with no difference used up yet.
+    Pairs of different upper nodes of a trie can therefore be left to the other tries."""
     blocks, cuts = budget + 2, [round(i * BITS / (budget + 2)) for i in range(budget + 3)]
     return [[(cuts[i], cuts[i + 1] - cuts[i]) for i in pair] for pair in combinations(range(blocks), 2)]
 
 
+def free_bits(parts: list[tuple[int, int]]) -> list[int]:
+    """The bits below a choice's upper levels, in the order in which its trie takes them."""
+    fixed = {b for shift, width in parts for b in range(shift, shift + width)}
+    return [b for b in range(BITS - 1, -1, -1) if b not in fixed]
+
+
+#: The number of a choice is in the low bits of its paths.
+CHOICE_BITS = 8
+
+
 def _path_column(n: int, parts: list[tuple[int, int]]) -> Column:
-    key: Column = F.lit(n).cast("long")
+    key: Column = F.lit(0).cast("long")
     for shift, width in parts:
         key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)))
-    return key
+    return F.shiftleft(key, CHOICE_BITS).bitwiseOR(F.lit(n))
+
+
+def leaf_pairs(fps: np.ndarray, a: np.ndarray, b: np.ndarray, used: np.ndarray, rest: int, budget: int) -> np.ndarray:
+    """Which pairs of leaves are in reach: the differences used up on the way down, and those of the
+    ``rest``, the bits on the leaves' own edges."""
+    return used + np.bitwise_count((fps[a] ^ fps[b]) & np.uint64(rest)) <= budget
 
 
-def trie_links(fps: np.ndarray, frontier: tuple[np.ndarray, ...], budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of ``fps`` within ``budget`` differing bits, by walking pairs of trie nodes down
-    together. A node is a range of ``fps`` (sorted within every range); ``frontier`` holds the start
-    pairs (lo, hi, lo, hi), a pair of equal ranges joining a node with itself."""
+def trie_links(fps: np.ndarray, frontier: tuple[np.ndarray, ...], bits: list[int], budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of ``fps`` that connect all that is within ``budget`` differing bits, by walking
+    pairs of trie nodes down together.
+
+    A node is a range of ``fps``, sorted in the order of ``bits`` within it; ``frontier`` holds the
+    start pairs (lo, hi, lo, hi), which agree on all other bits; a pair of equal ranges joins a node
+    with itself. A step goes down one bit on both sides and adds to the differences used up; a pair
+    over the budget is dropped with all below it. Two leaves compare their edges. If the bits left
+    cannot exceed the budget, all leaves of both nodes are linked through the first.
+    """
+    stack = [(0, *frontier, np.zeros(len(frontier[0]), np.int8))]
     ones: dict[int, np.ndarray] = {}  # by bit: ones before each position
-    stack = [(BITS - 1, *frontier, np.zeros(len(frontier[0]), np.int8))]
     while stack:
-        bit, alo, ahi, blo, bhi, d = stack.pop()
+        depth, alo, ahi, blo, bhi, used = stack.pop()
         if len(alo) > FRONTIER:
             half = len(alo) // 2
-            stack += [(bit, *(x[:half] for x in (alo, ahi, blo, bhi, d))), (bit, *(x[half:] for x in (alo, ahi, blo, bhi, d)))]
+            stack += [(depth, *(x[:half] for x in (alo, ahi, blo, bhi, used))), (depth, *(x[half:] for x in (alo, ahi, blo, bhi, used)))]
             continue
         same = alo == blo
-        # leaves (or small products): the rest of both paths is compared at once
-        leaf = (ahi - alo) * (bhi - blo) <= 8 if bit >= 0 else np.ones(len(alo), bool)
+        leaf = ~same & (ahi - alo == 1) & (bhi - blo == 1)
         if leaf.any():
-            la, na, lb, nb, own = alo[leaf], (ahi - alo)[leaf], blo[leaf], (bhi - blo)[leaf], same[leaf]
-            k = na * nb
-            pair = np.repeat(np.arange(len(k)), k)
-            nth = np.arange(len(pair)) - np.repeat(np.cumsum(k) - k, k)
-            ia, ib = la[pair] + nth // nb[pair], lb[pair] + nth % nb[pair]
-            near = (np.bitwise_count(fps[ia] ^ fps[ib]) <= budget) & ((ia < ib) | ~own[pair])
+            a, b = alo[leaf], blo[leaf]
+            near = leaf_pairs(fps, a, b, used[leaf], sum(1 << x for x in bits[depth:]), budget)
             if near.any():
-                yield ia[near], ib[near]
-        keep = ~leaf
+                yield a[near], b[near]
+        whole = ~leaf & (used + (len(bits) - depth) <= budget)
+        for lo, hi in ((alo, ahi), (blo, bhi)):
+            n = (hi - lo)[whole]
+            if n.sum():
+                yield np.repeat(alo[whole], n), np.repeat(lo[whole] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        keep = ~leaf & ~whole & ~(same & (ahi - alo == 1))
         if not keep.any():
             continue
-        alo, ahi, blo, bhi, d, same = (x[keep] for x in (alo, ahi, blo, bhi, d, same))
+        alo, ahi, blo, bhi, used, same = (x[keep] for x in (alo, ahi, blo, bhi, used, same))
+        bit = bits[depth]
         if bit not in ones:
             ones[bit] = np.concatenate([[0], np.cumsum((fps >> np.uint64(bit)) & np.uint64(1), dtype=np.int32)])
         c = ones[bit]
         amid, bmid = ahi - (c[ahi] - c[alo]), bhi - (c[bhi] - c[blo])
-        steps = [(alo, amid, blo, bmid, d), (amid, ahi, bmid, bhi, d), (alo, amid, bmid, bhi, d + 1), (amid, ahi, blo, bmid, np.where(same, budget + 1, d + 1))]
+        steps = [(alo, amid, blo, bmid, used), (amid, ahi, bmid, bhi, used), (alo, amid, bmid, bhi, used + 1), (amid, ahi, blo, bmid, np.where(same, budget + 1, used + 1))]
         new = [np.concatenate(x) for x in zip(*steps, strict=True)]
         alive = (new[0] < new[1]) & (new[2] < new[3]) & (new[4] <= budget)
-        stack.append((bit - 1, *(x[alive] for x in new)))
+        stack.append((depth + 1, *(x[alive] for x in new)))
 
 
 def join_group(fps: np.ndarray, group: np.ndarray, side: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
     """Links found in every group (rows of one group and side are adjacent and sorted by value), as
-    a star (fingerprint, root of its component there): all links' components, without all pairs."""
+    a star (fingerprint, root of its component there): all links' components, without all pairs.
+    A group has a node joined with itself, or two chunks of one (sides 0 and 1) joined."""
     cuts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (side[1:] != side[:-1])])
     lo, hi = cuts, np.r_[cuts[1:], len(fps)]
-    g, s = group[lo], side[lo]
-    own = (s == 0) & ~np.r_[(g[1:] == g[:-1]), False] if len(g) else np.zeros(0, bool)
-    pairs = np.flatnonzero(np.r_[g[1:] == g[:-1], False]) if len(g) else np.zeros(0, int)
-    own = np.flatnonzero(own & (hi - lo > 1))
-    frontier = tuple(np.concatenate(x) for x in ((lo[own], lo[pairs]), (hi[own], hi[pairs]), (lo[own], lo[pairs + 1] if len(pairs) else pairs), (hi[own], hi[pairs + 1] if len(pairs) else pairs)))
+    two = np.r_[group[lo][1:] == group[lo][:-1], False]
+    second = np.r_[False, two[:-1]]
+    own = ~two & ~second & (side[lo] == 0) & (hi - lo > 1)
+    at = np.flatnonzero(own | two)
+    to = np.where(two[at], at + 1, at)
+    choice = group[lo[at]] & ((1 << CHOICE_BITS) - 1)
     root = np.arange(len(fps))
-    for a, b in trie_links(fps, frontier, budget):
-        while True:
-            ra, rb = root[a], root[b]
-            apart = ra != rb
-            if not apart.any():
-                break
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-            while (root != (up := root[root])).any():
-                root = up
+    for n, parts in enumerate(path_keys(budget)):
+        own = choice == n
+        if not own.any():
+            continue
+        for a, b in trie_links(fps, (lo[at[own]], hi[at[own]], lo[to[own]], hi[to[own]]), free_bits(parts), budget):
+            while True:
+                ra, rb = root[a], root[b]
+                apart = ra != rb
+                if not apart.any():
+                    break
+                a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+                np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+                while (root != (up := root[root])).any():
+                    root = up
     linked = np.flatnonzero(root != np.arange(len(fps)))
     return fps[linked], fps[root[linked]]
 
 
 def _join_partition(budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("simhash join")
         held: list[np.ndarray] = []
 
         def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -162,10 +194,10 @@ def _join_partition(budget: int):
 def fingerprint_links(ws: Workspace, fps: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(a, b): edges with the same components as all links between the distinct fingerprints ``fp``.
 
-    The upper trie levels are dealt out by shuffle: each fingerprint goes to its path of every block
-    choice, and a task walks node pairs below each path. A path with more than ``group_rows``
-    fingerprints is split into m chunks and m (m + 1) / 2 chunk pairs, so no task holds more than
-    two chunks; no row is dropped."""
+    The upper levels of the tries are dealt out by shuffle: each fingerprint goes to its node of every
+    choice, and a task walks the node pairs below. A node with more than ``group_rows`` fingerprints
+    is split into m chunks and m (m + 1) / 2 chunk pairs, so no task holds more than two chunks; no
+    row is dropped."""
     keys = path_keys(budget)
     paths = fps.select("fp", F.explode(F.array(*[_path_column(n, p) for n, p in enumerate(keys)])).alias("path"))
     big = ws.store(paths.groupBy("path").count().where(F.col("count") > group_rows).select("path", F.ceil(F.col("count") / group_rows).cast("int").alias("m")))
@@ -174,7 +206,8 @@ def fingerprint_links(ws: Workspace, fps: DataFrame, budget: int = BUDGET, group
     else:
         dealt = paths.join(sized(big), "path", "left").withColumn("m", F.coalesce("m", F.lit(1)))
         dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        pair = F.xxhash64("path", F.least("chunk", "other"), F.greatest("chunk", "other")).bitwiseOR(F.lit(-(1 << 63)))  # below 0, as no path is
+        low = (1 << CHOICE_BITS) - 1
+        pair = F.xxhash64("path", F.least("chunk", "other"), F.greatest("chunk", "other")).bitwiseAND(F.lit(~low)).bitwiseOR(F.lit(-(1 << 63))).bitwiseOR(F.col("path").bitwiseAND(F.lit(low)))  # below 0, as no path is
         rows = dealt.select(F.when(F.col("m") == 1, F.col("path")).otherwise(pair).alias("g"), (F.col("chunk") > F.col("other")).cast("long").alias("side"), "fp")
     dealt = rows.repartition("g").sortWithinPartitions("g")
     return dealt.mapInArrow(_join_partition(budget), "a long, b long")
@@ -188,9 +221,10 @@ def fingerprint_components(ws: Workspace, fps: DataFrame, budget: int = BUDGET,
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of documents.
 
-    Null, empty and blank texts have fingerprint zero and link like any other. component_id is the
-    smallest doc_id reachable over links of at most ``budget`` bits; rows without an id take part
-    and show the smallest id of the others, null if there is none. Repeated rows each come back.
+    Null, empty and blank texts have fingerprint zero and link like any other; very long texts are
+    hashed whole, in steps. component_id is the smallest doc_id reachable over links of at most
+    ``budget`` bits; rows without an id take part and show the smallest id of the others, null if
+    there is none. A bit set in exactly half the shingles is 0. Repeated rows each come back.
     Other columns are ignored; an empty table gives no rows.
     """
     ws = Workspace(docs.sparkSession)
@@ -210,17 +244,31 @@ def component_ids(ws: Workspace, rows: DataFrame, budget: int, group_rows: int)
 
 def keep_one(docs: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:
     """The rows of ``docs`` that stay, columns unchanged: one document of each component, the one
-    with the smallest id (null last), then the smallest text hash. Repeated rows count as copies."""
+    with the smallest id (null last), then the smallest text hash. Rows equal in id and text count as
+    copies; which of them stays is settled by a hash of their other plain columns. Null, empty and
+    very long texts have fingerprints like any other; an empty table gives no rows.
+
+    What goes is decided on keys alone. A bitmap of the keys that go or repeat lets most rows stay
+    where they are; only the others move to be joined with the decision.
+    """
     ws = Workspace(docs.sparkSession)
     ident = (F.col("doc_id").cast("long").alias("k_id"), text_identity(F.col("text").cast("string")).alias("k_text"))
-    rows = ws.store(docs.select(*ident, _fingerprints(F.col("text").cast("string")).alias("fp")).withColumnRenamed("k_id", "doc_id"))
+    rows = ws.store(docs.select(*ident, _fingerprints(F.col("text").cast("string")).alias("fp")).groupBy("k_id", "k_text", "fp").agg(F.count("*").alias("n")))
     distinct = ws.store(rows.select("fp").distinct())
     roots = fingerprint_components(ws, distinct, budget, group_rows)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k_text"))
-    by_fp = rows.groupBy("fp").agg(best.alias("best"))
-    chosen = by_fp.join(roots, by_fp["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
-    chosen = ws.store(chosen.select(F.col("best.doc_id").alias("c_id"), F.col("best.k_text").alias("c_text")))
+    best = F.min(F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_text"))
+    by_fp = ws.store(rows.groupBy("fp").agg(best.alias("best")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", "best", F.coalesce("root", "fp").alias("root")))
+    chosen = by_fp.groupBy("root").agg(F.min("best").alias("chosen"))
+    stays = by_fp.join(chosen, "root").select("fp", "chosen")
+    settled = rows.join(stays, "fp").select("k_id", "k_text", "n", (F.col("k_id").eqNullSafe(F.col("chosen.k_id")) & (F.col("k_text") == F.col("chosen.k_text"))).alias("stays"))
+    open_ = ws.store(settled.where(~F.col("stays") | (F.col("n") > 1)).select(F.col("k_id").alias("o_id"), F.col("k_text").alias("o_text"), "stays"))
+    key = F.xxhash64(F.coalesce("k_id", F.lit(-1)), "k_text")
     packed = docs.select(F.struct("*").alias("row"), *ident)
-    kept = packed.join(chosen, packed["k_id"].eqNullSafe(chosen["c_id"]) & (packed["k_text"] == chosen["c_text"]), "left_semi")
-    order = Window.partitionBy("k_id", "k_text").orderBy(F.xxhash64("row"))
-    return kept.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("row.*")
+    marked = mark_maybe(packed, key, maybe_among(open_, F.xxhash64(F.coalesce("o_id", F.lit(-1)), "o_text")), "maybe")
+    asked = marked.where("maybe").join(open_, F.col("k_id").eqNullSafe(F.col("o_id")) & (F.col("k_text") == F.col("o_text")), "left")
+    plain = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    repeat = F.row_number().over(Window.partitionBy("k_id", "k_text").orderBy(F.xxhash64(*plain)))
+    first = asked.where("stays").withColumn("nth", repeat).where("nth = 1").select("row")
+    # a row that is in no decision only looked like one in the bitmap
+    kept = marked.where(~F.col("maybe")).select("row").unionByName(asked.where("o_text is null").select("row")).unionByName(first)
+    return kept.select("row.*")
