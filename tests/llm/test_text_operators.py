@@ -11,7 +11,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from watchloom.llm import decontam, language, pii, secret_scan, toxicity
+from watchloom.llm import decontam, language, pii, queries, secret_scan, toxicity
 
 
 def joined(spans):
@@ -260,12 +260,28 @@ def tiles_reference(item, doc, tile):
 def test_tiling_matches_reference():
     rng = random.Random(4)
     for _ in range(300):
-        item = [rng.choice("abcd") for _ in range(rng.randint(3, 14))]
+        item = [rng.choice("abcd") for _ in range(rng.randint(1, 14))]
         doc = [rng.choice("abcd") for _ in range(rng.randint(0, 10))]
         cut = rng.randint(0, len(item))
         doc += item[cut:] + [rng.choice("abcd")] + item[:cut]
         got = decontam.Index.of([(7, item)], 3).hits(" ".join(doc))
-        assert sum(h[2] for h in got) == tiles_reference(item, doc, 3)
+        assert sum(h[2] for h in got) == tiles_reference(item, doc, min(3, len(item)))
+
+
+def test_query_matches_brute_force_over_a_table(spark):
+    folder = "/root/testdata/sf0.001"
+    items = [(r.item_id, decontam.words_of(r.text)) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    want = set()
+    for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        doc = decontam.words_of(r.text)
+        runs = {tuple(doc[i : i + 5]) for i in range(len(doc) - 4)}
+        for item, words in items:
+            if any(tuple(words[i : i + 5]) in runs for i in range(len(words) - 4)):
+                covered = tiles_reference(words, doc, 5)
+                if covered / len(words) >= 0.8:
+                    want.add((r.doc_id, item, len(words), covered))
+    got = queries.op10_benchmark_tiling(spark, folder).collect()
+    assert {(r.doc_id, r.item_id, r.item_words, r.covered) for r in got} == want and len(got) == len(want) >= 3
 
 
 def test_decontamination(spark, odd, empty, monkeypatch):
@@ -273,13 +289,14 @@ def test_decontamination(spark, odd, empty, monkeypatch):
     words = item.split()
     rows = [(1, "start " + item + " end"), (2, " ".join(words[10:] + ["and"] + words[:10])), (3, " ".join(words[:8])), (4, item.upper().replace(" ", ", ")), (5, None), (6, " ".join(words[::-1])), (7, "x " * 5000 + item)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([(9, item), (8, "too short"), (7, None), (None, "")], "item_id long, text string")
+    docs = docs.union(spark.createDataFrame([(8, "it was TOO, short"), (9, "short too")], docs.schema))
+    bench = spark.createDataFrame([(9, item, "x", 1, True), (8, "too short", "y", 2, False), (7, None, "z", 3, True), (None, "", "z", 3, True)], "item_id long, text string, doc_id string, row int, maybe boolean")
     for words_a_block in (500_000, 1):
         monkeypatch.setattr(decontam, "BLOCK_WORDS", words_a_block)
         got = decontam.overlaps(docs, bench).collect()
-        assert sorted((r.doc_id, r.item_id, r.covered) for r in got) == [(1, 9, 20), (2, 9, 20), (4, 9, 20), (7, 9, 20)]
+        assert sorted((r.doc_id, r.item_id, r.covered) for r in got) == [(1, 9, 20), (2, 9, 20), (4, 9, 20), (7, 9, 20), (8, 8, 2)]
         assert next(r.tiles for r in got if r.doc_id == 2) == 2
-        assert {r.doc_id for r in decontam.clean_documents(docs, bench).collect()} == {3, 5, 6}
+        assert {r.doc_id for r in decontam.clean_documents(docs, bench).collect()} == {3, 5, 6, 9}
     assert decontam.clean_documents(odd, bench).columns == odd.columns and decontam.clean_documents(odd, bench).count() == 12
     assert decontam.overlaps(empty, bench).count() == 0
-    assert decontam.overlaps(docs, bench.where("false")).count() == 0 and decontam.clean_documents(docs, bench.where("false")).count() == 7
+    assert decontam.overlaps(docs, bench.where("false")).count() == 0 and decontam.clean_documents(docs, bench.where("false")).count() == 9
