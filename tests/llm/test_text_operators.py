@@ -5,8 +5,9 @@ import math
 import random
 import re
 import statistics
+import string
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -63,14 +64,53 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[101].n_found == 0 and all(got[i].n_card == 1 for i in range(20))
 
 
-def test_markov_finds_random_tokens(spark):
-    words = "configuration_manager_instance connection_pool_timeout internationalization application_context_holder".split()
-    rng = random.Random(1)
-    rows = [(i, " ".join(rng.choice(words) + "_" + rng.choice(words) for _ in range(30))) for i in range(40)]
-    secret = "q9XvT2LwZ8rKp4NsB7yHd3GfM6cJ1aEu"
-    got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame([*rows, (99, f"use {secret} now")], "doc_id long, text string")).collect()}
-    assert got[99].spans == f"random:4:{4 + len(secret)}" and got[99].n_random == 1
-    assert all(got[i].n_random == 0 for i in range(40))
+def plain_transitions(tokens):
+    """P(b | a) over the alphabet and one more symbol, by dictionaries."""
+    code = lambda c: secret_scan.ALPHABET.find(c) if c in secret_scan.ALPHABET else len(secret_scan.ALPHABET)
+    n, head, tail = Counter(), Counter(), Counter()
+    for t in tokens:
+        for a, b in zip(map(code, t), map(code, t[1:]), strict=False):
+            n[a, b] += 1
+            head[a] += 1
+            tail[b] += 1
+    size, every = secret_scan.SYMBOLS, sum(tail.values())
+    share = lambda b: (tail[b] + 0.5) / (every + 0.5 * size)
+    return lambda a, b: (1 - secret_scan.BACKOFF) * n[a, b] / max(head[a], 1) + (secret_scan.BACKOFF if head[a] else 1.0) * share(b), code
+
+
+def test_markov_spans_match_brute_force(spark):
+    rng = random.Random(12)
+    hexes, mixed, low = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_lowercase
+    make = [lambda: "".join(rng.choice(hexes) for _ in range(rng.randint(8, 23))), lambda: "".join(rng.choice(mixed) for _ in range(rng.randint(8, 40))), lambda: "".join(rng.choice(low) for _ in range(rng.randint(12, 30))), lambda: "_".join(rng.choice(["quarterly", "balance", "migration", "thumbnail"]) for _ in range(3)), lambda: "token=" + "".join(rng.choice(mixed) for _ in range(10))]
+    texts = [" ".join(rng.choice(make)() for _ in range(6)) for _ in range(150)]
+    got = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    claimed = [t[a:b] for t in texts for a, _, b, k in secret_reference(t) if k != "assign"] + [m[2] for t in texts for m in re.finditer(secret_scan.ASSIGN.replace("(?i)", ""), t) if len(m[2]) >= 6]
+    ordinary, code = plain_transitions([r.token for r in secret_scan.ordinary_samples(spark).collect()])
+    random_, _ = plain_transitions([r.token for r in secret_scan.random_samples(spark).collect()] + claimed)
+    found = 0
+    for r in got:
+        text, base = texts[r.doc_id], secret_reference(texts[r.doc_id])
+        want = [(a, i, b, k) for a, i, b, k in base]
+        for m in re.finditer("[A-Za-z0-9+/_=-]{12,}", text):
+            pairs = [(code(a), code(b)) for a, b in zip(m[0], m[0][1:], strict=False)]
+            ratio = sum(math.log(random_(a, b) / ordinary(a, b)) for a, b in pairs)
+            if not any(a < m.end() and m.start() < b for a, _, b, _ in base) and ratio >= 8 and ratio >= 0.5 * len(pairs):
+                want.append((m.start(), 3, m.end(), "random"))
+                found += 1
+        assert r.spans == joined(want) or abs(ratio - 8) < 1e-6
+    assert found > 100
+
+
+def test_markov_recall_on_planted_strings(spark):
+    """Held-out strings and identifiers: no sample has them, and base patterns find none of them."""
+    rng = random.Random(13)
+    mixed, words = string.ascii_letters + string.digits, ["quarterly", "balance", "migration", "orchestrator", "availability", "thumbnail", "retention"]
+    secrets = ["".join(rng.choice(mixed) for _ in range(rng.randint(16, 40))) for _ in range(200)]
+    names = [f(rng.sample(words, 3)) for _ in range(70) for f in ("_".join, "".join, lambda w: "".join(x.title() for x in w))]
+    texts = [f"use {t} now" for t in secrets + names]
+    got = {r.doc_id: r.n_random for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[i] == 1 for i in range(200)) >= 195
+    assert sum(got[200 + i] for i in range(len(names))) <= 2
 
 
 @pytest.mark.parametrize("operator", [pii.find, secret_scan.scan])

@@ -16,16 +16,29 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SYMBOLS = len(ALPHABET) + 1
 TOKEN = "[A-Za-z0-9+/_=-]"
-#: Shortest token that is judged and shortest that trains the model of ordinary identifiers.
-JUDGED, TRAINED = 20, 12
-#: Tokens that mix lower case, upper case and digits are no labelled sample of ordinary identifiers.
-UNSURE = "^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])"
-#: Made-up random strings, the labelled samples that found secrets are added to.
+#: Shortest token that is judged: fewer characters hardly reach LEAST_TOTAL.
+JUDGED = 12
+#: Labelled samples of each class, made by rule: digests, and identifiers put together from WORDS.
 SAMPLES = 20_000
-#: Pseudo-counts with which a model backs off from a pair to its second character.
-BACKOFF = 8.0
+#: Words of identifiers and of plain text in several languages.
+WORDS = """account action address archive array backup batch buffer button cache channel client cluster code column
+config connection content context control counter customer data date default device document domain download driver
+element error event export factory field file filter folder format function graph group handler header height
+history identifier image import index input instance interface internal item key language length level library line
+list loader location manager measure member message method model module name network node notification number object
+option order output package page parameter parser password path pattern payment platform pointer policy position
+process product profile project property protocol provider query queue reader record reference region register
+release report request resource response result return route schedule schema script search section sender sequence
+server service session setting shipping source state status storage stream string summary support system table
+target template test thread timeout timer token total transaction transport type update upload user value variable
+vector version view widget window worker writer
+schlich keit heit ung ver einstellung verbindung benutzer geschwindigkeit nachricht zwischen entwicklung schreiben
+ment tion elle aux eau quement configuration utilisateur connaissance chercher fichier toujours enregistrement
+mente dad cion ando ella aquello usuario configurar respuesta archivo siempre trabajo desarrollo""".split()
+#: Share of a transition's probability that depends on its second character alone.
+BACKOFF = 0.1
 #: Log-likelihood ratio that a token needs in all and per character pair.
-LEAST_TOTAL, LEAST_MEAN = 12.0, 0.5
+LEAST_TOTAL, LEAST_MEAN = 8.0, 0.5
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -46,21 +59,40 @@ def pair_counts(tokens: DataFrame) -> DataFrame:
 
 
 def random_samples(spark) -> DataFrame:
-    """Labelled random strings: hexadecimal and base64 digests of the first SAMPLES numbers."""
+    """Samples labelled random: digests of the first SAMPLES numbers as hexadecimal digits, base 64 and
+    letters with digits, of several lengths."""
     number = F.col("id").cast("string").cast("binary")
-    both = F.array(F.sha2(number, 256), F.md5(number), F.regexp_replace(F.base64(F.unhex(F.sha2(number, 256))), "=", ""))
+    base64 = F.regexp_replace(F.base64(F.unhex(F.sha2(number, 256))), "=", "")
+    cut = lambda c: F.substring(c, 1, (F.pmod(F.xxhash64("id"), F.lit(33)) + 8).cast("int"))
+    plain = F.regexp_replace(base64, "[+/]", "")
+    both = F.array(cut(F.sha2(number, 256)), cut(base64), cut(plain), cut(F.lower(plain)), cut(F.upper(plain)))
     return spark.range(SAMPLES).select(F.explode(both).alias("token"), F.lit(1).alias("n"))
 
 
+def ordinary_samples(spark) -> DataFrame:
+    """Samples labelled ordinary: two to four of WORDS joined in the usual ways, some with a number,
+    and plain numbers and dates."""
+    draw = lambda i, n: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(n)).cast("int")
+    words = F.array(*map(F.lit, WORDS))
+    parts = F.slice(F.array(*[F.element_at(words, draw(i, len(WORDS)) + 1) for i in range(4)]), 1, draw(4, 3) + 2)
+    title = F.transform(parts, lambda w: F.initcap(w))
+    pascal = F.array_join(title, "")
+    names = [F.array_join(parts, "_"), F.array_join(parts, "-"), F.array_join(parts, ""), pascal, F.concat(F.lower(F.substring(pascal, 1, 1)), F.substring(pascal, 2, 99)), F.upper(F.array_join(parts, "_")), F.array_join(parts, "/")]
+    ended = [F.when(draw(5, 4) == 0, F.concat(n, F.lit("_"), draw(6, 1000).cast("string"))).when(draw(5, 4) == 1, F.concat(n, draw(6, 10).cast("string"))).otherwise(n) for n in names]
+    number = F.substring(F.translate(F.sha2(F.col("id").cast("string").cast("binary"), 256), "abcdef", "012345"), 1, draw(7, 13) + 4)
+    day = F.date_add(F.lit("1990-01-01").cast("date"), draw(8, 20_000)).cast("string")
+    return spark.range(SAMPLES).select(F.explode(F.array(*ended, number, day, F.concat_ws("-", F.substring(number, 1, 4), F.substring(number, 5, 4), F.substring(number, 9, 8)))).alias("token"), F.lit(1).alias("n"))
+
+
 def transitions(counts: DataFrame, name: str) -> DataFrame:
     """pair and the log probability (column ``name``) of its second character after its first: the
-    pair counts, with BACKOFF counts dealt by how often the second character occurs at all."""
+    pair counts, of whose share BACKOFF goes by how often the second character occurs at all."""
     grid = counts.sparkSession.range(SYMBOLS * SYMBOLS).select(F.col("id").cast("int").alias("pair"), F.floor(F.col("id") / SYMBOLS).alias("head"), (F.col("id") % SYMBOLS).alias("tail"))
     full = grid.join(counts, "pair", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     heads = full.groupBy("head").agg(F.sum("n").alias("of_head"))
     tails = full.groupBy("tail").agg(F.sum("n").alias("of_tail"))
     tails = tails.withColumn("share", (F.col("of_tail") + 0.5) / (F.sum("of_tail").over(Window.partitionBy()) + 0.5 * SYMBOLS))
-    p = (F.col("n") + BACKOFF * F.col("share")) / (F.col("of_head") + BACKOFF)
+    p = (1 - BACKOFF) * F.col("n") / F.greatest("of_head", F.lit(1)) + F.when(F.col("of_head") > 0, BACKOFF).otherwise(1.0) * F.col("share")
     return full.join(heads, "head").join(tails, "tail").select("pair", F.ln(p).alias(name))
 
 
@@ -72,25 +104,28 @@ def log_ratios(ordinary: DataFrame, random: DataFrame) -> DataFrame:
     return rows.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("ratios"))
 
 
+def models(claimed: DataFrame) -> DataFrame:
+    """``log_ratios`` of the labelled samples; ``claimed`` (token, n) adds to the random ones."""
+    spark = claimed.sparkSession
+    return log_ratios(pair_counts(ordinary_samples(spark)), pair_counts(claimed.unionByName(random_samples(spark))))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_random for every row of documents.
 
     Tokens of JUDGED characters or more that overlap no base span are of kind ``random`` if their
-    log-likelihood ratio reaches LEAST_TOTAL and LEAST_MEAN. The ordinary model counts every token
-    of TRAINED characters or more in all documents that is not UNSURE and that no base span claims;
-    the random model the base spans' values and random_samples. Null and empty texts have no spans; repeated
-    rows equal results; other columns are ignored; an empty table gives no rows.
+    log-likelihood ratio reaches LEAST_TOTAL and LEAST_MEAN (reaching them exactly counts). Both models
+    are trained from labelled samples: ordinary identifiers made by rule, and random strings made by
+    rule with the values of all base spans of all documents; no other text trains them. Texts are
+    read whole, once, however long. Spans that start together come in the order of KINDS. Null and
+    empty texts have no spans; repeated rows equal results; other columns are ignored; an empty table
+    gives no rows.
     """
     ws = Workspace(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = ws.store(rows.select("doc_id", spans.labelled(base_spans(F.col("text"))).alias("base"), spans.find(F.col("text"), TOKEN + "{%d,}" % JUDGED).alias("tokens")))
-    rest: Column = F.col("text")
-    for pattern in (ASSIGN, ACCESS, HEX):
-        rest = F.regexp_replace(rest, pattern, " ")
-    words = rows.select(F.explode(F.regexp_extract_all(rest, F.lit(TOKEN + "{%d,}" % TRAINED), F.lit(0))).alias("token")).where(~F.col("token").rlike(UNSURE)).groupBy("token").agg(F.count("*").alias("n"))
     claimed = found.select(F.explode("base").alias("s")).select(F.col("s.value").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    model = ws.store(log_ratios(pair_counts(words), pair_counts(claimed.unionByName(random_samples(docs.sparkSession)))))
-    found = found.withColumn("ratios", model.scalar())  # SYMBOLS ** 2 numbers
+    found = found.withColumn("ratios", ws.store(models(claimed)).scalar())  # SYMBOLS ** 2 numbers
 
     def total(token: Column) -> Column:
         return F.aggregate(pair_codes(token), F.lit(0.0), lambda acc, p: acc + F.get("ratios", p))
