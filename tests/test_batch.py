@@ -19,6 +19,10 @@ def test_chain(spark):
     got = batch.run({"auth": spark.createDataFrame(rows, schemas.RAW["auth"])}, load_rules(), alerts.Gates(min_severity=6))
     assert [(r.rule_id, r.status) for r in got.alerts.collect()] == [("ssh-brute-force", "emitted")]
     assert got.dead_letters["auth"].first().errors == ["outcome"]
+    n = got.stats()
+    assert (n["received"], n["dead_letters"], n["accepted"], n["processed"], n["deduped"]) == (8, 1, 7, 6, 1)
+    assert n["processed"] + n["deduped"] + n["dead_letters"] == n["received"] and n["evaluations"] == 6 * 17
+    assert n["fired"] == n["alerts_emitted"] + n["alerts_deduped"] + n["alerts_throttled"] + n["alerts_suppressed"] == 1
     assert got.events.count() == 6
     bad = got.events.withColumn("errors", schemas.event_errors()).where("size(errors) > 0")
     assert bad.count() == 0
@@ -32,3 +36,10 @@ def test_event_rules_and_tables(spark, tmp_path):
     assert spark.table("alerts").count() == 0
     spark.sql("DROP TABLE alerts")
     spark.sql("DROP TABLE events")
+
+
+def test_the_chain_reads_its_input_once(spark, tmp_path):
+    spark.createDataFrame([record(0, 0)], schemas.RAW["auth"]).write.parquet(str(tmp_path / "r"))
+    got = batch.run({"auth": spark.read.schema(schemas.RAW["auth"]).parquet(str(tmp_path / "r"))}, load_rules())
+    plan = got.alerts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("MapInArrow") == 4

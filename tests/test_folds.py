@@ -45,11 +45,22 @@ def test_folds_match_loops(spark, rows):
     df = frame(spark, rows)
     order = sorted(range(len(rows)), key=lambda i: (rows[i][1], i))
     steps = {"fired": lambda: folds.ThresholdStep(30, 3), "fresh": lambda: folds.DedupStep(30), "passed": lambda: folds.ThrottleStep(30, 2)}
-    frames = {"fired": folds.threshold(df, ["k"], "at", ["i"], 30, 3), "fresh": folds.dedup(df, ["k"], "at", ["i"], 30), "passed": folds.throttle(df, ["k"], "at", ["i"], 30, 2)}
-    for name, start in steps.items():
-        state = {}
-        want = {i for i in order if state.setdefault(rows[i][0], start())(rows[i][1])}
-        assert flags(frames[name], name) == want
+    for split in (False, True):
+        frames = {"fired": folds.threshold(df, ["k"], "at", ["i"], 30, 3, split_pauses=split), "fresh": folds.dedup(df, ["k"], "at", ["i"], 30, split_pauses=split), "passed": folds.throttle(df, ["k"], "at", ["i"], 30, 2, split_pauses=split)}
+        for name, start in steps.items():
+            state = {}
+            want = {i for i in order if state.setdefault(rows[i][0], start())(rows[i][1])}
+            assert flags(frames[name], name) == want
+
+
+def test_one_scan_and_one_exchange_a_fold(spark, tmp_path):
+    frame(spark, [("a", 1), ("b", 2)]).write.parquet(str(tmp_path / "t"))
+    made(spark, [("r", "a", 5, 0)]).write.parquet(str(tmp_path / "a"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    one = plan(folds.dedup(spark.read.parquet(str(tmp_path / "t")), ["k"], "at", ["i"], 10))
+    assert one.count("FileScan") == 1 and one.count("Exchange hashpartitioning") == 1 and "Join" not in one
+    two = plan(alerts.gate(spark.read.parquet(str(tmp_path / "a"))))
+    assert two.count("FileScan") == 1 and two.count("Exchange hashpartitioning") == 2 and "Union" not in two
 
 
 def test_api_rate_limit_rejects(spark, tmp_path):
@@ -89,8 +100,9 @@ def test_sinks(spark):
     mail = df.select(alerts.email("a@x", ["b@x", "c@x"]).alias("m")).first().m
     assert mail.subject == "[HIGH] r on h" and "Severity:  6 (HIGH)" in mail.body and mail.to == "b@x, c@x"
     body = df.select(alerts.webhook_body(["rule_id", "severity"]).alias("b"))
-    row = body.select("b", alerts.signature("k")(F.col("b")).alias("s")).first()
-    assert row.s == "sha256=" + hmac.new(b"k", row.b.encode(), hashlib.sha256).hexdigest()
+    for key in ("k", "long" * 40):
+        row = body.select("b", alerts.signature(key, F.col("b")).alias("s")).first()
+        assert row.s == "sha256=" + hmac.new(key.encode(), row.b.encode(), hashlib.sha256).hexdigest()
     wrote = []
     sinks = [alerts.Sink("bad", lambda d: 1 / 0), alerts.Sink("good", lambda d: wrote.append(d.count())), alerts.Sink("high", lambda d: wrote.append(d.count()), 7)]
     assert alerts.route(df, sinks) == {"bad": 1} and wrote == [1, 0]

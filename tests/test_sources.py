@@ -1,6 +1,9 @@
 """Parsers, normalised records and snapshot differences."""
 
+import ipaddress
 import json
+import random
+import socket
 from datetime import datetime
 
 import pytest
@@ -45,6 +48,66 @@ def test_sockets(spark):
     assert procfs.parse_net(spark.createDataFrame([(six,)], "value string"), "tcp6").first().local_ip == "::1"
 
 
+def test_ipv6_text(spark):
+    rng = random.Random(3)
+    cases = ["0" * 32, "0" * 24 + "01000000", "0" * 16 + "FFFF0000" + "0100000A", "B80D0120" + "0" * 8 + "00000100" + "01000000", "f" * 32, "0" * 31, "x" * 32, None]
+    cases += ["".join(rng.choice(["0000", "0000", "0100", "00ff", "abcd", "000A"]) for _ in range(8)) for _ in range(400)]
+
+    def plain(h):
+        if h is None or len(h) != 32 or set(h) - set("0123456789abcdefABCDEF"):
+            return None
+        words = [int.from_bytes(bytes.fromhex(h[i : i + 8]), "little") for i in range(0, 32, 8)]
+        return str(ipaddress.IPv6Address(sum(w << 96 - 32 * i for i, w in enumerate(words))))
+
+    got = spark.createDataFrame([(c,) for c in cases], "h string").select("h", procfs.ipv6(F.col("h")).alias("t")).collect()
+    assert [r.t for r in got] == [plain(c) for c in cases]
+
+
+def test_live_sockets(spark, tmp_path):
+    row = "{n}: {a} 00000000:0000 {s} 0:0 0:0 0 {u} 0 {i} 1".format
+    (tmp_path / "net").mkdir()
+    (tmp_path / "net" / "tcp").write_text("head\n" + "\n".join([row(n=0, a="0100007F:1F90", s="0A", u=1, i=7), row(n=1, a="0100007F:1F90", s="01", u=2, i=7), row(n=2, a="0100007F:0016", s="06", u=0, i=8), row(n=3, a="0100007F:0017", s="01", u=0, i=9)]) + "\n")
+    (tmp_path / "net" / "tcp6").write_text("head\n" + row(n=0, a="0" * 24 + "01000000:0050", s="0A", u=0, i=10).replace("00000000:0000", "0" * 32 + ":0000") + "\n")
+    got = sorted((r.inode, r.state, r.uid, r.local_ip) for r in live.scan_sockets(spark, str(tmp_path)).collect())
+    assert got == [(7, "ESTABLISHED", 2, "127.0.0.1"), (9, "ESTABLISHED", 0, "127.0.0.1"), (10, "LISTEN", 0, "::1")]  # of one key the last written stays
+    assert [r.inode for r in live.scan_sockets(spark, str(tmp_path), listen_only=True).orderBy("inode").collect()] == [7, 10]
+    assert live.scan_sockets(spark, str(tmp_path), most=1).count() == 1
+    assert live.scan_sockets(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_live_processes(spark, tmp_path):
+    for pid, comm in ((12, "a b"), (3, "init")):
+        (tmp_path / str(pid)).mkdir()
+        (tmp_path / str(pid) / "stat").write_text(f"{pid} ({comm}) S 1 " + "0 " * 17 + "99 0")
+        (tmp_path / str(pid) / "comm").write_text(comm + "\n")
+        (tmp_path / str(pid) / "cmdline").write_bytes(comm.encode() + b"\0-x\0")
+    (tmp_path / "7").mkdir()
+    (tmp_path / "self").mkdir()
+    live.register(spark)
+    got = spark.read.format("host_processes").option("root", str(tmp_path)).load().select("pid", "comm", procfs.parse_cmdline(F.col("cmdline")).alias("c"), procfs.parse_stat(F.col("stat"))["starttime"].alias("s"), "executable")
+    assert [tuple(r) for r in got.orderBy("pid").collect()] == [(3, "init", "init -x", 99, None), (12, "a b", "a b -x", 99, None)]
+
+
+def test_tail_is_bounded_and_catches_up(tmp_path):
+    path = tmp_path / "log"
+    lines = [f"line {i} " + "x" * (i * 37 % 300) for i in range(200)]
+    path.write_text("\n".join(lines) + "\nopen")
+    reader = live._TailReader({"path": str(path), "max_bytes": "1000"})
+    seen, at = [], reader.initialOffset()
+    while (end := reader.latestOffset())["to"] > at["to"]:
+        part = reader.partitions(at, end)
+        assert part[0].value[1] - part[0].value[0] <= 1000
+        seen += [r[0] for p in part for r in reader.read(p)]
+        at = end
+    assert seen == lines and reader.rest() == ["open"] and reader.rest() == []
+    path.write_text("y" * 5000 + "\nz\n")
+    long = live._TailReader({"path": str(path), "max_bytes": "1000"})
+    end = long.latestOffset()
+    assert [r[0] for r in long.read(long.partitions(long.initialOffset(), end)[0])] == ["y" * 5000]
+    assert live._TailReader({"path": str(tmp_path / "none")}).latestOffset() == {"from": 0, "to": 0}
+
+
+# Ids that must come out of these fields, which are hashed.
 GOLDEN = [
     ("auth", {"syslog_ts": "Jun 17 12:00:00", "pid": "2048", "action": "ssh_login_failed", "outcome": "failure", "severity": 5, "user": "root", "ip": "203.0.113.7", "port": 51234, "message": "Failed password for invalid user root from 203.0.113.7 port 51234 ssh2"}, "186e33648222119314e35e51904d7af89ed8d8c69d7183a9f489743944ca8d56", None),
     ("process", {"action": "process_started", "severity": 3, "pid": 4242, "ppid": 1, "starttime": 998877, "comm": "nc"}, "d94065931d697ba3c00d2748541bcec4915ef49554229106593fb7849025740d", "process_started: pid=4242 nc"),
@@ -124,4 +187,10 @@ def test_text_hygiene(spark):
     clean = df.select(core.strip_control(F.col("r"), df.schema["r"].dataType).alias("r")).first().r
     assert (clean.password_hint, clean.l) == ("a??\n\tb", ["?"])
     hidden = df.select(core.redact(F.col("r"), df.schema["r"].dataType).alias("r")).first().r
+    deep = spark.createDataFrame([({"secret_box": {"a": "1"}, "box": {"token": "2", "b": "3"}}, {"cookies": [("x", 1)], "ok": [("y", 2)]}, {"session": 5, "n": 6})], "m map<string,map<string,string>>, s map<string,array<struct<auth_header:string,n:int>>>, i map<string,int>")
+    got = deep.select(*[core.redact(F.col(c), deep.schema[c].dataType).alias(c) for c in deep.columns]).first()
+    assert got.m == {"secret_box": None, "box": {"token": core.REDACTED, "b": "3"}} and got.i == {"session": None, "n": 6}
+    assert got.s["cookies"] is None and got.s["ok"][0].auth_header == core.REDACTED and got.s["ok"][0].n == 2
+    hosts = spark.createDataFrame([("h",), ("",), (None,)], "h string").select(core.resolve_host(F.col("h")).alias("h")).collect()
+    assert [r.h for r in hosts] == ["h", socket.gethostname(), socket.gethostname()]
     assert hidden.password_hint == core.REDACTED and hidden.m == {"Api-Token": core.REDACTED, "my_token": core.REDACTED, "n": "y"}

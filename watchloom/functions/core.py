@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import socket
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +28,9 @@ def severity_label(severity: Column) -> Column:
     return F.when(severity.between(2, 3), "LOW").when(severity.between(4, 5), "MEDIUM").when(severity == 6, "HIGH").when(severity == 7, "CRITICAL").otherwise("INFO")
 
 
-def resolve_host(host: Column, local: str = "localhost") -> Column:
-    return F.coalesce(F.nullif(host, F.lit("")), F.lit(local))
+def resolve_host(host: Column, local: str | None = None) -> Column:
+    """``host``, or the name of the machine that plans the query where it is null or empty."""
+    return F.coalesce(F.nullif(host, F.lit("")), F.lit(local or socket.gethostname() or "localhost"))
 
 
 def strip_control(c: Column, dtype: T.DataType) -> Column:
@@ -48,18 +51,31 @@ def sensitive(key: Column) -> Column:
 
 
 def redact(c: Column, dtype: T.DataType, key: str = "") -> Column:
-    """Values under sensitive keys are hidden: struct fields by the schema, map entries by row."""
+    """Values under sensitive keys are hidden at any depth: struct fields by the schema, map entries by
+    row. A struct field becomes text; see ``hidden`` for maps."""
     if any(s in key.lower() for s in SENSITIVE):
         return F.lit(REDACTED)
     if isinstance(dtype, T.StructType):
         return F.when(c.isNotNull(), F.struct(*[redact(c[f.name], f.dataType, f.name).alias(f.name) for f in dtype.fields]))
-    if isinstance(dtype, T.MapType) and isinstance(dtype.valueType, T.StringType):
-        return F.transform_values(c, lambda k, v: F.when(sensitive(k), F.lit(REDACTED)).otherwise(v))
+    if isinstance(dtype, T.MapType):
+        return F.transform_values(c, lambda k, v: F.when(sensitive(k), hidden(v, dtype.valueType)).otherwise(redact(v, dtype.valueType)))
     if isinstance(dtype, T.ArrayType):
         return F.transform(c, lambda x: redact(x, dtype.elementType))
     return c
 
 
+def hidden(c: Column, dtype: T.DataType) -> Column:
+    """A value under a sensitive key of a map. All values of a map have one type, so text in it is
+    replaced and everything else becomes null."""
+    if isinstance(dtype, T.StringType):
+        return F.lit(REDACTED)
+    if isinstance(dtype, T.StructType):
+        return F.struct(*[hidden(c[f.name], f.dataType).alias(f.name) for f in dtype.fields])
+    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StringType):
+        return F.array(F.lit(REDACTED))
+    return F.lit(None).cast(dtype)
+
+
 def iso_utc(ts: Column) -> Column:
     """A timestamp as JSON text: seconds, microseconds only where there are some, and Z."""
     micros = F.date_format(ts, "SSSSSS")

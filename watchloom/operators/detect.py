@@ -1,4 +1,4 @@
-"""Rules applied to events: one scan for all stateless rules, a fold for each threshold rule."""
+"""Rules applied to events: one scan for all rules, one fold for all thresholds."""
 
 from __future__ import annotations
 
@@ -60,24 +60,46 @@ def stateless(events: DataFrame, rules: list[Rule]) -> DataFrame:
     return found.select("*", F.explode("fired").alias("rule")).select(*detection(F.col("rule")))
 
 
-def windowed(events: DataFrame, rule: Rule, order: list[Column] | None = None) -> DataFrame:
-    """Detections of a threshold rule; events without the group's value are skipped."""
-    t = rule.condition
-    if field_type(events.schema, t.group_by) is None:
-        return events.sparkSession.createDataFrame([], schemas.DETECTION)
-    matched = events.where(Compiler(events.schema, events.sparkSession)(t.match))
-    seq = F.struct(*(order or [F.col("event.id")]))
-    slim = matched.select(F.col(t.group_by).cast("string").alias("group"), "timestamp", seq.alias("seq"), "event", "host")
-    fired = folds.threshold(slim, ["group"], "timestamp", ["seq"], t.window_seconds, t.count).where("fired")
-    return fired.withColumn("rule", meta(rule)).select(*detection(F.col("rule")))
+class _Gate:
+    """A threshold's step, or one that lets every row through where the rule has no window."""
+
+    def __init__(self, window: int | None, count: int | None):
+        self.step = None if window is None else folds.ThresholdStep(window, count)
+
+    def __call__(self, t: int) -> bool:
+        return self.step is None or self.step(t)
 
 
 def evaluate(events: DataFrame, rules: list[Rule], order: list[Column] | None = None) -> DataFrame:
-    """All detections of the enabled rules over a batch of events."""
+    """All detections of the enabled rules over a batch of events, in one scan.
+
+    Without threshold rules no row moves. With some, the rows that match any rule are folded together,
+    keyed by rule and group; events without the group's value are skipped.
+    """
     rules = [r for r in rules if r.enabled]
     plain = [r for r in rules if not isinstance(r.condition, Threshold)]
-    parts = ([stateless(events, plain)] if plain else []) + [windowed(events, r, order) for r in rules if isinstance(r.condition, Threshold)]
-    return reduce(DataFrame.unionByName, parts) if parts else events.sparkSession.createDataFrame([], schemas.DETECTION)
+    timed = [r for r in rules if isinstance(r.condition, Threshold) and field_type(events.schema, r.condition.group_by) is not None]
+    if not plain and not timed:
+        return events.sparkSession.createDataFrame([], schemas.DETECTION)
+    if not timed:
+        return stateless(events, plain)
+    compiler = Compiler(events.schema, events.sparkSession)
+    none = F.lit(None)
+    hits = [F.when(compiler(r.condition), F.struct(meta(r).alias("rule"), none.cast("string").alias("group"), none.cast("long").alias("window"), none.cast("long").alias("count"))) for r in plain]
+    for r in timed:
+        t = r.condition
+        group = F.col(t.group_by).cast("string")
+        hits.append(F.when(compiler(t.match) & group.isNotNull(), F.struct(meta(r).alias("rule"), group.alias("group"), F.lit(round(t.window_seconds * 1e6)).cast("long").alias("window"), F.lit(t.count).cast("long").alias("count"))))
+    if (keep := needed([*plain, *timed])) is not None:
+        events = events.where(keep)
+    seq = F.struct(*(order or [F.col("event.id")]))
+    found = events.select("timestamp", "event", "host", seq.alias("seq"), F.array_compact(F.array(*hits)).alias("hits")).where(F.size("hits") > 0)
+    found = found.select("*", F.explode("hits").alias("hit")).select(*detection(F.col("hit.rule")), "seq", "hit.group", "hit.window", "hit.count", F.col("timestamp").alias("at"))
+    # a stateless hit is alone under its key, so it moves to any task
+    key = F.concat_ws("|", "rule_id", F.coalesce(F.concat(F.lit("g:"), "group"), F.concat(F.lit("e:"), "event_id")))
+    longest = max(round(r.condition.window_seconds * 1e6) for r in timed)
+    fired = folds.ordered_fold(found.withColumn("key", key), ["key"], "at", ["seq"], _Gate, longest, "fired", (F.col("window"), F.col("count")))
+    return fired.where("fired").select(*schemas.DETECTION.names)
 
 
 def fields_used(rules: list[Rule]) -> list[str]:

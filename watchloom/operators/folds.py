@@ -1,9 +1,10 @@
 """Order-dependent folds: clear-on-fire thresholds, fixed-expiry dedup and throttling.
 
-Rows of a key are sorted by Spark and pass through a task as a stream of Arrow batches; what is held
-is one key's window, never its rows. A key's history is first cut where it must have been forgotten:
-the state spans less than a window, so whole empty windows between events make the stretches before
-and after independent, and a busy key that has pauses is folded by many tasks.
+One scan and one shuffle: rows go to their key's task, are sorted there by Spark (spilling) and pass
+as a stream of Arrow batches, so what is held is one key's window, never its rows. A busy key is one
+task's work, in bounded memory. ``split_pauses`` divides it: a key's history is first cut where its
+state must have been forgotten (whole empty windows between events make the stretches before and
+after independent), at the price of a second, narrow scan and of a second shuffle.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,49 +66,55 @@ class ThrottleStep:
         return True
 
 
-def _run(start: Callable[[], Step], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _run(start: Callable[..., Step], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, step = None, None
     for batch in batches:
         flags = []
-        for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        params = [c.to_pylist() for c in batch.columns[3:]]
+        for i, (k, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             if step is None or k != key:
-                key, step = k, start()
+                key, step = k, start(*(p[i] for p in params))
             flags.append(step(t))
         yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(flags, pa.bool_())], ["row", "flag"])
 
 
-def ordered_fold(df: DataFrame, keys: list[str], time: str, order: list[str], start: Callable[[], Step], window: int, flag: str) -> DataFrame:
+def ordered_fold(df: DataFrame, keys: list[str], time: str, order: list[str], start: Callable[..., Step], window: int, flag: str, params: tuple[Column, ...] = (), split_pauses: bool = False) -> DataFrame:
     """``df`` with the boolean column ``flag``: each row's result of the key's step in (time, order).
 
     ``time`` is a timestamp column and ``window`` the microseconds a state can last. Equal times are
-    taken in ``order``. Rows travel whole, so no join follows.
+    taken in ``order``. ``start`` makes a key's step, from the values of ``params`` in its first row.
+    Rows travel whole, so no join follows.
     """
     micros = F.unix_micros(F.col(time).cast("timestamp"))
-    row = df.select(F.struct("*").alias("row"), F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("k"), micros.alias("t"), F.floor(micros / max(window, 1)).cast("long").alias("slot"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    slots = row.select("k", "slot").distinct()
-    by_slot = Window.partitionBy("k").orderBy("slot")
-    fresh = (F.col("slot") - F.coalesce(F.lag("slot").over(by_slot), F.col("slot") - 9) > 1).cast("int")
-    islands = slots.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(by_slot)).select("k", "slot", "island")
-    placed = row.join(islands, ["k", "slot"]).withColumn("g", F.concat_ws("#", "k", F.col("island").cast("string")))
-    ordered = placed.repartition("g").sortWithinPartitions("g", "t", *[f"o{i}" for i in range(len(order))]).select("g", "t", "row")
+    key = F.col(keys[0]).cast("string") if len(keys) == 1 else F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    extra = [f"p{i}" for i in range(len(params))]
+    seq = [f"o{i}" for i in range(len(order))]
+    row = df.select(F.struct("*").alias("row"), key.alias("k"), micros.alias("t"), *[F.col(c).alias(o) for c, o in zip(order, seq, strict=True)], *[p.alias(n) for p, n in zip(params, extra, strict=True)])
+    group = "k"
+    if split_pauses:
+        row = row.withColumn("slot", F.floor(F.col("t") / max(window, 1)).cast("long"))
+        by_slot = Window.partitionBy("k").orderBy("slot")
+        fresh = (F.col("slot") - F.coalesce(F.lag("slot").over(by_slot), F.col("slot") - 9) > 1).cast("int")
+        islands = row.select("k", "slot").distinct().withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(by_slot)).select(F.col("k").alias("i_k"), F.col("slot").alias("i_slot"), "island")
+        row = row.join(islands, F.col("k").eqNullSafe(F.col("i_k")) & (F.col("slot") == F.col("i_slot"))).withColumn("g", F.concat_ws("#", F.coalesce(F.concat(F.lit("="), "k"), F.lit("")), F.col("island").cast("string")))
+        group = "g"
+    ordered = row.repartition(group).sortWithinPartitions(group, "t", *seq).select(group, "t", "row", *extra)
     schema = T.StructType([T.StructField("row", df.schema), T.StructField("flag", T.BooleanType())])
     return ordered.mapInArrow(partial(_run, start), schema).select("row.*", F.col("flag").alias(flag))
 
 
-def threshold(df: DataFrame, keys: list[str], time: str, order: list[str], window_seconds: float, count: int, flag: str = "fired") -> DataFrame:
+def threshold(df: DataFrame, keys: list[str], time: str, order: list[str], window_seconds: float, count: int, flag: str = "fired", split_pauses: bool = False) -> DataFrame:
     """Flags the rows at which a threshold fires; rows with a null key are dropped."""
     window = round(window_seconds * 1e6)
     df = df.dropna(subset=keys)
-    return ordered_fold(df, keys, time, order, partial(ThresholdStep, window, count), window, flag)
+    return ordered_fold(df, keys, time, order, partial(ThresholdStep, window, count), window, flag, split_pauses=split_pauses)
 
 
-def dedup(df: DataFrame, keys: list[str], time: str, order: list[str], ttl_seconds: float, flag: str = "fresh") -> DataFrame:
+def dedup(df: DataFrame, keys: list[str], time: str, order: list[str], ttl_seconds: float, flag: str = "fresh", split_pauses: bool = False) -> DataFrame:
     ttl = round(ttl_seconds * 1e6)
-    return ordered_fold(df, keys, time, order, partial(DedupStep, ttl), ttl, flag)
+    return ordered_fold(df, keys, time, order, partial(DedupStep, ttl), ttl, flag, split_pauses=split_pauses)
 
 
-def throttle(df: DataFrame, keys: list[str], time: str, order: list[str], window_seconds: float, most: int, flag: str = "passed") -> DataFrame:
+def throttle(df: DataFrame, keys: list[str], time: str, order: list[str], window_seconds: float, most: int, flag: str = "passed", split_pauses: bool = False) -> DataFrame:
     window = round(window_seconds * 1e6)
-    return ordered_fold(df, keys, time, order, partial(ThrottleStep, window, most), window, flag)
-
-
+    return ordered_fold(df, keys, time, order, partial(ThrottleStep, window, most), window, flag, split_pauses=split_pauses)

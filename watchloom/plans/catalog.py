@@ -180,9 +180,10 @@ def netparse_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "proto", "local_ip", "local_port", "remote_port", "state", "uid", "inode")
 
 
-@query("SELECT event_id, 'tcp6' AS proto, '::1' AS local_ip, CASE WHEN event_type = 'error' THEN 'LISTEN' ELSE 'ESTABLISHED' END AS state FROM events WHERE event_type <> 'click'")
+@query("SELECT event_id, 'tcp6' AS proto, CASE user_id % 4 WHEN 0 THEN '::1' WHEN 1 THEN '2001:db8::1:0:0:1' WHEN 2 THEN '::ffff:10.0.0.1' ELSE '::' END AS local_ip, CASE WHEN event_type = 'error' THEN 'LISTEN' ELSE 'ESTABLISHED' END AS state FROM events WHERE event_type <> 'click'")
 def netparse_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _net_lines(spark, sf_dir, F.lit("0" * 24 + "01000000"))
+    shapes = ["0" * 24 + "01000000", "B80D0120" + "0" * 8 + "00000100" + "01000000", "0" * 16 + "FFFF0000" + "0100000A", "0" * 32]
+    lines = _net_lines(spark, sf_dir, F.element_at(F.array(*map(F.lit, shapes)), (F.col("user_id") % 4 + 1).cast("int")))
     return procfs.parse_net(lines, "tcp6").select("event_id", "proto", "local_ip", "state")
 
 
@@ -290,6 +291,51 @@ def snapshot_diff_socket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.diff_sockets(_sockets(spark, sf_dir, False), _sockets(spark, sf_dir, True)).select("inode", "action", "severity")
 
 
+@query(
+    """WITH o AS (SELECT * FROM part WHERE p_partkey % 11 <> 2), n AS (SELECT * FROM part WHERE p_partkey % 11 <> 1)
+SELECT '/f/' || p_partkey::VARCHAR AS path, p_size::VARCHAR || ':' || (p_partkey * 10)::VARCHAR AS id_seed FROM o WHERE p_partkey % 11 = 1 AND p_partkey % 3 = 0"""
+)
+def snapshot_id_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds of deleted files without a digest: size and time of the state that went."""
+    diff = snapshot.diff_files(_files(spark, sf_dir, False), _files(spark, sf_dir, True))
+    return diff.where("action = 'file_deleted' and sha256 is null").select("path", "id_seed")
+
+
+@query(
+    """WITH t AS (SELECT DISTINCT event_type AS host, date_trunc('day', ts) AS seen FROM events)
+SELECT host, strftime(seen, '%Y-%m-%d') AS seen, strftime(previous, '%Y-%m-%d') AS previous FROM (SELECT host, seen, lag(seen) OVER (PARTITION BY host ORDER BY seen) AS previous FROM t) WHERE previous IS NOT NULL"""
+)
+def snapshot_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots with the one before; the first of a host is silent."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("host"), F.date_trunc("day", "ts").alias("seen"))
+    pairs = snapshot.with_previous(e, "seen", ("host",))
+    return pairs.select("host", *(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("seen", "previous")))
+
+
+@query("SELECT doc_id, nullif(trim(translate(lang || ' -x ' || source || ' ', chr(9), ' '), ' '), '') AS cmdline FROM documents")
+def cmdline_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    raw = F.concat("lang", F.lit("\0-x\0"), "source", F.lit("\0")).cast("binary")
+    return d.select("doc_id", procfs.parse_cmdline(raw).alias("cmdline"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 'port' WHEN p_size > 30 THEN 'extra:note' WHEN p_size > 25 THEN 'occurred_at_zone' ELSE '' END AS errors FROM part")
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw log records from JSON text, with what is wrong with each."""
+    p = table(spark, sf_dir, "part")
+    size = F.col("p_size")
+    text = F.format_string('{"source":"auth","occurred_at":"2024-01-01T00:00:00%s","host":"h","syslog_ts":"%s","pid":"1","action":"ssh_login_failed","outcome":"failure","severity":4,"user":"u","ip":"10.0.0.1","port":%d,"message":"m"%s}', F.when(size.between(26, 30), "").otherwise("Z"), F.col("p_partkey").cast("string"), F.when(size > 40, 70_000).otherwise(22), F.when(size.between(31, 40), ',"note":1').otherwise(""))
+    parsed = normalize.parse_json(p.select(text.alias("value")), "auth")
+    return parsed.select(F.col("syslog_ts").cast("long").alias("p_partkey"), F.array_join("errors", ",").alias("errors"))
+
+
+@query(EVENTS + "SELECT event_id, CASE WHEN severity < 3 THEN 'event.kind' ELSE '' END AS errors FROM e")
+def event_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    e = e.withColumn("event", F.col("event").withField("kind", F.when(F.col("event.severity") < 3, "odd").otherwise("event")))
+    return e.select("event_id", F.array_join(schemas.event_errors(), ",").alias("errors"))
+
+
 # Detection and folds.
 
 
@@ -344,12 +390,12 @@ def ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _fold_sql(
-        f"SELECT event_id, {_US} AS t, event_type AS k FROM events WHERE value > 20", "k AS event_type", "[t] AS w, true AS passed",
+        f"SELECT event_id, {_US} AS t, event_type AS k FROM events", "k AS event_type", "[t] AS w, true AS passed",
         "CASE WHEN len(list_filter(f.w, lambda m: m >= r.t - 86400::BIGINT * 1000000)) >= 10 THEN list_filter(f.w, lambda m: m >= r.t - 86400::BIGINT * 1000000) ELSE list_append(list_filter(f.w, lambda m: m >= r.t - 86400::BIGINT * 1000000), r.t) END, len(list_filter(f.w, lambda m: m >= r.t - 86400::BIGINT * 1000000)) < 10", "passed",
     )
 )
 def alert_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("value > 20")
+    e = table(spark, sf_dir, "events")
     return folds.throttle(e, ["event_type"], "ts", ["event_id"], 86_400, 10).where("passed").select("event_id", "event_type")
 
 
@@ -372,6 +418,12 @@ def alert_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.gate(_gate_alerts(spark, sf_dir), gates).select("event_id", "status")
 
 
+@query("SELECT status, CAST(count(*) AS BIGINT) AS n FROM (" + ORACLE["alert_gates"] + ") GROUP BY status")
+def gate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gates = alerts.Gates(min_severity=2, dedup_seconds=86_400, throttle_max=10, throttle_seconds=86_400)
+    return alerts.stats(alerts.gate(_gate_alerts(spark, sf_dir), gates))
+
+
 @query("SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id HAVING count(*) > 0")
 def api_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests by client that pass 100 in 60 s. (The SQL counts all: no client of the given tables
@@ -391,11 +443,17 @@ def alert_render_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.select("dedup_key", alerts.email("a@b.example", ["c@d.example"])["subject"].alias("subject"))
 
 
-@query()
+_BODY = """'{"dedup_key":"' || rule_id || '|' || id || '","rule_id":"' || rule_id || '","title":"' || replace(rule_id, '-', ' ') || '","severity":' || severity::VARCHAR || ',"attack":["T1110"],"nist_csf":["DE.CM"],"event_id":"' || id || '","host":"' || host || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z","summary":"' || replace(rule_id, '-', ' ') || ' [T1110] — ' || action || ' on ' || host || '"}'"""
+
+
+@query(
+    EVENTS + "," + _DETECTIONS + f"""SELECT dedup_key, body, 'sha256=' || sha256(unhex('{"5c" * 64}'::VARCHAR)::BLOB || unhex(sha256(unhex('{"36" * 64}')::BLOB || encode(body)))) AS signature
+FROM (SELECT rule_id || '|' || id AS dedup_key, {_BODY} AS body FROM d)""".replace("5c" * 64, bytes(b ^ 0x5C for b in b"key".ljust(64, b"\0")).hex()).replace("36" * 64, bytes(b ^ 0x36 for b in b"key".ljust(64, b"\0")).hex())
+)
 def webhook_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = alerts.build(detect.evaluate(events(spark, sf_dir), bench_rules()))
     body = built.select("dedup_key", alerts.webhook_body(schemas.ALERT.names).alias("body"))
-    return body.select("dedup_key", "body", alerts.signature("key")(F.col("body")).alias("signature"))
+    return body.select("dedup_key", "body", alerts.signature("key", F.col("body")).alias("signature"))
 
 
 @query()
@@ -414,14 +472,31 @@ def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.coverage(spark, bench_rules())
 
 
-@query()
+_LISTED = """account-creation|5|T1136.001 base64-execution|5|T1027 c2-beacon-port|6|T1571 cron-persistence|5|T1053.003 interactive-shell-spawn|5|T1059.004 kernel-module-load|5|T1547.006
+log-tampering|6|T1070.002 new-listening-service|4|T1571 new-suid-binary|6|T1548.001 passwd-file-modified|6|T1098 reverse-shell-process|7|T1059.004 shadow-file-modified|7|T1003.008
+ssh-brute-force|6|T1110 ssh-root-login|5|T1078.003 sudoers-modified|6|T1548.003 suspicious-tmp-exec|6|T1059 world-writable-sensitive|5|T1222.002""".split()
+
+
+@query("SELECT id, CAST(severity AS INTEGER) AS severity, attack FROM (VALUES " + ", ".join("('{}', {}, '{}')".format(*x.split("|")) for x in _LISTED) + ") t(id, severity, attack)")
 def rules_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.listing(spark, load_rules())
+    return detect.listing(spark, load_rules()).select("id", "severity", F.array_join("attack", ",").alias("attack"))
 
 
 # Storage, pages and metrics.
 
 
+@query(EVENTS + "," + _DETECTIONS + "SELECT rule_id || '|' || id AS dedup_key, rule_id, severity FROM d WHERE rule_id || '|' || id < 'error' ORDER BY dedup_key DESC LIMIT 20")
+def keyset_page_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store.alert_rows(alerts.build(detect.evaluate(events(spark, sf_dir), bench_rules())))
+    return store.page(rows, 20, "error", "dedup_key").select("dedup_key", "rule_id", "severity")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS items, CAST(min(event_id) AS BIGINT) AS next_cursor, true AS has_more, (SELECT CAST(count(*) AS BIGINT) FROM events) AS total FROM (SELECT event_id FROM events ORDER BY event_id DESC LIMIT 50)")
+def keyset_page_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = store.read_page(table(spark, sf_dir, "events").select("event_id"), 50, None, "event_id")
+    return spark.createDataFrame([(len(got["items"]), got["next_cursor"], got["has_more"], got["total"])], "items long, next_cursor long, has_more boolean, total long")
+
+
 @query(EVENTS + "SELECT id AS event_id, CAST(epoch_us(ts) AS BIGINT) AS occurred_us, action, severity, host, ip AS source_ip, action || ' by u' || user_id::VARCHAR AS message FROM e")
 def store_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = store.event_rows(events(spark, sf_dir))

@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 import os
 import stat
 from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-MAX_FILES, MAX_HASHED, CHUNK, MAX_PROCS = 50_000, 50 << 20, 1 << 16, 100_000
+from watchloom.operators import snapshot
+from watchloom.sources import procfs
+
+MAX_FILES, MAX_HASHED, CHUNK, MAX_PROCS, MAX_SOCKETS = 50_000, 50 << 20, 1 << 16, 100_000, 100_000
+#: Bytes of a log that one micro-batch takes at most, unless a single line is longer.
+TAIL_BYTES = 64 << 20
+log = logging.getLogger(__name__)
 
 
 class Registry:
@@ -134,9 +142,36 @@ def _read(path: Path) -> bytes:
         return b""
 
 
+class SocketScan(DataSource):
+    """proto, line, value of the rows of ``root``/net/tcp and tcp6, in that order (line numbers both);
+    a table that cannot be read has no rows."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "host_sockets"
+
+    def schema(self) -> str:
+        return "proto string, line long, value string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _SocketReader(self.options)
+
+
+class _SocketReader(DataSourceReader):
+    def __init__(self, options):
+        self.root = Path(options.get("root", "/proc"))
+
+    def read(self, partition):
+        for i, proto in enumerate(("tcp", "tcp6")):
+            for n, line in enumerate(_read(self.root / "net" / proto).decode("ascii", "replace").splitlines()[1:]):
+                yield proto, i << 40 | n, line
+
+
 class LogTail(DataSource):
     """Lines added to the file ``path`` as a stream; offsets are byte positions. A file that shrank
-    was rotated and is read from its start; a line is held until its newline is there."""
+    was rotated and is read from its start; a line is held until its newline is there. A batch takes
+    ``max_bytes`` of the file, to the end of a line; a file that is missing or unreadable has no
+    lines until it can be read."""
 
     @classmethod
     def name(cls) -> str:
@@ -152,19 +187,39 @@ class LogTail(DataSource):
 class _TailReader(DataSourceStreamReader):
     def __init__(self, options):
         self.path, self.last = options["path"], 0
+        self.most = int(options.get("max_bytes", TAIL_BYTES))
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"from": 0, "to": 0}
 
+    def _whole(self, begin: int, size: int) -> int:
+        """Bytes of whole lines from ``begin``: the last newline within ``most`` bytes is looked for
+        from their end, and if one line is longer, the first after them."""
+        with open(self.path, "rb") as f:
+            end = min(size, begin + self.most)
+            at = end
+            while at > begin:
+                start = max(begin, at - CHUNK)
+                f.seek(start)
+                if (found := f.read(at - start).rfind(b"\n")) >= 0:
+                    return start + found + 1 - begin
+                at = start
+            f.seek(end)
+            while end < size and (part := f.read(CHUNK)):
+                if (found := part.find(b"\n")) >= 0:
+                    return end + found + 1 - begin
+                end += len(part)
+        return 0
+
     def latestOffset(self) -> dict:  # noqa: N802
         try:
             size = os.path.getsize(self.path)
-        except OSError:
+            begin = 0 if size < self.last else self.last
+            whole = self._whole(begin, size)
+        except OSError as err:
+            if not isinstance(err, FileNotFoundError):
+                log.warning("cannot read %s: %s", self.path, type(err).__name__)
             return {"from": self.last, "to": self.last}
-        begin = 0 if size < self.last else self.last
-        with open(self.path, "rb") as f:
-            f.seek(begin)
-            whole = f.read(size - begin).rfind(b"\n") + 1
         self.last = begin + whole
         return {"from": begin, "to": self.last}
 
@@ -174,6 +229,7 @@ class _TailReader(DataSourceStreamReader):
         return [InputPartition((begin, end["to"]))]
 
     def read(self, partition):
+        """The lines of a range; a line may end in \\n, \\r\\n or \\r, as text files are read."""
         begin, end = partition.value
         if end <= begin:
             return
@@ -182,12 +238,31 @@ class _TailReader(DataSourceStreamReader):
             for line in f.read(end - begin).splitlines():
                 yield (line.decode("utf-8", "replace"),)
 
+    def rest(self) -> list[str]:
+        """The last catch-up of a tail that stops: what is there after the last batch, with a line
+        that has no newline yet."""
+        try:
+            size = os.path.getsize(self.path)
+        except OSError:
+            return []
+        begin = 0 if size < self.last else self.last
+        self.last = size
+        return [r[0] for r in self.read(InputPartition((begin, size)))]
+
 
 def register(spark: SparkSession) -> None:
-    for source in (FileScan, ProcScan, LogTail):
+    for source in (FileScan, ProcScan, SocketScan, LogTail):
         spark.dataSource.register(source)
 
 
 def scan_files(spark: SparkSession, roots: list[str], recursive: bool = True) -> DataFrame:
     register(spark)
     return spark.read.format("host_files").options(roots=",".join(roots), recursive=str(recursive)).load()
+
+
+def scan_sockets(spark: SparkSession, root: str = "/proc", listen_only: bool = False, most: int = MAX_SOCKETS) -> DataFrame:
+    """The tracked sockets of the host; of rows with one key the last one listed stays."""
+    register(spark)
+    lines = spark.read.format("host_sockets").option("root", root).load()
+    rows = [procfs.parse_net(lines.where(F.col("proto") == p).select("line", "value"), p) for p in ("tcp", "tcp6")]
+    return procfs.last_written(procfs.tracked(rows[0].unionByName(rows[1]), listen_only), snapshot.SOCKET_KEY, "line").orderBy("line").limit(most).drop("line")

@@ -156,13 +156,28 @@ class Pipeline:
         gated = gate_stream(self._read("gold", schemas.DETECTION), self.gates, self.lateness)
 
         def batch(df: DataFrame, epoch: int) -> None:
+            if self._marked(epoch):  # an epoch that is repeated after its alerts went out
+                return
             df.write.mode("overwrite").parquet(f"{self.folder}/alerts/epoch={epoch}")  # a repeated epoch replaces itself
             stored = self.spark.read.parquet(f"{self.folder}/alerts/epoch={epoch}")
             for name, n in alerts.route(stored.where("status = 'emitted'"), self.sinks).items():
                 self.failures[name] = self.failures.get(name, 0) + n
+            self._mark(epoch)
 
         return gated.writeStream.foreachBatch(batch).option("checkpointLocation", f"{self.folder}/checkpoints/alerts").queryName("alerts").trigger(**trigger).start()
 
+    def _marker(self, epoch: int):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/checkpoints/sent/{epoch}")
+        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _marked(self, epoch: int) -> bool:
+        path, fs = self._marker(epoch)
+        return fs.exists(path)
+
+    def _mark(self, epoch: int) -> None:
+        path, fs = self._marker(epoch)
+        fs.create(path, True).close()
+
     def run_available(self, events: DataFrame) -> None:
         """Takes all that is there through every stage, then stops."""
         for start in (lambda t: self.dedup(events, t), self.detect, self.alert):
