@@ -21,8 +21,9 @@ IP_PARTS = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 #: Loose shapes of identifiers: what contexts may discover. Runs of digits and their separators, and
 #: addresses whose at sign or dots are spelled out or unusual.
 LOOSE = r"(?<![0-9().+-])[+(]?[0-9][0-9\x20().+/-]{5,}[0-9]|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9.-]+"
-#: Code points of context on either side of an instance.
-REACH = 24
+#: Code points of context on either side of an instance. A word that goes on beyond them is LONG,
+#: whatever it is, so a pattern never depends on where a word was cut.
+REACH, LONG = 24, "~"
 #: Rounds of scoring; support and confidence that a pattern needs; support of patterns and
 #: confidence that an instance needs to be taken.
 ROUNDS, LEAST_SEEDS, LEAST_PATTERN, LEAST_PATTERNS, LEAST_INSTANCE = 3, 3, 0.6, 2, 0.7
@@ -45,11 +46,13 @@ def shape(value: Column) -> Column:
 
 def word_before(left: Column) -> Column:
     """The last word of the left context, lower-cased with digits as 9; ^ at a line's start."""
-    return F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace(F.lower(left), "[0-9]", "9"), r"(\S+)[\x20\t]*$", 1), F.lit("")), F.lit("^"))
+    word = F.nullif(F.regexp_extract(F.regexp_replace(F.lower(left), "[0-9]", "9"), r"(\S+)[\x20\t]*$", 1), F.lit(""))
+    return F.when((F.length(left) >= REACH) & left.rlike(r"^\S+[\x20\t]*$"), F.lit(LONG)).otherwise(F.coalesce(word, F.lit("^")))
 
 
 def word_after(right: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace(F.lower(right), "[0-9]", "9"), r"^[\x20\t]*(\S+)", 1), F.lit("")), F.lit("$"))
+    word = F.nullif(F.regexp_extract(F.regexp_replace(F.lower(right), "[0-9]", "9"), r"^[\x20\t]*(\S+)", 1), F.lit(""))
+    return F.when((F.length(right) >= REACH) & right.rlike(r"^[\x20\t]*\S+$"), F.lit(LONG)).otherwise(F.coalesce(word, F.lit("$")))
 
 
 def contexts(text: Column, found: Column) -> Column:
@@ -59,7 +62,7 @@ def contexts(text: Column, found: Column) -> Column:
         left = word_before(F.substring(text, F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH))))
         right = word_after(F.substring(text, s["end"] + 1, F.lit(REACH)))
         form = shape(s["value"])
-        patterns = F.array(F.concat(F.lit("l:"), left, F.lit(" "), form), F.concat(F.lit("r:"), form, F.lit(" "), right), F.concat(F.lit("b:"), left, F.lit(" _ "), right), F.concat(F.lit("s:"), form))
+        patterns = F.array(F.concat(F.lit("l:"), left, F.lit(" "), form), F.concat(F.lit("r:"), form, F.lit(" "), right), F.concat(F.lit("b:"), left, F.lit(" _ "), right), F.concat(F.lit("s:"), form), F.concat(F.lit("L:"), left), F.concat(F.lit("R:"), right))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lower(s["value"]).alias("instance"), patterns.alias("patterns"))
 
     return F.transform(found, of)
@@ -70,23 +73,26 @@ def bootstrap(ws: Workspace, instances: DataFrame, rounds: int = ROUNDS) -> Data
 
     ``instances`` has instance, seed (its kind, null if it is to be discovered) and patterns. The
     bipartite graph of patterns and instances is scored in rounds: a pattern's confidence in a kind
-    is the weighted share of that kind among its instances; an instance's is the mean over its
-    patterns with support. Seeds keep their kind; the discovered ones count with their confidence in
-    the next round, so patterns spread from known identifiers to unseen ones. Edges are counted
+    is the summed score of that kind among its instances over their number, its support that sum; an
+    instance's score is the mean confidence of its patterns that have support LEAST_SEEDS and
+    confidence LEAST_PATTERN. Seeds keep score 1; what is discovered counts with its score in the next
+    round and can give other patterns support, so patterns spread from known identifiers to unseen
+    ones step by step. However often an instance occurs in a pattern, it is one edge, so copies weigh
+    nothing. Of kinds that tie for an instance the last by name is taken. Edges are made distinct
     before any join, and every join is on a pattern or an instance, which AQE splits when hot.
     """
-    edges = ws.store(instances.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("instance", "seed", "pattern").agg(F.count("*").alias("n")))
-    weights = edges.where("seed is not null").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
-    scored = weights
-    for i in range(rounds):
-        total = edges.groupBy("pattern").agg(F.count("*").alias("all"))
-        own = edges.join(scored, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("score"), F.count_if(F.col("score") >= 1).alias("seeds"))
-        patterns = own.join(total, "pattern").withColumn("confidence", F.col("score") / F.col("all")).where((F.col("seeds") >= LEAST_SEEDS) & (F.col("confidence") >= LEAST_PATTERN))
-        patterns = ws.store(patterns.select("pattern", "kind", "confidence"))
+    edges = ws.store(instances.select("instance", "seed", F.explode("patterns").alias("pattern")).distinct())
+    seeds = edges.where("seed is not null").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
+    total = ws.store(edges.groupBy("pattern").agg(F.count("*").alias("all")))
+    scored = seeds
+    for _ in range(rounds):
+        own = edges.join(scored, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("support")).where(F.col("support") >= LEAST_SEEDS)
+        patterns = own.join(total, "pattern").select("pattern", "kind", (F.col("support") / F.col("all")).alias("confidence")).where(F.col("confidence") >= LEAST_PATTERN)
+        patterns = ws.store(patterns)
         unseen = edges.where("seed is null").join(patterns, "pattern").groupBy("instance", "kind").agg(F.avg("confidence").alias("score"), F.countDistinct("pattern").alias("patterns"))
         best = unseen.where((F.col("patterns") >= LEAST_PATTERNS) & (F.col("score") >= LEAST_INSTANCE)).groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("b"))
         found = ws.store(best.select("instance", F.col("b.kind").alias("kind"), F.col("b.score").alias("score")))
-        scored = weights.unionByName(found)
+        scored = seeds.unionByName(found)
     return found.withColumnRenamed("score", "confidence")
 
 
@@ -95,7 +101,8 @@ def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     The base spans are the seeds; loose candidates (LOOSE) that overlap none are taken, with the
     kind of the patterns that found them, as ``bootstrap`` decides over all documents. Counts and
-    digest are of base spans. Null and empty texts have no spans; repeated rows equal results; other
+    digest are of base spans. Texts are read whole, however long; spans that start together come in
+    the order of KINDS. Null and empty texts have no spans; repeated rows equal results; other
     columns are ignored; an empty table gives no rows.
     """
     ws = Workspace(docs.sparkSession)
@@ -103,7 +110,6 @@ def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     marked = rows.select("doc_id", "text", spans.labelled(base_spans(F.col("text"))).alias("base"), spans.find(F.col("text"), LOOSE).alias("loose"))
     loose = F.transform(spans.outside(F.col("loose"), F.col("base")), lambda s: F.struct(s["start"].alias("start"), F.lit(-1).alias("rank"), s["end"].alias("end"), F.lit(None).cast("string").alias("kind"), s["value"].alias("value")))
     found = marked.select("doc_id", "base", contexts(F.col("text"), F.concat("base", loose)).alias("seen"))
-    found = ws.store(found)
     found = ws.store(found.withColumn("row", F.monotonically_increasing_id()))
     instances = found.select(F.explode("seen").alias("s")).select(F.col("s.instance"), F.col("s.kind").alias("seed"), F.col("s.patterns"))
     known = bootstrap(ws, instances, rounds)
