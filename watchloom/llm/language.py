@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -15,9 +15,9 @@ from watchloom.llm.common import crc_bucket
 
 #: Bytes of a window, filter widths and filters of each, dimensions of a byte's vector.
 WINDOW, WIDTHS, FILTERS, DIMS = 256, (2, 3, 4), 12, 8
-#: Labelled rows of each language that training reads at most, the most bytes of such a text, windows
-#: taken from each, and languages (the most frequent ones).
-LANG_ROWS, ROW_BYTES, ROW_WINDOWS, LANGS = 1_000, 50_000, 4, 200
+#: Labelled rows of each language that training reads at most, rows of all languages (each has fewer
+#: where there are very many), and pieces of WINDOW characters taken from each row.
+LANG_ROWS, TRAIN_ROWS, ROW_WINDOWS = 1_000, 200_000, 4
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 7
 PAD = 256
 UNKNOWN = "und"
@@ -136,42 +136,45 @@ def windows(raw: np.ndarray, size: int) -> np.ndarray:
 
 
 def train(rows: list[tuple[str, str]]) -> ByteNet:
-    """A network for (text, language) rows; windows of random length, so short texts are met too."""
+    """A network for (piece of text, language) rows; each is cut at a random length, so short texts are
+    met too."""
     rng = np.random.default_rng(SEED)
     langs = sorted({lang for _, lang in rows})
     net = ByteNet.start(langs, rng)
     index, xs, ys = {lang: i for i, lang in enumerate(langs)}, [], []
     for text, lang in rows:
         raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-        for _ in range(ROW_WINDOWS):
-            size = int(min(len(raw), rng.choice([WINDOW, WINDOW, WINDOW // 4, WINDOW // 8])))
-            a = int(rng.integers(0, len(raw) - size + 1))
-            ids = np.full(WINDOW + max(WIDTHS) - 1, PAD, np.int64)
-            ids[:size] = raw[a : a + size]
-            xs.append(ids)
-            ys.append(index[lang])
+        size = int(min(len(raw), rng.choice([WINDOW, WINDOW, WINDOW // 4, WINDOW // 8])))
+        a = int(rng.integers(0, len(raw) - size + 1))
+        ids = np.full(WINDOW + max(WIDTHS) - 1, PAD, np.int64)
+        ids[:size] = raw[a : a + size]
+        xs.append(ids)
+        ys.append(index[lang])
     if len(langs) > 1:
         net.fit(np.stack(xs), np.array(ys), rng)
     return net
 
 
 def training_rows(docs: DataFrame, allowed: Column) -> list[tuple[str, str]]:
-    """Up to LANG_ROWS texts of each of the LANGS most frequent languages, by the smallest id hashes
-    (an estimate of the hash that cuts there, then the exact cut)."""
-    known = docs.where(allowed & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.crc32(F.concat(F.lit("fit-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("h"))
-    known = known.where(F.octet_length("text").between(1, ROW_BYTES))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    """ROW_WINDOWS pieces of up to LANG_ROWS texts of every language: the rows with the smallest hashes
+    of id and text, whatever their length.
+
+    An estimate of the hash that cuts there keeps nearly all rows from being sorted (repeated rows have
+    one hash and count once in it); the exact cut follows. Only pieces of WINDOW characters leave a task, TRAIN_ROWS x ROW_WINDOWS at most (or of
+    one row a language)."""
+    text = F.col("text").cast("string")
+    known = docs.where(allowed & F.col("lang").isNotNull() & (F.length(text) > 0)).select(text.alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).alias("h"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()  # a row a language
     if not counts:
         return []
-    cut = docs.sparkSession.createDataFrame([(r[0], int(min(1.0, (LANG_ROWS + 5 * LANG_ROWS**0.5) / r[1]) * (1 << 32))) for r in counts], "c_lang string, cut long")
-    rows = known.join(F.broadcast(cut), (F.col("lang") == F.col("c_lang")) & (F.col("h") <= F.col("cut"))).select("lang", "h", "text")
-    taken: dict[str, int] = {}
-    out = []
-    for lang, _, text in sorted(rows.collect()):
-        taken[lang] = taken.get(lang, 0) + 1
-        if taken[lang] <= LANG_ROWS and any(map(str.isalpha, text)):
-            out.append((text, lang))
-    return out
+    most = max(1, min(LANG_ROWS, TRAIN_ROWS // len(counts)))
+    cut = docs.sparkSession.createDataFrame([(r[0], min(int(min(1.0, 1.1 * (most + 5 * most**0.5) / r[1]) * (1 << 64)), (1 << 64) - 1) - (1 << 63)) for r in counts], "c_lang string, cut long")
+    rows = known.join(F.broadcast(cut), (F.col("lang") == F.col("c_lang")) & (F.col("h") <= F.col("cut")))
+    start = lambda i: F.pmod(F.xxhash64("h", F.lit(i)), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))).cast("int") + 1
+    rows = rows.select("lang", "h", F.array(*[F.substring("text", start(i), F.lit(WINDOW)) for i in range(ROW_WINDOWS)]).alias("pieces"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    taken = rows.withColumn("nth", nth).where(F.col("nth") <= most).orderBy("lang", "h").collect()
+    return [(piece, r.lang) for r in taken for piece in r.pieces if any(map(str.isalpha, piece))]
 
 
 def predict_documents(docs: DataFrame, folds: int = 3) -> DataFrame:
@@ -179,8 +182,9 @@ def predict_documents(docs: DataFrame, folds: int = 3) -> DataFrame:
 
     Rows whose crc32(doc_id as text) is 1 modulo ``folds`` are held out of training, as are null
     texts and languages. Null texts and texts without a letter get UNKNOWN and score 0, as does all
-    if nothing can be learned. All bytes of a text are read, in windows. Repeated rows get equal
-    results; other columns are ignored; an empty table gives no rows.
+    if nothing can be learned. All bytes of a text are read, in windows, however long it is. Of
+    languages that tie the first by code point is taken. Repeated rows get equal results; other
+    columns are ignored; an empty table gives no rows.
     """
     bucket = crc_bucket(F.col("doc_id"), folds)
     net = train(training_rows(docs, bucket != 1))
