@@ -72,6 +72,18 @@ def test_mix_against_rule(spark):
     assert sorted(got) == sorted(mixing.mix_documents(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string")).collect())
 
 
+def test_mix_takes_part_of_repeated_rows(spark):
+    rows = [(None, "a b c", "x")] * 300 + [(i, "d e", "y") for i in range(50)] + [(7, "f g h i", "z")] * 90
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    target = shares({"x": 900, "y": 100, "z": 360})
+    taken = Counter()
+    for r in mixing.mix_documents(docs).collect():
+        taken[{900: "x", 100: "y", 360: "z"}[r.source_size]] += r.taken
+    assert all(0 <= target[s] - taken[s] < 5 for s in target)
+    again = Counter(r.source for r in mixing.repeat_documents(docs).collect())
+    assert all(abs(target[s] - again[s] * n) < 5 for s, n in (("x", 3), ("y", 2), ("z", 4)))
+
+
 def test_larger_budgets_nest(spark):
     rows = spark.range(400).select(F.lit("s").alias("source"), (F.col("id") % 7).alias("size"), F.pmod(F.xxhash64("id"), F.lit(1 << 60)).alias("h"))
     below = [mixing.thresholds(Workspace(spark), rows, spark.createDataFrame([("s", b)], "source string, budget double")).first().below for b in (0.0, 100.0, 500.0, 1e9)]
@@ -102,6 +114,27 @@ def test_mix_on_odd_rows(odd, empty):
 # Sharding.
 
 
+def test_rendezvous_against_plain_scores(spark):
+    """The winner by its definition, over Spark's own hash of (key, shard)."""
+    rows = spark.range(400).select(F.concat(F.lit("d:"), F.col("id").cast("string")).alias("key"), F.col("id"))
+    for weights in ([1.0] * 16, [1.0] * 17, [1.0, 2.5, 0.5]):
+        got = rows.select("key", sharding.rendezvous(F.col("key"), weights).alias("w"), F.array(*[F.xxhash64("key", F.lit(i)) for i in range(len(weights))]).alias("h")).collect()
+        for r in got:
+            u = [(((h & (1 << 64) - 1) >> 11) + 0.5) / 2**53 for h in r.h]
+            assert r.w == min(range(len(weights)), key=lambda i: (-np.log(u[i]) / weights[i], i))
+    shards = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.shard_documents(rows.select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))).collect()}
+    for n, i in ((16, 0), (17, 1)):
+        want = {r.id: r.w for r in rows.select("id", sharding.rendezvous(F.col("key"), [1.0] * n).alias("w")).collect()}
+        assert want == {k: v[i] for k, v in shards.items()}
+
+
+def test_rows_of_one_key_are_numbered_apart(spark):
+    """Equal rows share a shard but not a numbering range."""
+    docs = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    got = sharding.shard_documents(docs).collect()
+    assert len({r.shard for r in got}) == 1 and sorted(r.slot for r in got) == list(range(5000))
+
+
 def test_shards(spark, odd, empty):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("té"), (F.col("id") % 5).cast("string")).alias("text"))
     got = sharding.shard_documents(docs).collect()
@@ -312,6 +345,31 @@ def test_token_index(odd, empty, monkeypatch):
 # The pipeline against its parts done plainly.
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    """Null ids and texts, repeated rows, and tables whose extra columns have clashing names."""
+    import corpus_pipeline
+
+    item = " ".join(f"q{i}" for i in range(12))
+    more = spark.createDataFrame([(20, "intro " + item + " outro", "en", "s", 0, "r", 1, 2, 0.5, 3, 4), (21, "kept one " * 30, None, None, 0, "r", 1, 2, 0.5, 3, 4)], odd.schema)
+    bench = spark.createDataFrame([(1, item, "x", 1), (2, None, "y", 2)], "item_id long, text string, doc_id string, row int")
+    labels = spark.createDataFrame([(1, 0, 1, "t", 5), (5, 0, 0, "t", 5), (8, 0, 0, "t", 5), (4, 0, 0, "t", 5), (None, 1, 1, None, None)], "doc_id long, quality int, toxic int, text string, n int")
+    for name, docs in (("odd", odd.unionByName(more)), ("empty", empty)):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        bench.write.parquet(f"{folder}/benchmark.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        stage_docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            stage_docs = stage(spark, stage_docs, folder)
+            assert stage_docs.columns == docs.columns
+        got = corpus_pipeline.run(spark, folder).collect()
+        if name == "empty":
+            assert got == []
+            continue
+        ids = Counter(r.doc_id for r in got)
+        assert 20 not in ids and ids[21] and ids[5] in (1, 2) and [r.start for r in sorted(got, key=lambda r: r.start)] == np.cumsum([0, *(r.n_tokens for r in sorted(got, key=lambda r: r.start))])[:-1].tolist()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from watchloom.llm import decontam, toxicity

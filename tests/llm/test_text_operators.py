@@ -11,8 +11,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from watchloom.llm import decontam, language, pii, queries, secret_scan, toxicity
+from watchloom.llm.common import Workspace
 
 
 def joined(spans):
@@ -64,6 +66,77 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[101].n_found == 0 and all(got[i].n_card == 1 for i in range(20))
 
 
+def test_contexts_spread_step_by_step(spark):
+    """Contexts that only discovered identifiers share with seeds find others in a later round."""
+    card = lambda i: next(f"41{i:012d}{c:02d}" for c in range(100) if luhn(f"41{i:012d}{c:02d}"))
+    odd = lambda i: next(f"42{i:012d}{c:02d}" for c in range(100) if not luhn(f"42{i:012d}{c:02d}"))
+    rows = [f"card number {card(i)} expires" for i in range(60)] + [f"card number {odd(i)} expires" for i in range(10)] + [f"ref code {odd(i)} closed" for i in range(10)] + [f"ref code {odd(99)} closed", f"the sum {odd(98)} added"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for rounds, found in ((1, False), (3, True)):
+        got = {r.doc_id: r for r in pii.find(docs, rounds).collect()}
+        assert all(got[i].n_found == 1 for i in range(60, 80)) and (got[80].n_found == 1) is found and got[81].n_found == 0
+
+
+def test_bootstrap_matches_brute_force(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(160):
+        kind = rng.choice(["card", "card", "phone", "phone", None])
+        mine = {"card": "abcd", "phone": "efgh", None: rng.choice(["abcd", "efgh", "abef"])}[kind]
+        for _ in range(rng.randint(1, 3)):
+            rows.append((f"i{i}", kind, [rng.choice(mine) + str(rng.randint(0, 1)) for _ in range(3)]))
+    got = {r.instance: (r.kind, round(r.confidence, 9)) for r in pii.bootstrap(Workspace(spark), spark.createDataFrame(rows, "instance string, seed string, patterns array<string>")).collect()}
+    edges = {(i, k, p) for i, k, ps in rows for p in ps}
+    size = Counter(p for _, _, p in edges)
+    seeds = {(i, k): 1.0 for i, k, _ in edges if k}
+    found = {}
+    for _ in range(3):
+        scored = seeds | {(i, k): s for i, (k, s) in found.items()}
+        support = defaultdict(float)
+        for (i, k), s in scored.items():
+            for p in {p for j, _, p in edges if j == i}:
+                support[p, k] += s
+        good = {pk: s / size[pk[0]] for pk, s in support.items() if s >= 3 - 1e-12 and s / size[pk[0]] >= 0.6 - 1e-12}
+        found = {}
+        for i in {i for i, k, _ in edges if not k}:
+            best = []
+            for kind in ("card", "phone"):
+                c = [good[p, kind] for p in {p for j, _, p in edges if j == i} if (p, kind) in good]
+                if len(c) >= 2 and statistics.fmean(c) >= 0.7:
+                    best.append((statistics.fmean(c), kind))
+            if best:
+                found[i] = max(best)[::-1]
+    assert got == {i: (k, round(s, 9)) for i, (k, s) in found.items()} and len(got) > 5
+
+
+def test_discovery_recall_on_planted_identifiers(spark):
+    """Identifiers that no base pattern takes, in contexts that seeds also have, and the same numbers
+    in contexts of their own."""
+    rng = random.Random(22)
+    words = [f"w{i}" for i in range(300)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    frames = [("card on file", "until next"), ("call me at", "any evening"), ("charged to", "as agreed"), ("mail goes to", "every week")]
+    card = lambda: next(x for x in iter(lambda: "".join(rng.choice("0123456789") for _ in range(16)), None) if luhn(x))
+    phone = lambda n: "+4" + "".join(rng.choice("0123456789") for _ in range(n))
+    odd = lambda: next(x for x in iter(lambda: "".join(rng.choice("0123456789") for _ in range(16)), None) if not luhn(x))
+    rows, planted, plain = [], {}, []
+    for i in range(1200):
+        left, right = frames[i % 3]
+        if i % 12 in (5, 7):
+            value = phone(7) if i % 3 == 1 else odd()
+            planted[i] = value
+        elif i % 12 == 0:
+            value, left, right = odd(), rng.choice(words), rng.choice(words)
+            plain.append(i)
+        else:
+            value = phone(10) if i % 3 == 1 else card()
+        rows.append((i, f"{some(9)} {left} {value} {right} {some(9)}"))
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = sum(any(rows[i][1][int(a) : int(b)] == v for _, a, b in (x.split(":") for x in got[i].spans.split(",") if x)) for i, v in planted.items())
+    assert hit / len(planted) >= 0.9, hit / len(planted)
+    assert sum(got[i].n_found for i in plain) <= 0.05 * len(plain)
+
+
 def plain_transitions(tokens):
     """P(b | a) over the alphabet and one more symbol, by dictionaries."""
     code = lambda c: secret_scan.ALPHABET.find(c) if c in secret_scan.ALPHABET else len(secret_scan.ALPHABET)
@@ -248,6 +321,16 @@ def test_language_held_out_accuracy(spark):
     assert np.mean([r.lang_pred == rows[r.doc_id][2] for r in got if r.held_out]) > 0.97
 
 
+def test_training_takes_every_language_and_bounded_pieces(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANG_ROWS", 5)
+    rows = [(None, "same text of letters", "rep")] * 40 + [(i, "long " * 30_000, "long") for i in range(3)] + [(i, f"text number {i} with letters", f"l{i % 7}") for i in range(70)]
+    got = language.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), F.lit(True))
+    assert Counter(lang for _, lang in got) == {"rep": 20, "long": 12} | {f"l{i}": 20 for i in range(7)}
+    assert max(len(t) for t, _ in got) == language.WINDOW
+    monkeypatch.setattr(language, "TRAIN_ROWS", 9)
+    assert len({lang for _, lang in language.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))}) == 9
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     net = language.ByteNet.start(["a", "b", "c"], rng)

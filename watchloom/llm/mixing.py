@@ -19,11 +19,16 @@ def word_count(text: Column) -> Column:
 
 
 def row_hash(doc_id: Column, text: Column) -> Column:
-    """60 bits of the md5 of id and text: equal rows tie, rows without an id are told apart by text."""
+    """60 bits of the md5 of id and text: rows equal in both tie (see ``row_place``)."""
     salted = F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit("|"), F.coalesce(text, F.lit("")))
     return F.conv(F.substring(F.md5(salted.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def row_place() -> Column:
+    """60 bits of a hash of a row's place in the input, which tells rows apart that tie in their hash."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << (LEVEL_BITS * LEVELS)))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
     """source, source_size, target for (source, source_size): sources by code point (null last) have
     ``weights`` in turn and share ``share`` times all sizes; a target stops at ``most`` times its
@@ -71,37 +76,52 @@ def thresholds(ws: Workspace, rows: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def plan_mix(ws: Workspace, rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """source, source_size, target, whole, below for rows (source, size, h): every document of a
-    source is taken ``whole`` times and once more if its hash is under ``below``."""
+    """source, source_size, target, whole, below, below_tie for stored rows (source, size, h, place):
+    every document of a source is taken ``whole`` times, and once more if its hash is under ``below``,
+    or equal to it with its place under ``below_tie``."""
     sizes = ws.store(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     targets = source_targets(sizes, weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
     targets = targets.withColumn("whole", whole)
-    return thresholds(ws, rows, targets.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")))
+    plan = ws.store(thresholds(ws, rows, targets.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))))
+    key = plan.select(F.col("source").alias("s"), "below", "budget")
+    same = F.col("source").eqNullSafe(F.col("s"))
+    edge = rows.join(sized(key), same & (F.col("h") <= F.col("below"))).groupBy("source").agg(F.count_if(F.col("h") == F.col("below")).alias("ties"), F.sum(F.when(F.col("h") < F.col("below"), F.col("size")).otherwise(0)).alias("used"), F.first("budget").alias("budget"), F.first("below").alias("below"))
+    edge = ws.store(edge.where("ties > 1"))
+    if edge.isEmpty():
+        return plan.drop("budget").withColumn("below_tie", F.lit(0).cast("long"))
+    tied = rows.join(sized(edge.select(F.col("source").alias("s"), "below")), same & (F.col("h") == F.col("below"))).select("source", "size", F.col("place").alias("h"))
+    inner = thresholds(ws, tied, edge.select("source", (F.col("budget") - F.col("used")).alias("budget"))).select(F.col("source").alias("s"), F.col("below").alias("below_tie"))
+    return plan.drop("budget").join(sized(ws.store(inner)), same, "left").drop("s").withColumn("below_tie", F.coalesce("below_tie", F.lit(0).cast("long")))
+
+
+def taken_times() -> Column:
+    more = (F.col("h") < F.col("below")) | ((F.col("h") == F.col("below")) & (F.col("place") < F.col("below_tie")))
+    return F.col("whole") + more.cast("int")
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of documents.
 
-    Null text has size 0; a null source is a source of its own, ranked last. Rows equal in id and
-    text share a hash and are taken or left together. If all sizes are 0, so is everything else.
-    Other columns are ignored; an empty table gives no rows.
+    Null text has size 0; very long texts are counted whole; a null source is a source of its own,
+    ranked last. Rows equal in id and text are interchangeable: as many of them are taken as fit, by
+    their place in the input. If all sizes are 0, so is everything else. Other columns are ignored; an
+    empty table gives no rows.
     """
     ws = Workspace(docs.sparkSession)
-    rows = ws.store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h")))
-    plan = sized(plan_mix(ws, rows, weights, share, most).withColumnRenamed("source", "s"))
-    taken = F.col("size") * (F.col("whole") + (F.col("h") < F.col("below")).cast("int"))
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    rows = ws.store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h"), row_place().alias("place")))
+    plan = sized(ws.store(plan_mix(ws, rows, weights, share, most).withColumnRenamed("source", "s")))
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * taken_times()).cast("long").alias("taken"))
 
 
 def repeat_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, columns unchanged."""
+    """The rows of ``docs``, each as often as the mix takes it, columns unchanged; see
+    ``mix_documents`` for nulls, ties and empty tables."""
     ws = Workspace(docs.sparkSession)
-    rows = ws.store(docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h")))
-    plan = sized(plan_mix(ws, rows, weights, share, most).select(F.col("source").alias("s"), "whole", "below"))
-    packed = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), row_hash(F.col("doc_id"), F.col("text")).alias("h"))
-    times = F.col("whole") + (F.col("h") < F.col("below")).cast("int")
-    return packed.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(F.explode(F.array_repeat("row", times)).alias("row")).select("row.*")
+    packed = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), row_hash(F.col("doc_id"), F.col("text")).alias("h"), word_count(F.col("text")).alias("size"), row_place().alias("place"))
+    rows = ws.store(packed.select("source", "size", "h", "place"))
+    plan = sized(ws.store(plan_mix(ws, rows, weights, share, most).select(F.col("source").alias("s"), "whole", "below", "below_tie")))
+    return packed.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(F.explode(F.array_repeat("row", taken_times())).alias("row")).select("row.*")
 
 
 ORACLE = r"""
@@ -115,7 +135,7 @@ l AS (SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - coales
 g AS (SELECT arg_min(lev, fills_at) AS lev FROM l WHERE lev <= fills_at),
 t AS (SELECT source, source_size, CASE WHEN g.lev IS NULL THEN cap ELSE least(cap, g.lev * w) END AS target FROM l LEFT JOIN g ON true),
 k AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
-c AS (SELECT d.*, k.source_size, k.target, k.whole, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS cum
+c AS (SELECT d.*, k.source_size, k.target, k.whole, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS cum
     FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source)
 SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN cum <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c
 """
