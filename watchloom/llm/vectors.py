@@ -207,16 +207,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, home_rows: int =
     Links are pairs of rows with cosine >= ``threshold`` in double precision; equal vectors are
     joined once and counted as often as they occur. Vectors that are null, empty, all zero or hold a
     null or non-finite component link with nothing, nor do vectors of different dimensions; such a
-    row is its own component. Rows without an id take part and show the smallest id in reach, if
-    any. Labels and other columns are ignored; an empty table gives no rows.
+    row is its own component. A cosine of exactly the threshold links; very long vectors are compared
+    whole. Rows without an id take part and show the smallest id in reach, if any; repeated rows each
+    come back. Labels and other columns are ignored; an empty table gives no rows.
     """
     ws = Workspace(vectors.sparkSession)
     fine = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(fine, F.col("embedding")).alias("emb")).withColumn("h", F.xxhash64("emb"))
     own = rows.where("emb is not null")
     classes = own.groupBy("h", "emb").agg(F.count("*").alias("m"), F.min("vec_id").alias("low"))
-    classes = ws.store(classes.withColumn("dim", F.size("emb")))
-    classes = ws.store(classes.withColumn("cid", F.monotonically_increasing_id()))
+    classes = ws.store(classes.select("h", "emb", "m", "low", F.size("emb").alias("dim"), F.monotonically_increasing_id().alias("cid")))
     dims = [r[0] for r in classes.select("dim").distinct().orderBy("dim").collect()]
     found = None
     for dim in dims:
