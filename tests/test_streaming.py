@@ -6,6 +6,7 @@ import pytest
 
 from watchloom import schemas
 from watchloom.operators import alerts, detect
+from watchloom.sources import live
 from watchloom.sources.rules import load_rules
 from watchloom.streaming.processors import Pipeline
 
@@ -47,3 +48,28 @@ def test_pipeline_matches_batch_and_restarts(spark, landing):
     assert gold == batch == ["e004", "e012"] and sent == gold
     pipe().run_available(stream())
     assert sent == gold and spark.read.parquet(str(folder / "out" / "silver")).count() == 12
+
+
+def test_collector_lands_rows_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one\ntwo\n")
+    make = lambda: live.Collector("lines", lambda s: s.readStream.text(str(tmp_path / "in")), str(tmp_path / "out"))
+    for more, want in ((None, 2), ("three\n", 3)):
+        if more:
+            (tmp_path / "in" / "b.txt").write_text(more)
+        collector = make()
+        collector.run(spark)
+        assert not collector.wait_stop(0.1)
+        collector.stop()
+        assert collector.wait_stop(5) and spark.read.parquet(str(tmp_path / "out" / "lines")).count() == want
+    with pytest.raises(ValueError):
+        live.Collector("", lambda s: None, "x")
+
+
+def test_a_failing_row_does_not_stop_the_others(spark):
+    def send(row):
+        if row["i"] % 3 == 0:
+            raise KeyError(row["i"])
+
+    got = alerts.deliver(spark.range(10).withColumnRenamed("id", "i"), send).collect()
+    assert {r.i: r.error for r in got} == {i: "KeyError" if i % 3 == 0 else None for i in range(10)}

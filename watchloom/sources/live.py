@@ -6,12 +6,13 @@ import hashlib
 import logging
 import os
 import stat
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming import StreamingQuery
 
 from watchloom.operators import snapshot
 from watchloom.sources import procfs
@@ -42,6 +43,33 @@ class Registry:
         return iter(self._known)
 
 
+class Collector:
+    """A named source that lands its rows as files, with a checkpoint of its own: what it has landed is
+    not landed again after a restart."""
+
+    def __init__(self, name: str, read: Callable[[SparkSession], DataFrame], folder: str, every: str = "1 second"):
+        if not name:
+            raise ValueError("a source needs a name")
+        self.name, self.read, self.folder, self.every = name, read, folder, every
+        self.query: StreamingQuery | None = None
+
+    def run(self, spark: SparkSession) -> StreamingQuery:
+        writer = self.read(spark).writeStream.format("parquet").option("path", f"{self.folder}/{self.name}")
+        writer = writer.option("checkpointLocation", f"{self.folder}/checkpoints/{self.name}").queryName(self.name)
+        self.query = writer.trigger(processingTime=self.every).start()
+        return self.query
+
+    def stop(self) -> None:
+        """Lands what is there, then stops."""
+        if self.query is not None:
+            self.query.processAllAvailable()
+            self.query.stop()
+
+    def wait_stop(self, timeout: float) -> bool:
+        """Whether the source has stopped within ``timeout`` seconds; what made it fail is raised."""
+        return self.query is None or bool(self.query.awaitTermination(timeout))
+
+
 def hash_file(path: str, most: int = MAX_HASHED) -> str | None:
     """SHA-256 of a file, read in chunks; None if it is larger than ``most`` or unreadable."""
     try:
