@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a narrow dimension table (a key and a few numbers) is broadcast.
 BROADCAST_ROWS = 100_000
+#: Narrow rows of a file where a table's size is known.
+FILE_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,7 +50,11 @@ class Workspace:
     def path(self, name: str = "t") -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def store(self, df: DataFrame, codec: str | None = None) -> DataFrame:
+    def store(self, df: DataFrame, codec: str | None = None, rows: int | None = None) -> DataFrame:
+        """``df`` written and read back. ``rows``, if it is known about how many narrow rows there are,
+        keeps a small table from being written as one file for each shuffle partition."""
+        if rows is not None:
+            df = df.repartition(max(2, -(-rows // FILE_ROWS)))
         path, writer = self.path(), df.write
         if codec:
             writer = writer.option("compression", codec)
@@ -93,11 +99,11 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = ws.store(large)
+        large = ws.store(large, rows=mark[0])
         # small star: a > b on every edge
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = ws.store(linked.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        new = ws.store(linked.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), rows=mark[0])
         ws.drop(current)
         ws.drop(large)
         current = new

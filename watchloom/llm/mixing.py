@@ -58,6 +58,7 @@ def thresholds(ws: Workspace, rows: DataFrame, budgets: DataFrame) -> DataFrame:
     """
     bits = LEVEL_BITS * LEVELS
     state = ws.store(budgets.withColumn("left", F.col("budget")).withColumn("lo", F.lit(0).cast("long")).withColumn("below", F.lit(None).cast("long")))
+    sources = state.count()
     for level in range(LEVELS):
         shift = bits - LEVEL_BITS * (level + 1)
         open_ = sized(state.where("below is null").select(F.col("source").alias("s"), "left", "lo"))
@@ -67,9 +68,9 @@ def thresholds(ws: Workspace, rows: DataFrame, budgets: DataFrame) -> DataFrame:
         over = histogram.withColumn("sum", F.sum("n").over(upto)).where(F.col("sum") > F.col("left"))
         edge = over.groupBy("source").agg(F.min(F.struct("bucket", "sum", "n", "first", "last")).alias("e")).select(F.col("source").alias("s"), (F.col("e.sum") - F.col("e.n")).alias("used"), F.shiftleft("e.bucket", shift).alias("at"), F.when(F.col("e.first") == F.col("e.last"), F.col("e.first")).alias("exact"))
         # a source without an edge fits whole; an edge of one hash value is the threshold
-        after = state.where("below is null").join(sized(ws.store(edge)), F.col("source").eqNullSafe(F.col("s")), "left")
+        after = state.where("below is null").join(sized(ws.store(edge, rows=sources)), F.col("source").eqNullSafe(F.col("s")), "left")
         after = after.withColumn("below", F.when(F.col("at").isNull(), F.lit(1 << bits)).otherwise(F.col("exact"))).withColumn("left", F.col("left") - F.coalesce("used", F.lit(0))).withColumn("lo", F.coalesce("at", "lo"))
-        state = ws.store(state.where("below is not null").unionByName(after.select(*state.columns)))
+        state = ws.store(state.where("below is not null").unionByName(after.select(*state.columns)), rows=sources)
         if state.where("below is null").isEmpty():
             break
     return state.drop("left", "lo")

@@ -84,14 +84,15 @@ def bootstrap(ws: Workspace, instances: DataFrame, rounds: int = ROUNDS) -> Data
     edges = ws.store(instances.select("instance", "seed", F.explode("patterns").alias("pattern")).distinct())
     seeds = edges.where("seed is not null").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
     total = ws.store(edges.groupBy("pattern").agg(F.count("*").alias("all")))
+    size = total.count()
     scored = seeds
     for _ in range(rounds):
         own = edges.join(scored, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("support")).where(F.col("support") >= LEAST_SEEDS)
         patterns = own.join(total, "pattern").select("pattern", "kind", (F.col("support") / F.col("all")).alias("confidence")).where(F.col("confidence") >= LEAST_PATTERN)
-        patterns = ws.store(patterns)
+        patterns = ws.store(patterns, rows=size)
         unseen = edges.where("seed is null").join(patterns, "pattern").groupBy("instance", "kind").agg(F.avg("confidence").alias("score"), F.countDistinct("pattern").alias("patterns"))
         best = unseen.where((F.col("patterns") >= LEAST_PATTERNS) & (F.col("score") >= LEAST_INSTANCE)).groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("b"))
-        found = ws.store(best.select("instance", F.col("b.kind").alias("kind"), F.col("b.score").alias("score")))
+        found = ws.store(best.select("instance", F.col("b.kind").alias("kind"), F.col("b.score").alias("score")), rows=size)
         scored = seeds.unionByName(found)
     return found.withColumnRenamed("score", "confidence")
 

@@ -46,16 +46,25 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {"assign": F.filter(spans.find(text, ASSIGN, 2), lambda s: F.length(s["extra"]) >= 6), "access": spans.find(text, ACCESS), "hex": spans.find(text, HEX)}
 
 
+def code_of(c: Column) -> Column:
+    """Number of a character in the alphabet; any other has the next."""
+    at = F.instr(F.lit(ALPHABET), c)
+    return F.when((at > 0) & (c != ""), at - 1).otherwise(len(ALPHABET))
+
+
 def pair_codes(token: Column) -> Column:
     """Codes of the pairs of adjacent characters of a token."""
-    code = F.transform(F.split(token, ""), lambda c: F.when(F.instr(F.lit(ALPHABET), c) > 0, F.instr(F.lit(ALPHABET), c) - 1).otherwise(len(ALPHABET)))
+    code = F.transform(F.split(token, ""), code_of)
     size = F.size(code)
     return F.when(size < 2, F.array().cast("array<int>")).otherwise(F.zip_with(F.slice(code, 1, F.greatest(size - 1, F.lit(0))), F.slice(code, 2, F.greatest(size - 1, F.lit(0))), lambda a, b: (a * SYMBOLS + b).cast("int")))
 
 
 def pair_counts(tokens: DataFrame) -> DataFrame:
-    """pair, n over (token, n)."""
-    return tokens.select("n", F.explode(pair_codes(F.col("token"))).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
+    """pair, n over (token, n): pairs are counted as text, and only distinct ones get codes."""
+    at = tokens.where(F.length("token") > 1).select("n", "token", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i"))
+    pairs = at.select("n", F.substring("token", F.col("i"), F.lit(2)).alias("p")).groupBy("p").agg(F.sum("n").alias("n"))
+    code = code_of(F.substring("p", 1, 1)) * SYMBOLS + code_of(F.substring("p", 2, 1))
+    return pairs.groupBy(code.cast("int").alias("pair")).agg(F.sum("n").alias("n"))
 
 
 def random_samples(spark) -> DataFrame:
@@ -104,10 +113,11 @@ def log_ratios(ordinary: DataFrame, random: DataFrame) -> DataFrame:
     return rows.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("ratios"))
 
 
-def models(claimed: DataFrame) -> DataFrame:
+def models(ws: Workspace, claimed: DataFrame) -> DataFrame:
     """``log_ratios`` of the labelled samples; ``claimed`` (token, n) adds to the random ones."""
-    spark = claimed.sparkSession
-    return log_ratios(pair_counts(ordinary_samples(spark)), pair_counts(claimed.unionByName(random_samples(spark))))
+    ordinary = ws.store(pair_counts(ordinary_samples(ws.spark)), rows=SYMBOLS**2)
+    random = ws.store(pair_counts(claimed.unionByName(random_samples(ws.spark))), rows=SYMBOLS**2)
+    return ws.store(log_ratios(ordinary, random), rows=1)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -125,7 +135,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = ws.store(rows.select("doc_id", spans.labelled(base_spans(F.col("text"))).alias("base"), spans.find(F.col("text"), TOKEN + "{%d,}" % JUDGED).alias("tokens")))
     claimed = found.select(F.explode("base").alias("s")).select(F.col("s.value").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    found = found.withColumn("ratios", ws.store(models(claimed)).scalar())  # SYMBOLS ** 2 numbers
+    found = found.withColumn("ratios", models(ws, claimed).scalar())  # SYMBOLS ** 2 numbers
 
     def total(token: Column) -> Column:
         return F.aggregate(pair_codes(token), F.lit(0.0), lambda acc, p: acc + F.get("ratios", p))
