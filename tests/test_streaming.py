@@ -8,6 +8,7 @@ from watchloom import schemas
 from watchloom.operators import alerts, detect
 from watchloom.sources import live
 from watchloom.sources.rules import load_rules
+from watchloom.streaming import processors
 from watchloom.streaming.processors import Pipeline
 
 T0 = datetime(2026, 1, 1)
@@ -73,3 +74,15 @@ def test_a_failing_row_does_not_stop_the_others(spark):
 
     got = alerts.deliver(spark.range(10).withColumnRenamed("id", "i"), send).collect()
     assert {r.i: r.error for r in got} == {i: "KeyError" if i % 3 == 0 else None for i in range(10)}
+
+
+def test_stream_gates_agree_with_the_batch_gate(spark, tmp_path):
+    rows = [("r", "a", 5, 0), ("r", "a", 5, 1), ("r", "b", 5, 2), ("r", "c", 5, 3), ("r", "c", 5, 4), ("r", "d", 2, 5), ("r", "e", 5, 30), ("q", "a", 5, 0), ("q", "f", 5, 0)]
+    found = spark.createDataFrame([(r, "t", s, ["T1"], ["DE.CM"], [], e, "h", T0 + timedelta(seconds=t), "m") for r, e, s, t in rows], schemas.DETECTION)
+    gates = alerts.Gates(min_severity=3, dedup_seconds=300, throttle_max=2, throttle_seconds=60)
+    want = sorted(tuple(r) for r in alerts.gate(alerts.build(found), gates).select("rule_id", "event_id", "timestamp", "status").collect())
+    found.coalesce(1).write.parquet(str(tmp_path / "gold"))
+    stream = spark.readStream.schema(schemas.DETECTION).parquet(str(tmp_path / "gold"))
+    for name, make in (("screened", lambda: processors.screen_stream(stream, gates)), ("final", lambda: processors.throttle_alerts(spark.readStream.schema(processors.SCREENED).parquet(str(tmp_path / "screened")), gates))):
+        make().writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"c-{name}")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "final")).select("rule_id", "event_id", "timestamp", "status").collect()) == want

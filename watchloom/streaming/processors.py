@@ -24,8 +24,9 @@ STATE = "state string"
 KEEP_WINDOWS = 2
 
 
-def stateful(df: DataFrame, key: str, time: str, window_seconds: float, restore: Callable[[dict | None], object], dump: Callable[[object], dict], flag: str, lateness: str = "1 minute") -> DataFrame:
-    """``df`` with ``flag``: the step's result for each row, in event time within a micro-batch.
+def stateful(df: DataFrame, key: str, time: str, window_seconds: float, restore: Callable[[dict | None], object], dump: Callable[[object], dict], flag: str, lateness: str = "1 minute", order: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``flag``: the step's result for each row, in event time within a micro-batch (equal
+    times by ``order``, else as they come).
 
     ``df`` needs ``key`` (a string column) and a watermark is set on ``time``; rows behind it are
     dropped, and a key's state goes KEEP_WINDOWS windows after its last event.
@@ -38,7 +39,7 @@ def stateful(df: DataFrame, key: str, time: str, window_seconds: float, restore:
             state.remove()
             return
         rows = pd.concat(list(frames), ignore_index=True)
-        rows = rows.sort_values(time, kind="stable")
+        rows = rows.sort_values([time, *order], kind="stable")
         step = restore(json.loads(state.get[0]) if state.exists else None)
         micros = rows[time].astype("datetime64[us]").astype("int64")
         rows[flag] = [step(int(t)) for t in micros]
@@ -49,9 +50,9 @@ def stateful(df: DataFrame, key: str, time: str, window_seconds: float, restore:
     return df.withWatermark(time, lateness).groupBy(key).applyInPandasWithState(fold, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def dedup_stream(df: DataFrame, key: str, time: str, ttl_seconds: float, lateness: str = "1 minute", flag: str = "fresh") -> DataFrame:
+def dedup_stream(df: DataFrame, key: str, time: str, ttl_seconds: float, lateness: str = "1 minute", flag: str = "fresh", order: tuple[str, ...] = ()) -> DataFrame:
     ttl = round(ttl_seconds * 1e6)
-    return stateful(df, key, time, ttl_seconds, lambda s: DedupStep(ttl, s and s["e"]), lambda d: {"e": d.expiry}, flag, lateness)
+    return stateful(df, key, time, ttl_seconds, lambda s: DedupStep(ttl, s and s["e"]), lambda d: {"e": d.expiry}, flag, lateness, order)
 
 
 def threshold_stream(df: DataFrame, key: str, time: str, window_seconds: float, count: int, lateness: str = "1 minute", flag: str = "fired") -> DataFrame:
@@ -59,9 +60,9 @@ def threshold_stream(df: DataFrame, key: str, time: str, window_seconds: float,
     return stateful(df, key, time, window_seconds, lambda s: ThresholdStep(window, count, tuple(s["w"]) if s else ()), lambda d: {"w": list(d.times)}, flag, lateness)
 
 
-def throttle_stream(df: DataFrame, key: str, time: str, window_seconds: float, most: int, lateness: str = "1 minute", flag: str = "passed") -> DataFrame:
+def throttle_stream(df: DataFrame, key: str, time: str, window_seconds: float, most: int, lateness: str = "1 minute", flag: str = "passed", order: tuple[str, ...] = ()) -> DataFrame:
     window = round(window_seconds * 1e6)
-    return stateful(df, key, time, window_seconds, lambda s: ThrottleStep(window, most, tuple(s["w"]) if s else ()), lambda d: {"w": list(d.times)}, flag, lateness)
+    return stateful(df, key, time, window_seconds, lambda s: ThrottleStep(window, most, tuple(s["w"]) if s else ()), lambda d: {"w": list(d.times)}, flag, lateness, order)
 
 
 def dedup_events(events: DataFrame, ttl_seconds: float = 60.0, lateness: str = "1 minute") -> DataFrame:
@@ -84,37 +85,27 @@ def detections(events: DataFrame, rules: list[Rule], lateness: str = "1 minute")
     return reduce(DataFrame.unionByName, parts)
 
 
-def gate_stream(found: DataFrame, gates: alerts.Gates, lateness: str = "1 minute") -> DataFrame:
-    """Alerts with their status. Dedup and throttle share one state for each rule, in that order."""
+SCREENED = T.StructType([*schemas.ALERT.fields, T.StructField("status", T.StringType())])
+
+
+def screen_stream(found: DataFrame, gates: alerts.Gates, lateness: str = "1 minute") -> DataFrame:
+    """Alerts of a stream of detections behind the floor and the dedup gate: status is
+    suppressed_severity, deduped or null. State is one expiry for each dedup key."""
     built = alerts.build(found)
-    window, ttl = round(gates.throttle_seconds * 1e6), round(gates.dedup_seconds * 1e6)
-    schema = T.StructType([*built.schema.fields, T.StructField("status", T.StringType())])
-    keep = round(max(gates.throttle_seconds, gates.dedup_seconds) * 1000 * KEEP_WINDOWS)
+    high = F.col("severity") >= gates.min_severity
+    keyed = built.withColumn("_key", F.concat(F.when(high, "+|").otherwise("-|"), "dedup_key"))
+    seen = dedup_stream(keyed, "_key", "timestamp", gates.dedup_seconds, lateness, order=("event_id",))
+    status = F.when(F.col("severity") < gates.min_severity, "suppressed_severity").when(~F.col("fresh"), "deduped")
+    return seen.select(*built.columns, status.alias("status"))
 
-    def fold(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(["timestamp", "event_id"], kind="stable")
-        saved = json.loads(state.get[0]) if state.exists else {"keys": {}, "w": []}
-        seen, throttle = saved["keys"], ThrottleStep(window, gates.throttle_max, tuple(saved["w"]))
-        status = []
-        for key, severity, t in zip(rows["dedup_key"], rows["severity"], rows["timestamp"].astype("datetime64[us]").astype("int64"), strict=True):
-            step = DedupStep(ttl, seen.get(key))
-            if severity < gates.min_severity:
-                status.append("suppressed_severity")
-            elif not step(int(t)):
-                status.append("deduped")
-            else:
-                seen[key] = step.expiry
-                status.append("emitted" if throttle(int(t)) else "throttled")
-        rows["status"] = status
-        floor = state.getCurrentWatermarkMs() * 1000
-        state.update((json.dumps({"keys": {k: e for k, e in seen.items() if e > floor}, "w": list(throttle.times)}),))
-        state.setTimeoutTimestamp(max(int(rows["timestamp"].astype("datetime64[us]").astype("int64").max() // 1000), state.getCurrentWatermarkMs()) + keep)
-        yield rows
 
-    return built.withWatermark("timestamp", lateness).groupBy("rule_id").applyInPandasWithState(fold, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def throttle_alerts(screened: DataFrame, gates: alerts.Gates, lateness: str = "1 minute") -> DataFrame:
+    """Screened alerts with their last status. State is the times of a rule's latest alerts; alerts
+    that are settled already pass by under keys of their own."""
+    open_ = F.col("status").isNull()
+    keyed = screened.withColumn("_key", F.when(open_, F.concat(F.lit("+|"), "rule_id")).otherwise(F.concat(F.lit("-|"), "dedup_key")))
+    passed = throttle_stream(keyed, "_key", "timestamp", gates.throttle_seconds, gates.throttle_max, lateness, order=("event_id",))
+    return passed.select(*[c for c in screened.columns if c != "status"], F.coalesce("status", F.when(F.col("passed"), "emitted").otherwise("throttled")).alias("status"))
 
 
 def progress(query: StreamingQuery) -> dict[str, int]:
@@ -125,10 +116,11 @@ def progress(query: StreamingQuery) -> dict[str, int]:
 
 
 class Pipeline:
-    """The composition root: three queries with a table between each two, so that every stage has its
+    """The composition root: four queries with a table between each two, so that every stage has its
     own checkpoint and restarts without losing or repeating rows.
 
-    events -> dedup -> ``silver``; ``silver`` -> rules -> ``gold``; ``gold`` -> gates -> sinks.
+    events -> dedup -> ``silver``; ``silver`` -> rules -> ``gold``; ``gold`` -> floor and dedup ->
+    ``screened``; ``screened`` -> throttle -> sinks.
     """
 
     def __init__(self, spark, folder: str, rules: list[Rule], gates: alerts.Gates = alerts.Gates(), sinks: list[alerts.Sink] | None = None, dedup_seconds: float = 60.0, lateness: str = "1 minute", max_files: int | None = None):  # noqa: B008
@@ -152,8 +144,11 @@ class Pipeline:
     def detect(self, trigger: dict) -> StreamingQuery:
         return self._write(detections(self._read("silver", schemas.EVENT), self.rules, self.lateness), "gold", trigger)
 
+    def screen(self, trigger: dict) -> StreamingQuery:
+        return self._write(screen_stream(self._read("gold", schemas.DETECTION), self.gates, self.lateness), "screened", trigger)
+
     def alert(self, trigger: dict) -> StreamingQuery:
-        gated = gate_stream(self._read("gold", schemas.DETECTION), self.gates, self.lateness)
+        gated = throttle_alerts(self._read("screened", SCREENED), self.gates, self.lateness)
 
         def batch(df: DataFrame, epoch: int) -> None:
             if self._marked(epoch):  # an epoch that is repeated after its alerts went out
@@ -180,7 +175,7 @@ class Pipeline:
 
     def run_available(self, events: DataFrame) -> None:
         """Takes all that is there through every stage, then stops."""
-        for start in (lambda t: self.dedup(events, t), self.detect, self.alert):
+        for start in (lambda t: self.dedup(events, t), self.detect, self.screen, self.alert):
             query = start({"availableNow": True})
             query.awaitTermination()
             if query.exception():
