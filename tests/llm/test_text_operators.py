@@ -6,6 +6,7 @@ import random
 import re
 import statistics
 import string
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -278,6 +279,30 @@ def test_calibration_converges_on_many_rows():
     assert 2.8 < -bias / slope < 4
 
 
+def test_models_are_computed_in_little_memory(spark):
+    """The driver's peak over the table of logs is small, with few cells and with all of them."""
+    size = 1 << toxicity.TABLE_BITS
+    logs = 2 * size * 4
+    texts = spark.createDataFrame([("plain words", 0), ("vile words", 1)], "text string, y int")
+    tracemalloc.start()
+    try:
+        model = toxicity.count_models(texts)
+        assert tracemalloc.get_traced_memory()[1] < logs + 10e6
+        assert model.logs.nbytes == logs
+        rng = np.random.default_rng(1)
+        cells, k = rng.permutation(size), np.stack([rng.integers(0, 40, size), rng.integers(0, 3, size)]) + (np.arange(size) == 7)
+        before = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        model = toxicity.KneserNey.of_counts(cells, k)
+        assert tracemalloc.get_traced_memory()[1] - before < logs + 20e6
+    finally:
+        tracemalloc.stop()
+    total = k.sum(axis=1)
+    off = np.minimum(k, (0.75 * total / total.min())[:, None])
+    p = (k - off) / total[:, None] + (off.sum(axis=1) / total)[:, None] * (off.sum(axis=0) + 0.5) / (off.sum() + 0.5 * (size + 1))
+    assert np.allclose(model.logs[:, cells], np.log(p), atol=1e-5)
+
+
 def fit_hash(i):
     return zlib.crc32(f"fit-{i}".encode())
 

@@ -29,6 +29,8 @@ FOLDS = 5
 DISCOUNT = 0.75
 #: Words of a passage.
 PASSAGE = 3
+#: Cells whose probabilities are computed at once, so that the driver holds no array but counts and logs.
+STEP_CELLS = 1 << 16
 
 
 def words_of(text: str | None) -> list[str]:
@@ -74,19 +76,25 @@ class KneserNey:
         known: dict[str, int] = {}
         every = [pairs_of(words, y, known) for words, y in zip(texts, labels, strict=True)]
         every = np.unique(np.concatenate(every)) if every else np.zeros(0, np.int64)
-        cells, y = every >> (LEFT_BITS + 1), every >> LEFT_BITS & 1
-        return cls.of_counts(np.stack([np.bincount(cells[y == c], minlength=1 << TABLE_BITS) for c in (0, 1)]))
+        (cells, at), y = np.unique(every >> (LEFT_BITS + 1), return_inverse=True), every >> LEFT_BITS & 1
+        return cls.of_counts(cells, np.stack([np.bincount(at[y == c], minlength=len(cells)) for c in (0, 1)]))
 
     @classmethod
-    def of_counts(cls, k: np.ndarray) -> KneserNey:
-        """The models of k_c by cell; both classes have words."""
+    def of_counts(cls, cells: np.ndarray, k: np.ndarray) -> KneserNey:
+        """The models of k_c (2, cells) by the distinct ``cells`` that have words, in any order; both
+        classes have some. The other cells share one value."""
         totals = k.sum(axis=1, dtype=np.float64)
         cut = DISCOUNT * totals / totals.min()
-        off = np.minimum(k, cut[:, None])
-        shared = off.sum(axis=0) + 0.5
-        shared /= off.sum() + 0.5 * (np.count_nonzero(k.any(axis=0)) + 1)
-        p = (k - off) / totals[:, None] + (off.sum(axis=1) / totals)[:, None] * shared
-        return cls(np.log(p).astype(np.float32))
+        off = np.array([own.sum(where=own <= c) + c * np.count_nonzero(own > c) for own, c in zip(k, cut, strict=True)])  # exact in any order
+        mass = off.sum() + 0.5 * (len(cells) + 1)
+        back = (off / totals)[:, None]
+        logs = np.empty((2, 1 << TABLE_BITS), np.float32)
+        logs[:] = np.log(back * (0.5 / mass))
+        for at in range(0, len(cells), STEP_CELLS):
+            part = k[:, at : at + STEP_CELLS]
+            cut_off = np.minimum(part, cut[:, None])
+            logs[:, cells[at : at + STEP_CELLS]] = np.log((part - cut_off) / totals[:, None] + back * ((cut_off.sum(axis=0) + 0.5) / mass))
+        return cls(logs)
 
     def log_likelihoods(self, words: list[str], known: dict[str, int] | None = None) -> np.ndarray:
         """(2, words): log P of every word under the ordinary and the toxic model."""
@@ -181,11 +189,12 @@ def continuation_counts(texts: DataFrame) -> DataFrame:
 
 def count_models(texts: DataFrame) -> KneserNey | None:
     """The models of all rows of ``texts`` (text, y); None if a class has no words. A row a cell, so
-    2 ** TABLE_BITS at most, reaches the driver."""
+    2 ** TABLE_BITS at most, reaches the driver, which holds those and the logs only."""
     found = continuation_counts(texts).toArrow()
-    k = np.zeros((2, 1 << TABLE_BITS), np.int64)
-    k[:, found["cell"].to_numpy()] = found["k0"].to_numpy(), found["k1"].to_numpy()
-    return KneserNey.of_counts(k) if k.any(axis=1).all() else None
+    k = np.empty((2, len(found)), np.int64)
+    for own, name in zip(k, ("k0", "k1"), strict=True):
+        own[:] = found[name].to_numpy()
+    return KneserNey.of_counts(found["cell"].to_numpy(), k) if k.any(axis=1).all() else None
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> ToxicityModel:
