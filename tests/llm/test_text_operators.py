@@ -6,9 +6,12 @@ import random
 import re
 import statistics
 import string
+import subprocess
+import sys
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -303,6 +306,27 @@ def test_models_are_computed_in_little_memory(spark):
     assert np.allclose(model.logs[:, cells], np.log(p), atol=1e-5)
 
 
+def test_worker_hands_back_what_it_no_longer_uses():
+    """Of 200 MB that Arrow held in a batch, most is the system's again when a worker's next batch begins."""
+    code = """
+import re
+import numpy as np, pyarrow as pa
+from watchloom.llm.common import worker_state
+
+def own():
+    return int(re.search(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+worker_state("x")
+before = own()
+held = [pa.array(np.arange(1 << 17)).cast(pa.float64()) for _ in range(200)]
+assert own() - before > 180
+del held
+worker_state("x")
+assert own() - before < 60, own() - before
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=Path(toxicity.__file__).parents[2], check=True)
+
+
 def fit_hash(i):
     return zlib.crc32(f"fit-{i}".encode())
 

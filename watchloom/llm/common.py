@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,7 +151,18 @@ _held: dict[object, object] = {}
 def worker_state(owner: object, make: Callable[[], object] = lambda: None) -> object:
     """What ``owner`` keeps in this Python worker between batches, made at first use. A worker serves
     many stages, so whatever another owner kept is let go: only one holds memory at a time."""
-    if owner not in _held:
+    other = owner not in _held
+    if other:
         _held.clear()
+    hand_back()
+    if other:
         _held[owner] = make()
     return _held[owner]
+
+
+def hand_back() -> None:
+    """Returns to the system what the allocators of Arrow and C keep of freed memory; else a worker holds
+    the most that any batch of any stage took, beside its executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)

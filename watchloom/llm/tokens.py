@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from watchloom.llm.common import Workspace, sized, worker_state
+from watchloom.llm.common import Workspace, hand_back, sized, worker_state
 
 HEADER = struct.Struct("<4sIQIIQ")
 MAGIC = b"WLH1"
@@ -216,6 +216,7 @@ def _tokenize(spec, size: int):
                     gc.enable()
                 counts += np.bincount(np.frombuffer(b"".join(found), encoder.dtype), minlength=size)
                 yield rows(part.column(0), [zip_.compress(x) for x in found], None)
+                hand_back()
         yield rows(pa.array([None], pa.int64()), [None], zip_.compress(counts.tobytes()))
 
     return run
