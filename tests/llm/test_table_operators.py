@@ -1,6 +1,8 @@
 """Operators on whole tables: mixing, sharding, near-duplicates and token output, and the pipeline."""
 
 import random
+import string
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -333,6 +335,58 @@ def test_other_tokenizers_encode_whole_texts():
     assert not encoder.by_word and [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == want
 
 
+def test_steps_of_any_cut_match_library(monkeypatch):
+    """Long texts among short ones, caches that overflow, chunks too long to be remembered."""
+    monkeypatch.setattr(tokens, "STEP_BYTES", 300)
+    monkeypatch.setattr(tokens, "CACHE", 40)
+    rng = random.Random(4)
+    alphabet = "abÀÖßÿ×÷İKſ'.,!9 \t\n\x1c\x85é\u0301中"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.choice((0, 5, 40, 299, 300, 2000)))) for _ in range(300)] + [None, "x" * 900, " ", "q" * 70 + " a", None]
+    encoder = tokens.ChunkEncoder(tokens.tokenizer_file(queries.default_tokenizer()))
+    for _ in range(2):
+        assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == library_ids(texts)
+
+
+def test_frequent_words_are_remembered_after_rare_ones(monkeypatch):
+    """Words that fill the cache and never return give way to words that do."""
+    monkeypatch.setattr(tokens, "CACHE", 400)
+    rng = random.Random(5)
+    encoder = tokens.ChunkEncoder(tokens.tokenizer_file(queries.default_tokenizer()))
+    library, seen = encoder.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            seen.append(sum(len(t.split()) for t in texts))
+            return library.encode_batch_fast(texts, **options)
+
+    def word():
+        return "".join(rng.choice(string.ascii_lowercase) for _ in range(9))
+
+    encoder.tokenizer = Counting()
+    encoder.encode([" ".join(word() for _ in range(1000))])
+    common = [word() for _ in range(100)]
+    for _ in range(10):
+        text = " ".join([*common, *(word() for _ in range(50))])
+        seen.clear()
+        got = encoder.encode([text])
+        assert [np.frombuffer(x, encoder.dtype).tolist() for x in got] == library_ids([text])
+    assert sum(seen) == 50
+
+
+def test_known_words_cost_no_objects():
+    """Encoding words that are known allocates little beyond the texts and ids themselves."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 8))) for _ in range(2000)]
+    text = " ".join(rng.choices(vocabulary, k=300_000))
+    encoder = tokens.ChunkEncoder(tokens.tokenizer_file(queries.default_tokenizer()))
+    encoder.encode([" ".join(vocabulary)])
+    tracemalloc.start()
+    ids = encoder.encode([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * (len(text) + len(ids[0])), peak
+
+
 def test_token_index(odd, empty, monkeypatch):
     got = tokens.token_index(odd, queries.default_tokenizer()).orderBy("start").collect()
     rows = sorted(((r.doc_id is not None, r.doc_id or 0), library_ids([r.text])[0]) for r in odd.collect())

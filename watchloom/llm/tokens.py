@@ -12,13 +12,12 @@ Every block of ``block tokens`` ids starts at its bit offset, so blocks decode a
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +39,20 @@ SEGMENT_TOKENS, BLOCK_TOKENS = 1 << 20, 128
 PACKED = 1 << 15
 #: Bytes of text encoded at once; a longer text is cut at blanks.
 STEP_BYTES = 4 << 20
-#: Distinct chunks, and words, whose ids a worker remembers. They are the first that it meets, so the
-#: frequent ones; later ones are encoded each time, with the same ids. (Forgetting the least lately used
-#: instead took a third more time.)
+#: Distinct chunks, and words, whose ids a worker remembers between steps; beyond that the half met in most
+#: steps, late ones counting more, stays. Others are encoded again, with the same ids.
 CACHE = 400_000
+#: Longer chunks and words are not remembered, so that the number bounds the bytes.
+KEPT_BYTES = 64
+#: Share of an entry's count that a step leaves.
+FADE = 0.95
+#: Words encoded in one call; calls of 5,000 took a third more time.
+CALL_WORDS = 500
 BLANKS = re.compile(rb"[\x09-\x0d\x20]")
 #: Pre-tokenizer pattern under which blanks separate a text for good, and words from punctuation.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: A lower-case word of letters that normalisation leaves alone, and punctuation after it.
-PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+#: A word of letters that normalisation does no more to than lower-case, and punctuation after it.
+PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<rest>[!-&(-/:-@\[-`{-~]*)$"
 
 
 def tokenizer_file(path: str) -> str:
@@ -57,18 +61,33 @@ def tokenizer_file(path: str) -> str:
         return f.read()
 
 
-class Known(dict):
-    """Ids by chunk; a chunk that is missing gets a buffer in ``pending``, filled before it is read."""
+class Known:
+    """Ids (bytes) by string, as Arrow arrays: a step looks up all its distinct strings at once."""
 
     def __init__(self):
-        super().__init__()
-        self.pending: dict[bytes, bytearray] = {}
-
-    def __missing__(self, chunk: bytes) -> bytearray:
-        slot = self.pending.get(chunk)
-        if slot is None:
-            slot = self.pending[chunk] = bytearray()
-        return slot
+        self.keys, self.ids, self.met = pa.array([], pa.string()), pa.array([], pa.binary()), np.zeros(0, np.float32)
+
+    def ids_of(self, wanted: pa.Array, encode: Callable[[pa.Array], pa.Array]) -> pa.Array:
+        """The ids of distinct strings; ``encode`` gives those of the ones that are not known."""
+        at = pc.index_in(wanted, self.keys)
+        missing = at.is_null().to_numpy(zero_copy_only=False)
+        place = at.fill_null(0).to_numpy().astype(np.int64)
+        self.met *= np.float32(FADE)
+        self.met[place[~missing]] += 1
+        if not missing.any():
+            return self.ids.take(pa.array(place))
+        new = wanted.filter(pa.array(missing))
+        ids = encode(new)
+        place[missing] = len(self.keys) + np.arange(len(new))
+        out = pa.concat_arrays([self.ids, ids]).take(pa.array(place))
+        short = pc.less_equal(pc.binary_length(new), KEPT_BYTES)
+        self.keys, self.ids = pa.concat_arrays([self.keys, new.filter(short)]), pa.concat_arrays([self.ids, ids.filter(short)])
+        self.met = np.r_[self.met, np.ones(len(self.keys) - len(self.met), np.float32)]
+        if len(self.keys) > CACHE:
+            half = CACHE // 2
+            stay = pa.array(np.sort(np.argpartition(self.met, -half)[-half:]))
+            self.keys, self.ids, self.met = self.keys.take(stay), self.ids.take(stay), self.met[stay.to_numpy()]
+        return out
 
 
 class ChunkEncoder:
@@ -76,8 +95,9 @@ class ChunkEncoder:
 
     A tokenizer with WORD_PATTERN normalises, splits and merges within runs of non-blank characters
     only, so the ids of a text are those of its chunks between blanks, and the ids of a plain chunk
-    are those of its word and its punctuation. New words are encoded many at a time; the end-of-word
-    mark tells their ids apart. Other tokenizers encode whole texts.
+    are those of its word and its punctuation. Chunks are split, told apart and put together again
+    as Arrow columns; Python sees only words and chunks that are new. New words are encoded many at
+    a time; the end-of-word mark tells their ids apart. Other tokenizers encode whole texts.
     """
 
     def __init__(self, spec: str):
@@ -89,32 +109,36 @@ class ChunkEncoder:
         parts, suffix = json.loads(spec), json.loads(spec)["model"].get("end_of_word_suffix")
         split = [p.get("pattern", {}).get("Regex") for p in (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.by_word = bool(suffix) and WORD_PATTERN in split
-        self.chunks = Known()
-        self.words: dict[str, bytes] = {"": b""}
+        self.chunks, self.words = Known(), Known()
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if self.by_word:
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text and END_ID, as bytes of ``dtype``."""
-        end = np.array([END_ID], self.dtype).tobytes()
+        column = pa.array([t and t.encode("utf-8", "replace") for t in texts], pa.binary()).cast(pa.string())
+        return [x for at, n in steps(column) for x in self.encode_step(column.slice(at, n))]
+
+    def encode_step(self, texts: pa.Array) -> list[bytes]:
+        """``encode`` of a column that ``steps`` cut."""
+        end, texts = np.array([END_ID], self.dtype).tobytes(), texts.cast(pa.string()).fill_null("")
         if not self.by_word:
-            return [x + end for x in self._whole([t or "" for t in texts])]
-        raw = [t.encode("utf-8", "replace") if t else b"" for t in texts]
-        if sum(map(len, raw)) <= STEP_BYTES:
-            return [x + end for x in self._encode_raw(raw)]
-        return [b"".join(x for part in pieces(t) for x in self._encode_raw([part])) + end for t in raw]
-
-    def _encode_raw(self, raw: list[bytes]) -> list[bytes]:
-        known = self.chunks
-        docs = [list(map(known.__getitem__, t.split())) for t in raw]
-        new = self._resolve(known.pending)
-        for chunk, slot in known.pending.items():
-            slot += new[chunk]
-        known.pending = {}
-        if len(known) < CACHE:
-            known.update(new)
-        return [b"".join(doc) for doc in docs]
+            return [x + end for x in self._whole(texts.to_pylist())]
+        if len(texts) > 1:
+            return [x + end for x in self._by_chunk(texts)]
+        return [b"".join(x for part in pieces(t.as_buffer().to_pybytes()) for x in self._by_chunk(pa.array([part], pa.string()))) + end for t in texts]
+
+    def _by_chunk(self, texts: pa.Array) -> list[bytes]:
+        lists = pc.ascii_split_whitespace(texts)
+        chunks = lists.flatten().dictionary_encode()
+        known = self.chunks.ids_of(chunks.dictionary, self._resolve)
+        _, at, data = known.take(chunks.indices).buffers()
+        if not len(chunks) or data is None:
+            return [b""] * len(texts)
+        docs = lists.offsets.to_numpy()
+        cuts = np.frombuffer(at, np.int32, len(chunks) + 1)[docs - docs[0]].tolist()
+        raw = memoryview(data)
+        return [bytes(raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -122,52 +146,41 @@ class ChunkEncoder:
             out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)]
         return out
 
-    def _resolve(self, chunks: Iterable[bytes]) -> dict[bytes, bytes]:
+    def _resolve(self, chunks: pa.Array) -> pa.Array:
         """The ids of chunks: of words and punctuation that are known, then of the new ones."""
-        out: dict[bytes, bytes] = {}
-        known, match, waiting, words, odd = self.words, PLAIN.fullmatch, [], {}, {}
-        for chunk in chunks:
-            word = chunk.decode().lower()
-            rest = ""
-            if not (word.isascii() and word.isalpha()):
-                m = match(word)
-                if m is None:
-                    odd[chunk.decode()] = b""
-                    waiting.append((chunk, None, ""))
-                    continue
-                word, rest = m.groups()
-            if word in known and rest in known:
-                out[chunk] = known[word] + known[rest]
-                continue
-            if word not in known:
-                words[word] = b""
-            if rest not in known:
-                odd[rest] = b""
-            waiting.append((chunk, word, rest))
-        odd = dict(zip(odd, self._whole(list(odd)), strict=True))
-        words = self._encode_words(list(words))
-        words.update((rest, odd[rest]) for _, word, rest in waiting if word is not None and rest in odd)
-        for chunk, word, rest in waiting:
-            if word is None:
-                out[chunk] = odd[chunk.decode()]
+        parts = pc.extract_regex(chunks, PLAIN)
+        plain = parts.is_valid()
+        word, rest = pc.struct_field(parts.filter(plain), 0), pc.struct_field(parts.filter(plain), 1)
+        both = pa.concat_arrays([pc.utf8_lower(word), rest]).dictionary_encode()
+        ids = self.words.ids_of(both.dictionary, self._encode_parts).take(both.indices)
+        joined = pc.binary_join_element_wise(ids[: len(word)], ids[len(word) :], pa.scalar(b"", pa.binary()))
+        return merged(plain, joined, self._whole(chunks.filter(pc.invert(plain)).to_pylist()))
+
+    def _encode_parts(self, parts: pa.Array) -> pa.Array:
+        """The ids of lower-case words and of punctuation."""
+        word = pc.match_substring_regex(parts, "^[a-zß-öø-ÿ]+$")
+        return merged(word, self._encode_words(parts.filter(word).to_pylist()), self._whole(parts.filter(pc.invert(word)).to_pylist()))
+
+    def _encode_words(self, words: list[str]) -> pa.Array:
+        out = [pa.array([], pa.binary())]
+        for at in range(0, len(words), CALL_WORDS):
+            part = words[at : at + CALL_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+            if len(cuts) == len(part):
+                out.append(pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(np.r_[0, cuts].astype(np.int32)), pa.py_buffer(ids)]))
             else:
-                out[chunk] = (words[word] if word in words else known[word]) + (words[rest] if rest in words else known[rest])
-        if len(known) < CACHE:
-            known.update(words)
-        return out
+                out.append(pa.array(self._whole(part), pa.binary()))
+        return pa.concat_arrays(out)
 
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        for at in range(0, len(words), 5000):
-            part = words[at : at + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
-            if len(cuts) != len(part):
-                out.update(zip(part, self._whole(part), strict=True))
-                continue
-            raw = ids.tobytes()
-            out.update((w, raw[a:b]) for w, a, b in zip(part, [0, *cuts], cuts, strict=False))
-        return out
+
+def merged(first: pa.Array, yes: pa.Array, no: list[bytes]) -> pa.Array:
+    """The values of ``yes`` where ``first`` holds, of ``no`` elsewhere, each in its order."""
+    if not no:
+        return yes
+    mask = first.to_numpy(zero_copy_only=False)
+    place = np.where(mask, np.cumsum(mask) - 1, len(yes) + np.cumsum(~mask) - 1)
+    return pa.concat_arrays([yes, pa.array(no, pa.binary())]).take(pa.array(place))
 
 
 def pieces(raw: bytes) -> Iterator[bytes]:
@@ -183,10 +196,10 @@ def pieces(raw: bytes) -> Iterator[bytes]:
 
 
 def steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(start, rows) of runs of texts of about STEP_BYTES."""
+    """(start, rows) of runs of texts of about STEP_BYTES; a longer text is a run of its own."""
     size = pc.fill_null(pc.cast(pc.binary_length(texts), pa.int64()), 0).to_numpy(zero_copy_only=False)
-    turn = np.cumsum(size) // STEP_BYTES
-    cuts = np.r_[0, np.flatnonzero(np.diff(turn)) + 1, len(turn)] if len(turn) else np.zeros(0, int)
+    turn, long = np.cumsum(size) // STEP_BYTES, size > STEP_BYTES
+    cuts = np.r_[0, np.flatnonzero((np.diff(turn) > 0) | long[1:] | long[:-1]) + 1, len(turn)] if len(turn) else np.zeros(0, int)
     yield from zip(cuts[:-1].tolist(), np.diff(cuts).tolist(), strict=True)
 
 
@@ -209,11 +222,7 @@ def _tokenize(spec, size: int):
         for batch in batches:
             for at, n in steps(batch.column(1)):
                 part = batch.slice(at, n)
-                gc.disable()  # millions of small objects without cycles; scans of them take a fifth of the time
-                try:
-                    found = encoder.encode(part.column(1).to_pylist())
-                finally:
-                    gc.enable()
+                found = encoder.encode_step(part.column(1))
                 counts += np.bincount(np.frombuffer(b"".join(found), encoder.dtype), minlength=size)
                 yield rows(part.column(0), [zip_.compress(x) for x in found], None)
                 hand_back()
