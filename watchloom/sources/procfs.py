@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 STATES = {"01": "ESTABLISHED", "02": "SYN_SENT", "03": "SYN_RECV", "04": "FIN_WAIT1", "05": "FIN_WAIT2", "06": "TIME_WAIT", "07": "CLOSE", "08": "CLOSE_WAIT", "09": "LAST_ACK", "0A": "LISTEN", "0B": "CLOSING"}
 STAT_FIELDS, PPID, STARTTIME = 20, 1, 19
 NET_FIELDS, LOCAL, REMOTE, STATE, UID, INODE = 10, 1, 2, 3, 7, 9
+#: The longest run of two or more zero groups, the first of equals, between what is before and after.
+ZEROS = "^(?:" + "|".join(f"(.*?):(?:0:){{{n}}}" for n in range(8, 1, -1)) + ")(.*)$"
 
 
 def fields(text: Column) -> Column:
@@ -42,40 +44,42 @@ def ipv6(hexed: Column) -> Column:
     mapped into IPv6 ends in dotted digits.
     """
     h = F.lower(hexed)
-    groups = [F.concat(F.substring(h, i + 2, 2), F.substring(h, i, 2)) for w in range(4) for i in (8 * w + 5, 8 * w + 1)]
-    line = F.concat(F.lit(":"), F.concat_ws(":", *[F.regexp_replace(g, "^0{1,3}", "") for g in groups]), F.lit(":"))
-
-    def shortened(x: Column) -> Column:
-        text = F.substring(x, F.lit(2), F.length(x) - 2)
-        for n in range(2, 9):  # the longest is asked for first
-            zeros = ":" + "0:" * n
-            at = F.instr(x, F.lit(zeros))
-            after = F.substring(x, at + len(zeros), F.lit(64))
-            text = F.when(at > 0, F.concat(F.substring(x, F.lit(2), F.greatest(at - 2, F.lit(0))), F.lit("::"), F.substring(after, F.lit(1), F.greatest(F.length(after) - 1, F.lit(0))))).otherwise(text)
-        return text
-
-    last = [F.conv(F.substring(g, i, 2), 16, 10) for g in groups[6:] for i in (1, 3)]
-    mapped = F.concat(F.lit("::ffff:"), F.concat_ws(".", *last))
-    text = F.transform(F.array(line), shortened)[0]  # the line is made once
+    groups = F.concat(F.lit(":"), F.regexp_replace(h, "(..)(..)(..)(..)", "$4$3:$2$1:"))
+    line = F.regexp_replace(groups, ":0{1,3}(?!:|$)", ":")
+    text = F.regexp_replace(F.regexp_replace(line, ZEROS, "$1$2$3$4$5$6$7::$8"), "^:(?!:)|(?<!:):$", "")
+    mapped = F.concat(F.lit("::ffff:"), ipv4(F.substring(h, 25, 8)))
     return F.when(hexed.rlike(r"^[0-9A-Fa-f]{32}\z"), F.when(h.startswith("0" * 16 + "ffff0000"), mapped).otherwise(text))
 
 
+def up_to(most: int) -> str:
+    """Pattern of the decimal digits of 0 to ``most``, with any number of zeros before."""
+    d = str(most)
+    same = [f"{d[:i]}[0-{int(c) - 1}][0-9]{{{len(d) - i - 1}}}" for i, c in enumerate(d) if c != "0"]
+    return f"0*(?:[0-9]{{1,{len(d) - 1}}}|{'|'.join([*same, d])})(?![0-9])"
+
+
+def net_line(digits: int) -> str:
+    """Pattern of a well-formed row whose addresses have so many hex digits; its groups are local
+    address and port, remote address and port, state, uid and inode."""
+    end = rf"([0-9A-Fa-f]{{{digits}}}):(0{{0,4}}[0-9A-Fa-f]{{1,4}})"
+    whole = rf"([+]?{up_to(2**63 - 1)}|-{up_to(2**63)})"
+    part = {LOCAL: end, REMOTE: end, STATE: f"((?i:{'|'.join(STATES)}))", UID: whole, INODE: whole}
+    return r"(?s)^\s*+" + r"\s++".join(part.get(i, r"\S++") for i in range(NET_FIELDS)) + r"(?:\s.*)?\z"
+
+
 def parse_net(lines: DataFrame, proto: str, column: str = "value") -> DataFrame:
     """proto, local_ip, local_port, remote_ip, remote_port, state, uid, inode of well-formed rows of
     /proc/net/tcp or tcp6; other columns of ``lines`` are kept."""
     kept = [c for c in lines.columns if c != column]
-    part = lines.select(*kept, fields(F.col(column)).alias("f")).where(F.size("f") >= NET_FIELDS)
-    ip = ipv6 if proto.endswith("6") else ipv4
+    six = proto.endswith("6")
+    ip, pattern = (ipv6, net_line(32)) if six else (ipv4, net_line(8))
+    # the text alone decides, so that no filter on a parsed column computes it a second time
+    found = F.regexp_replace(column, pattern, " ".join(f"${i}" for i in range(1, 8)))
+    part = lines.where(F.col(column).rlike(pattern)).select(*kept, F.split(found, " ").alias("f"))
     state = F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv])
-    ends = {name: F.split(F.get("f", F.lit(i)), ":") for name, i in (("local", LOCAL), ("remote", REMOTE))}
-    port = lambda c: F.when(c.rlike(r"^[0-9A-Fa-f]{1,8}\z"), F.conv(c, 16, 10).try_cast("long"))
-    whole = lambda i: F.when(F.get("f", F.lit(i)).rlike(r"^[+-]?[0-9]+\z"), F.get("f", F.lit(i)).try_cast("long"))
-    cols = [F.lit(proto).alias("proto")]
-    for name, e in ends.items():
-        cols += [F.when(F.size(e) == 2, ip(F.get(e, F.lit(0)))).alias(f"{name}_ip"), F.when(F.size(e) == 2, port(F.get(e, F.lit(1)))).alias(f"{name}_port")]
-    rows = part.select(*kept, *cols, F.try_element_at(state, F.upper(F.get("f", F.lit(STATE)))).alias("state"), whole(UID).alias("uid"), whole(INODE).alias("inode"))
-    ok = rows.where("local_ip is not null and remote_ip is not null and state is not null and uid is not null and inode is not null and local_port between 0 and 65535 and remote_port between 0 and 65535")
-    return ok.withColumn("local_port", F.col("local_port").cast("int")).withColumn("remote_port", F.col("remote_port").cast("int"))
+    get = lambda i: F.get("f", F.lit(i))
+    port = lambda i: F.conv(get(i), 16, 10).try_cast("int")
+    return part.select(*kept, F.lit(proto).alias("proto"), ip(get(0)).alias("local_ip"), port(1).alias("local_port"), ip(get(2)).alias("remote_ip"), port(3).alias("remote_port"), F.try_element_at(state, F.upper(get(4))).alias("state"), get(5).try_cast("long").alias("uid"), get(6).try_cast("long").alias("inode"))
 
 
 def tracked(sockets: DataFrame, listen_only: bool = False, limit: int | None = None) -> DataFrame:
