@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,10 +61,10 @@ def stateless(events: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 class _Gate:
-    """A threshold's step, or one that lets every row through where the rule has no window."""
+    """The step of a rule's threshold, or one that lets every row through where it has no window."""
 
-    def __init__(self, window: int | None, count: int | None):
-        self.step = None if window is None else folds.ThresholdStep(window, count)
+    def __init__(self, windows: list[tuple[int, int] | None], rule: int):
+        self.step = folds.ThresholdStep(*windows[rule]) if windows[rule] else None
 
     def __call__(self, t: int) -> bool:
         return self.step is None or self.step(t)
@@ -84,22 +84,26 @@ def evaluate(events: DataFrame, rules: list[Rule], order: list[Column] | None =
     if not timed:
         return stateless(events, plain)
     compiler = Compiler(events.schema, events.sparkSession)
-    none = F.lit(None)
-    hits = [F.when(compiler(r.condition), F.struct(meta(r).alias("rule"), none.cast("string").alias("group"), none.cast("long").alias("window"), none.cast("long").alias("count"))) for r in plain]
-    for r in timed:
-        t = r.condition
-        group = F.col(t.group_by).cast("string")
-        hits.append(F.when(compiler(t.match) & group.isNotNull(), F.struct(meta(r).alias("rule"), group.alias("group"), F.lit(round(t.window_seconds * 1e6)).cast("long").alias("window"), F.lit(t.count).cast("long").alias("count"))))
-    if (keep := needed([*plain, *timed])) is not None:
+    every = [*plain, *timed]
+    hits, windows = [], []
+    for i, r in enumerate(every):
+        t = r.condition if isinstance(r.condition, Threshold) else None
+        group = F.col(t.group_by).cast("string") if t else F.lit(None).cast("string")
+        holds = compiler(t.match) & group.isNotNull() if t else compiler(r.condition)
+        hits.append(F.when(holds, F.struct(F.lit(i).alias("i"), group.alias("group"))))
+        windows.append((round(t.window_seconds * 1e6), t.count) if t else None)
+    if (keep := needed(every)) is not None:
         events = events.where(keep)
-    seq = F.struct(*(order or [F.col("event.id")]))
-    found = events.select("timestamp", "event", "host", seq.alias("seq"), F.array_compact(F.array(*hits)).alias("hits")).where(F.size("hits") > 0)
-    found = found.select("*", F.explode("hits").alias("hit")).select(*detection(F.col("hit.rule")), "seq", "hit.group", "hit.window", "hit.count", F.col("timestamp").alias("at"))
+    seq = {f"seq{n}": c for n, c in enumerate(order or [])}
+    found = events.select("timestamp", F.col("event.id").alias("event_id"), F.col("event.action").alias("action"), F.col("host.name").alias("name"), *[c.alias(n) for n, c in seq.items()], F.array_compact(F.array(*hits)).alias("hits")).where(F.size("hits") > 0)
+    # a busy group is one task's to sort: rows carry the rule's number, and its texts come after
+    found = found.select("*", F.explode("hits").alias("hit")).drop("hits").select("*", "hit.*").drop("hit")
     # a stateless hit is alone under its key, so it moves to any task
-    key = F.concat_ws("|", "rule_id", F.coalesce(F.concat(F.lit("g:"), "group"), F.concat(F.lit("e:"), "event_id")))
-    longest = max(round(r.condition.window_seconds * 1e6) for r in timed)
-    fired = folds.ordered_fold(found.withColumn("key", key), ["key"], "at", ["seq"], _Gate, longest, "fired", (F.col("window"), F.col("count")))
-    return fired.where("fired").select(*schemas.DETECTION.names)
+    key = F.concat_ws("|", F.col("i").cast("string"), F.coalesce(F.concat(F.lit("g:"), "group"), F.concat(F.lit("e:"), "event_id")))
+    longest = max(w[0] for w in windows if w)
+    fired = folds.ordered_fold(found.withColumn("key", key).drop("group"), ["key"], "timestamp", list(seq) or ["event_id"], partial(_Gate, windows), longest, "fired", (F.col("i"),))
+    fired = fired.where("fired").select("timestamp", F.struct(F.col("event_id").alias("id"), "action").alias("event"), F.struct("name").alias("host"), F.element_at(F.array(*map(meta, every)), F.col("i") + 1).alias("rule"))
+    return fired.select(*detection(F.col("rule"))).select(*schemas.DETECTION.names)
 
 
 def fields_used(rules: list[Rule]) -> list[str]:

@@ -88,8 +88,8 @@ def ordered_fold(df: DataFrame, keys: list[str], time: str, order: list[str], st
     micros = F.unix_micros(F.col(time).cast("timestamp"))
     key = F.col(keys[0]).cast("string") if len(keys) == 1 else F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
     extra = [f"p{i}" for i in range(len(params))]
-    seq = [f"o{i}" for i in range(len(order))]
-    row = df.select(F.struct("*").alias("row"), key.alias("k"), micros.alias("t"), *[F.col(c).alias(o) for c, o in zip(order, seq, strict=True)], *[p.alias(n) for p, n in zip(params, extra, strict=True)])
+    seq = [F.col("row")[c] for c in order]  # sorted where they are, not beside the row again
+    row = df.select(F.struct("*").alias("row"), key.alias("k"), micros.alias("t"), *[p.alias(n) for p, n in zip(params, extra, strict=True)])
     group = "k"
     if split_pauses:
         row = row.withColumn("slot", F.floor(F.col("t") / max(window, 1)).cast("long"))
